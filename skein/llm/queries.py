@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import caps, copies, encode, normal_form, splits
+from skein.llm import abuse, caps, copies, encode, language, normal_form, splits
 from skein.llm.keys import bare
 from skein.sources import table
 
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 CAP = 25
+#: Least score of a text that counts as abusive.
+ABUSIVE = 0.5
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,21 @@ def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(table(spark, sf_dir, "toxic_training_data"), "id", "author_name", ["video_id"], SPLITS)
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> language.CrossParser:
+    return language.fit(language.sampled(table(spark, sf_dir, "raw_comments"), "text_raw", "language_label"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.wrong_labels(table(spark, sf_dir, "raw_comments"), "comment_id", "text_raw", "language_label", _languages(spark, sf_dir))
+
+
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _languages(spark, sf_dir)
+    comments = language.segment_languages(table(spark, sf_dir, "raw_comments"), "comment_id", "text_raw", model).withColumnRenamed("comment_id", "row_id")
+    documents = language.segment_languages(table(spark, sf_dir, "documents"), "doc_id", "text", model).withColumnRenamed("doc_id", "row_id")
+    return comments.select(F.lit("raw_comments").alias("tbl"), "*").unionByName(documents.select(F.lit("documents").alias("tbl"), "*"))
+
+
 def _delivered(spark: SparkSession, sf_dir: str, what: Callable) -> DataFrame:
     comments = what(table(spark, sf_dir, "raw_comments"), "comment_id", copies.comment_key())
     payloads = what(table(spark, sf_dir, "raw_payloads"), "payload_id", copies.json_key(F.col("payload")))
@@ -52,6 +69,38 @@ def p5_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.join(_capped(spark, sf_dir), "comment_id", "left_anti")
 
 
+def _scored(spark: SparkSession, sf_dir: str, tables: dict[str, tuple[str, str]]) -> DataFrame:
+    model = abuse.train(*abuse.sampled(table(spark, sf_dir, "toxic_training_data"), "text", "is_toxic"))
+    out = None
+    for name, (row_id, text) in tables.items():
+        rows = abuse.scored(table(spark, sf_dir, name), row_id, text, model).withColumnRenamed(row_id, "row_id").select(F.lit(name).alias("tbl"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_SPOKEN = {"raw_comments": ("comment_id", "text_raw"), "toxic_training_data": ("id", "text")}
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, _SPOKEN).filter(F.col("score") >= ABUSIVE).select("tbl", "row_id")
+
+
+def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, _SPOKEN)
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments, abusive comments and rate of each video and of each playlist."""
+    comments = table(spark, sf_dir, "raw_comments").select(F.col("comment_id").alias("row_id"), "video_id")
+    scores = _scored(spark, sf_dir, {"raw_comments": _SPOKEN["raw_comments"]}).select("row_id", "score")
+    bad = F.count_if(F.col("score") >= ABUSIVE).alias("n_abusive")
+    videos = comments.join(scores, "row_id").groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), bad)
+    named = table(spark, sf_dir, "videos").select(F.col("id").alias("video_id"), "playlist_id")
+    lists = videos.join(named, "video_id", "left").groupBy("playlist_id").agg(F.sum("n").alias("n"), F.sum("n_abusive").alias("n_abusive"))
+    both = videos.select(F.lit("video").alias("kind"), F.col("video_id").cast("string").alias("source"), "n", "n_abusive").unionByName(lists.select(F.lit("playlist").alias("kind"), F.col("playlist_id").alias("source"), "n", "n_abusive"))
+    return both.withColumn("rate", F.col("n_abusive") / F.col("n"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normal_form.look_alikes(table(spark, sf_dir, "raw_comments"), "comment_id", "text_raw")
 
