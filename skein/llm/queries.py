@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import abuse, caps, copies, encode, language, normal_form, splits
+from skein.llm import abuse, caps, containers, copies, encode, language, normal_form, personal, splits
 from skein.llm.keys import bare
 from skein.sources import table
 
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 CAP = 25
+#: Tokens of a container.
+CAPACITY = 2048
 #: Least score of a text that counts as abusive.
 ABUSIVE = 0.5
 
@@ -26,6 +28,18 @@ def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(table(spark, sf_dir, "toxic_training_data"), "id", "author_name", ["video_id"], SPLITS)
 
 
+_PERSONAL = {"text_raw": False, "author_name": True}
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = personal.found_spans(table(spark, sf_dir, "raw_comments"), "comment_id", _PERSONAL, personal.fitted(), kinds_only=True)
+    return spans.select("comment_id", "field_name", "kind")
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.redacted(table(spark, sf_dir, "raw_comments"), "comment_id", _PERSONAL, personal.fitted())
+
+
 def _languages(spark: SparkSession, sf_dir: str) -> language.CrossParser:
     return language.fit(language.sampled(table(spark, sf_dir, "raw_comments"), "text_raw", "language_label"))
 
@@ -113,6 +127,10 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encoded(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containers.packed(encode.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "n_tokens", CAPACITY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 

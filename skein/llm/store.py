@@ -58,3 +58,22 @@ def joined(rows: DataFrame, sized: DataFrame, on: list[str], n: int) -> DataFram
     marked = rows.join(hot, on, "left")
     plain = marked.filter(F.col("is_hot").isNull()).select(*rows.columns).join(sized.filter(F.col("c") <= most).drop("c"), on)
     return plain.unionByName(marked.filter(F.col("is_hot")).select(*rows.columns, *[F.col(f"hot_{x}").alias(x) for x in value]))
+
+
+def positioned(df: DataFrame, by: list[str], tag: str) -> tuple[DataFrame, int]:
+    """``df`` with its 0-based ``position`` in the order of ``by`` (a unique key), and its number of rows.
+
+    A range partitioning sorts across partitions; the partitions' row counts, one number each, are
+    summed up on the driver and added to the places within partitions.
+    """
+    place = F.monotonically_increasing_id()
+    rows, _ = written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("place", place), tag)
+    part = F.shiftright("place", 33).cast("int")
+    n = {r["part"]: r["n"] for r in rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, offsets = 0, []
+    for p in sorted(n):
+        offsets.append((p, before))
+        before += n[p]
+    small = F.broadcast(df.sparkSession.createDataFrame(offsets, "part int, before bigint"))
+    out = rows.withColumn("part", part).join(small, "part").withColumn("position", F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1))
+    return out.drop("part", "before", "place"), before
