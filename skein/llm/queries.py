@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import abuse, caps, containers, copies, encode, language, normal_form, personal, splits
+from skein.llm import abuse, caps, containers, copies, encode, language, normal_form, personal, splits, subjects
 from skein.llm.keys import bare
 from skein.sources import table
 
@@ -131,6 +131,17 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.packed(encode.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "n_tokens", CAPACITY)
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    closed = sorted(r["subject"] for r in table(spark, sf_dir, "subject_areas").select("subject").collect())  # a fixed, short list
+    return subjects.subject_lists(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), closed)
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and characters of each subject, by kind of document."""
+    sized = table(spark, sf_dir, "documents").select("doc_id", "doc_type", "n_chars")
+    return sized.join(p10_found(spark, sf_dir), "doc_id").groupBy("doc_type", "subject").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_chars").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
