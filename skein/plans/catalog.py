@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from skein.sources import table
+from skein.plans.registry import PLANS, SQL
+
+#: Modules that register queries when they are imported.
+MODULES = ("filters",)
+for _name in MODULES:
+    import_module(f"skein.plans.{_name}")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "raw_comments").groupBy("is_top_level").agg(F.count(F.lit(1)).alias("n_comments"))
+    """Comments by filter reason, most frequent first."""
+    return PLANS["agg_01_reason_counts"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"flagship": flagship}
+    return dict(PLANS)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"flagship": "SELECT is_top_level, count(*) AS n_comments FROM raw_comments GROUP BY ALL"}
+    return dict(SQL)
