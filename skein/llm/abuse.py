@@ -15,7 +15,7 @@ from skein.llm import fold
 SAMPLE = 16_000
 BUCKETS = 1 << 18
 RUNS = (3, 4, 5)
-#: Share of labels taken to be wrong, and the fewest different sentences with a feature.
+#: Share of labels taken to be wrong, and the fewest sentences with a feature.
 NOISE, LEAST = 0.05, 3
 SPACE, MASK = 0x20, ord("*")
 #: A long sentence is scored by the worst of overlapping windows of so many characters.
@@ -179,7 +179,7 @@ def train(texts: Sequence[str], labels: Sequence[bool], steps: int = 120, rate:
     at, owner = features(*cut(flat, begin, end))
     head = np.searchsorted(sentence, np.arange(len(rows)))
     pair = np.unique(sentence[owner] * BUCKETS + at)
-    held = np.bincount(pair % BUCKETS, minlength=BUCKETS) >= LEAST
+    held = np.bincount(pair % BUCKETS, np.bincount(kind)[pair // BUCKETS], BUCKETS) >= LEAST
     ok = held[at]
     count = np.maximum(1, np.bincount(owner, minlength=len(begin)))
     at, owner = at[ok], owner[ok]

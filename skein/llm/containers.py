@@ -59,8 +59,11 @@ def combinations(sizes: np.ndarray, window: int, step: int) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, DEPTH)
 
 
-def repeats(columns: np.ndarray, want: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Non-negative x with sum over columns near ``want``: accelerated projected gradient."""
+def repeats(columns: np.ndarray, want: np.ndarray, length: np.ndarray, rounds: int = 400) -> np.ndarray:
+    """Non-negative x with sum over columns near ``want``: accelerated projected gradient.
+
+    The squared error of a bin counts by its length, as long items are the hardest to place later.
+    """
     m = len(want)
     if not len(columns):
         return np.zeros(0)
@@ -73,15 +76,16 @@ def repeats(columns: np.ndarray, want: np.ndarray, rounds: int = 400) -> np.ndar
         r = np.append(r, 0.0)
         return r[cols[:, 0]] + r[cols[:, 1]] + r[cols[:, 2]]
 
+    square = (length / length.mean()) ** 2
     v = np.ones(len(cols))
-    for _ in range(12):
-        v = down(up(v))
+    for _ in range(30):
+        v = down(square * up(v))
         v /= np.linalg.norm(v)
-    rate = 1 / max(1e-9, float(np.linalg.norm(down(up(v)))) * 1.05)
+    rate = 1 / max(1e-9, float(np.linalg.norm(down(square * up(v)))) * 1.1)
     x = y = np.zeros(len(cols))
     t = 1.0
     for _ in range(rounds):
-        new = np.maximum(0, y + rate * down(want - up(y)))
+        new = np.maximum(0, y + rate * down(square * (want - up(y))))
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / t2 * (new - x)
         x, t = new, t2
@@ -113,7 +117,7 @@ def plan(histogram: Mapping[int, int], capacity: int) -> Plan:
         columns.append(c)
         level.append(np.full(len(c), w))
     cols, level = np.concatenate(columns), np.concatenate(level)
-    x = repeats(cols, want.astype(float))
+    x = repeats(cols, want.astype(float), bins.astype(float))
     # round; no bin gives more items than it has, so that every planned place is taken
     left = want.copy()
     chosen: list[tuple[int, int]] = []

@@ -43,7 +43,7 @@ def _shape(words: str) -> str:
 #: Links, addresses (masked ones too), tags, handles, bracketed marks and numbers have no language.
 _AT = rf"\s?(?:@|\(at\)|\[at\])\s?|\s(?:{_shape('собака')}|{_shape('равлик')}|at)\s(?=[\w-]+\s?(?:\.|\(|\[|{_shape('точка')}|{_shape('крапка')}|dot\b))"
 _DOT = rf"\s?(?:\(dot\)|\[dot\])\s?|\.|\s(?:{_shape('точка')}|{_shape('крапка')}|dot)\s"
-NO_WORDS = re.compile(rf"(?:https?://|www\.)[^\s{END}]+|[\w.+-]+(?:{_AT})[\w-]+(?:(?:{_DOT})[\w-]+)*|[#@][^\s{END}]+|\[[^\]\n{END}]{{1,24}}\]|\d+")
+NO_WORDS = re.compile(rf"(?:https?://|www\.)[^\s{END}]+|(?<![\w.+-])[\w.+-]+(?:{_AT})[\w-]+(?:(?:{_DOT})[\w-]+)*|[#@][^\s{END}]+|\[[^\]\n{END}]{{1,24}}\]|\d+")
 BOUND = re.compile(rf"[.!?…]+(?=[\s{END}]|$)|\n+| [/|] |:\s")
 ALPHABET = " 'ßabcdefghijklmnopqrstuvwxyzбвгґджзиклмнптфцчшщъыьэюяє"
 INDEX = np.zeros(0x110000, np.uint8)
@@ -179,7 +179,7 @@ class CrossParser:
         begin, length, owner = begin[order], length[order], owner[order]
         width, k = len(ALPHABET), len(self.root)
         state = np.repeat(self.root[:, None], len(order), 1)
-        count = np.ones((k, len(order)), np.int32)
+        count = np.zeros((k, len(order)), np.int32)
         # active pieces at each step: those longer than it
         active = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), side="left")
         for j, n in enumerate(active.tolist()):
@@ -187,8 +187,8 @@ class CrossParser:
             s = state[:, :n]
             step = self.next[s * width + c]
             dead = step == 0
+            count[:, :n] += dead | (s == self.root[:, None])
             if dead.any():
-                count[:, :n] += dead
                 again = self.next[self.root[:, None] * width + c[None, :]]
                 step = np.where(dead, np.where(again > 0, again, self.root[:, None]), step)
             state[:, :n] = step

@@ -92,7 +92,7 @@ def normal_forms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def look_alikes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Pairs (``id_col``_a < ``id_col``_b) of rows whose texts look the same but are not equal.
 
-    Rows with null text are in no pair. Rows are grouped by 128-bit hashes of the comparison
+    Rows with null text are in no pair; a row that is there twice repeats its pairs. Rows are grouped by 128-bit hashes of the comparison
     form, and only forms with two texts or more are joined, text by text, so that copies of one
     text are never paired with each other.
     """
@@ -109,5 +109,5 @@ def look_alikes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     pairs = one.join(two, ["a", "b"]).filter(F.struct("x1", "y1") < F.struct("x2", "y2"))
     r1 = rows.select("a", "b", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("k").alias("k1"))
     r2 = rows.select("a", "b", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("k").alias("k2"))
-    both = pairs.join(r1, ["a", "b", "x1", "y1"]).join(r2, ["a", "b", "x2", "y2"])
+    both = pairs.join(r1, ["a", "b", "x1", "y1"]).join(r2, ["a", "b", "x2", "y2"]).filter(F.col("k1") != F.col("k2"))
     return both.select(F.least("k1", "k2").alias(f"{id_col}_a"), F.greatest("k1", "k2").alias(f"{id_col}_b"))

@@ -33,15 +33,15 @@ NO = r"\d{1,4}(?!\d)(?:\s?[а-яa-z](?![а-яёa-z])|[/-]\d{1,4})?"
 NAME = r"[^\W\d_][\w'’-]*(?:\s[^\W\d_][\w'’-]*)?"
 CYRILLIC_ADDRESS = re.compile(
     rf"(?:(?<!\w){STREET}\.?\s{{0,2}}{NAME},?\s{{0,2}}(?:{HOUSE}\.?\s?)?№?\s?{NO}"
-    rf"|(?<!\w)[^\W\d_][\w-]*(?:ий|ый|ой|ая|ський|цький|ська|ого|ом)\s(?:{STREET})\.?,?\s{{0,2}}(?:{HOUSE}\.?\s?)?№?\s?{NO}"
+    rf"|(?<!\w)[^\W\d_][\w-]{{0,40}}(?:ий|ый|ой|ая|ський|цький|ська|ого|ом)\s(?:{STREET})\.?,?\s{{0,2}}(?:{HOUSE}\.?\s?)?№?\s?{NO}"
     rf"|(?<!\w)\d{{1,4}}(?:-?[йяі])?\s{HOUSE}\s(?:на|по)\s{STREET}\.?\s{NAME}"
-    rf"|(?<!\w)[^\W\d_][\w-]*(?:ая|яя|ий|ый|ой|ська|івська|евська|а),\s{{0,2}}{HOUSE}\.?\s?{NO})"
+    rf"|(?<!\w)[^\W\d_][\w-]{{0,40}}(?:ая|яя|ий|ый|ой|ська|івська|евська|а),\s{{0,2}}{HOUSE}\.?\s?{NO})"
     r"(?:,?\s{0,2}(?:корп(?:ус)?|к|стр(?:оение)?|кв(?:артира)?|оф(?:ис)?|под(?:ъезд)?)\.?\s?\d{1,4}[а-я]?)*",
     re.I,
 )
 LATIN_ADDRESS = re.compile(
     r"(?:(?<!\w)\d{1,5}[a-z]?,?\s(?:[a-z][\w'’-]*\s){1,3}(?:street|st|road|rd|lane|ln|avenue|ave|drive|dr|court|ct|square|sq|way|boulevard|blvd|close|terrace|crescent|place)(?!\w)\.?(?:,?\s(?:apt|apartment|flat|unit|suite)\.?\s?\d{1,5}[a-z]?)?"
-    r"|(?<!\w)[a-zäöüß][\wäöüß-]*\s?(?:straße|strasse|str\.|weg|allee|gasse|platz|damm|ufer|ring)\s(?:nr\.?\s?)?\d{1,4}\s?(?:[a-z](?!\w))?"
+    r"|(?<!\w)[a-zäöüß][\wäöüß-]{0,40}\s?(?:straße|strasse|str\.|weg|allee|gasse|platz|damm|ufer|ring)\s(?:nr\.?\s?)?\d{1,4}\s?(?:[a-z](?!\w))?"
     r"|(?<!\w)(?:calle|c/|avenida|avda|av|plaza|paseo|camino|carretera|ronda|travesía)\.?\s(?:de\s(?:la\s|los\s|las\s)?|del\s)?[a-záéíóúñ][\w-]*(?:\s[a-záéíóúñ][\w-]*)?,?\s(?:n[.º°]{0,2}\s?|número\s)?\d{1,4}(?!\d)(?:,\s?\d{1,2}\s?[ºª°]\s?[a-z]?)?)",
     re.I,
 )

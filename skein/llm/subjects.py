@@ -14,14 +14,14 @@ from skein.llm.abuse import SHAPE, sentences
 from skein.llm.store import dropped, joined, written
 
 ROUNDS = 4
-#: Smoothed share of the weight of a phrase's documents that a subject must have, for the phrase to
-#: carry it, and the number of documents that the phrase must be in.
-SHARE, PRIOR, SUPPORT = 0.55, 4.0, 3.0
+#: For a phrase to carry a subject, the subject's smoothed share of the weight of the phrase's
+#: documents must go this part of the way from an even share to all, in so many documents.
+SHARE, PRIOR, SUPPORT = 0.49, 4.0, 3.0
 #: Within a sentence a subject may be this much below the best one.
 BELOW = 0.25
-#: A sentence known from this many documents is judged as a whole: below this share it is a
-#: figure of speech, whatever its words are.
-WHOLE, WHOLE_SHARE = 8.0, 0.4
+#: A sentence known from this many documents is judged as a whole: if the subject's share goes
+#: less than this part of the way, it is a figure of speech, whatever its words are.
+WHOLE, WHOLE_SHARE = 8.0, 0.31
 #: Documents that speak for a word whose beginning is in BEGINNINGS, before any is read.
 KNOWN = 6.0
 # Beginnings of words that are usually about a subject, in the corpus languages.
@@ -115,6 +115,8 @@ def subject_lists(documents: DataFrame, labels: DataFrame, subjects: list[str],
     """
     spark = documents.sparkSession
     ks = range(len(subjects))
+    even = 1 / max(1, len(subjects))
+    enough, figure = even + SHARE * (1 - even), even + WHOLE_SHARE * (1 - even)
     rows, path = written(sentence_terms(documents, id_col, text_col, subjects), "sentences")
     has = rows.select("doc", "sentence", "times")
     first = rows.filter(F.col("terms").isNotNull()).groupBy("sentence").agg(F.first(F.arrays_zip("terms", "hits")).alias("z"))
@@ -139,13 +141,13 @@ def subject_lists(documents: DataFrame, labels: DataFrame, subjects: list[str],
         phrases = terms.join(whole, "sentence", "left").groupBy("term").agg(F.count(F.lit(1)).alias("c"), F.max("hit").alias("hit"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"), *[F.coalesce(F.sum(f"y{k}"), F.lit(0.0)).alias(f"y{k}") for k in ks])
         held = [F.when(F.col("hit") == k + 1, F.col(f"y{k}") + KNOWN).otherwise(F.col(f"y{k}")).alias(f"y{k}") for k in ks]
         phrases = phrases.select("term", "c", F.when(F.col("hit") > 0, F.col("n") + KNOWN).otherwise(F.col("n")).alias("n"), *held)
-        share = [((F.col(f"y{k}") + PRIOR / len(subjects)) / (F.col("n") + PRIOR)).alias(f"p{k}") for k in ks]
-        phrases = phrases.filter(F.col("n") >= SUPPORT).select("term", "c", *share).filter(F.greatest(*[F.col(f"p{k}") for k in ks]) >= SHARE)
+        share = [((F.col(f"y{k}") + PRIOR * even) / (F.col("n") + PRIOR)).alias(f"p{k}") for k in ks]
+        phrases = phrases.filter(F.col("n") >= SUPPORT).select("term", "c", *share).filter(F.greatest(*[F.col(f"p{k}") for k in ks]) >= enough)
         sized, sized_path = written(phrases, "phrases")
         best = joined(terms.select("sentence", "term"), sized, ["term"], n_terms).groupBy("sentence").agg(*[F.max(f"p{k}").alias(f"p{k}") for k in ks])
         best = best.join(whole, "sentence", "left")
         top = F.greatest(*[F.col(f"p{k}") for k in ks])
-        told = [((F.col(f"p{k}") >= SHARE) & (F.col(f"p{k}") >= top - BELOW) & ~F.coalesce((F.col("n") >= WHOLE) & (F.col(f"y{k}") < WHOLE_SHARE * F.col("n")), F.lit(False))).cast("int").alias(f"g{k}") for k in ks]
+        told = [((F.col(f"p{k}") >= enough) & (F.col(f"p{k}") >= top - BELOW) & ~F.coalesce((F.col("n") >= WHOLE) & (F.col(f"y{k}") < figure * F.col("n")), F.lit(False))).cast("int").alias(f"g{k}") for k in ks]
         new, new_path = written(best.select("sentence", *told).filter(F.greatest(*[F.col(f"g{k}") for k in ks]) > 0), "guess")
         for p in (whole_path, sized_path, guess_path):
             if p:
