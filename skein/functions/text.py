@@ -69,7 +69,7 @@ def count_matches(c: Column, pattern: str) -> Column:
 
 def clipped(c: Column, most: int) -> Column:
     """At most ``most`` characters, three dots in place of the rest."""
-    cut = F.regexp_replace(F.substring(c, 1, most), r"[ ,;:\-]+$", "")
+    cut = F.regexp_replace(F.substring(c, 1, most - 3), r"[ ,;:\-]+$", "")
     return F.when(F.length(c) <= most, c).otherwise(F.concat(cut, F.lit("...")))
 
 

@@ -107,7 +107,7 @@ _value("str_01_normalize", lambda raw, t, w: {"text_normalized": t}, "t AS text_
 _value("str_02_hash", lambda raw, t, w: {"text_hash": T.text_hash(F.lower(t))}, "sha256(lower(t)) AS text_hash")
 _value("str_03_tokens", lambda raw, t, w: {f"n{k}": F.size(T.words(F.lower(t), k)).cast("bigint") for k in (1, 3, 4)}, ", ".join(f"len({words_sql('lower(t)', k)}) AS n{k}" for k in (1, 3, 4)))
 _value("str_04_token_set", lambda raw, t, w: {"tokens": F.array_join(T.token_set(t, 4, P.STOPWORDS), " ")}, f"array_to_string({tokens_sql('t', 4)}, ' ') AS tokens")
-_value("str_06_clip", lambda raw, t, w: {"clipped": T.clipped(t, 60)}, "CASE WHEN length(t) <= 60 THEN t ELSE regexp_replace(substring(t, 1, 60), '[ ,;:\\-]+$', '') || '...' END AS clipped")
+_value("str_06_clip", lambda raw, t, w: {"clipped": T.clipped(t, 60)}, "CASE WHEN length(t) <= 60 THEN t ELSE regexp_replace(substring(t, 1, 57), '[ ,;:\\-]+$', '') || '...' END AS clipped")
 _value("str_07_clip_words", lambda raw, t, w: {"clipped": T.clipped_words(t, 12)}, "CASE WHEN len(string_split(t, ' ')) <= 12 THEN t ELSE array_to_string(string_split(t, ' ')[1:8] || ['...'] || string_split(t, ' ')[-4:], ' ') END AS clipped")
 _value("str_10_compact", lambda raw, t, w: {"compact": T.compacted(t)}, "regexp_replace(lower(t), '[^\\p{L}\\p{N}]+', '', 'g') AS compact")
 _value("arr_03_top_token_share", lambda raw, t, w: {"share": F.round(T.top_token_share(w), 4)}, f"round({TOP_SQL}, 4) AS share")
