@@ -114,8 +114,9 @@ def lexical_diversity(w: Column) -> Column:
 def top_token_share(w: Column) -> Column:
     """Share of the most frequent word."""
     low = F.transform(w, F.lower)
-    counts = F.transform(F.array_distinct(low), lambda x: F.size(F.filter(low, lambda y: y == x)))
-    return F.coalesce(F.array_max(counts) / F.size(w), F.lit(0.0))
+    # what is left without a word is counted by a built-in pass, not by a lambda for each pair
+    rest = F.transform(F.array_distinct(low), lambda x: F.size(F.array_remove(low, x)))
+    return F.coalesce(F.try_divide(F.size(w) - F.array_min(rest), F.size(w)), F.lit(0.0))
 
 
 def symbol_ratio(c: Column) -> Column:

@@ -30,8 +30,10 @@ def low_content(t: Column, w: Column) -> Column:
 
 def low_signal(t: Column, w: Column, s: Settings = DEFAULT) -> Column:
     """Repeated characters, few letters, many symbols, or few different words."""
-    n = F.size(w)
-    return T.repeats(F.lower(t)) | (T.alpha_count(t) < s.min_alpha) | ((T.symbol_ratio(t) > s.max_symbol_ratio) & (n <= 10)) | ((n >= 6) & ((T.lexical_diversity(w) < s.min_diversity) | (T.top_token_share(w) >= 0.7)))
+    n, diversity = F.size(w), T.lexical_diversity(w)
+    # a word that makes up 70 % of six words or more leaves a diversity below 0.5, so few rows are counted
+    same = (diversity < s.min_diversity) | ((diversity < 0.5) & (T.top_token_share(w) >= 0.7))
+    return T.repeats(F.lower(t)) | (T.alpha_count(t) < s.min_alpha) | ((n <= 10) & (T.symbol_ratio(t) > s.max_symbol_ratio)) | ((n >= 6) & same)
 
 
 def spam_link(raw: Column, t: Column) -> Column:

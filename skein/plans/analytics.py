@@ -12,7 +12,7 @@ from skein.operators import briefing as B
 from skein.operators import topics as K
 from skein.plans.filters import _q, _strip, like_sql, squeeze_sql, words_sql
 from skein.plans.registry import query
-from skein.sources import table
+from skein.sources import spread, table
 
 AUTHOR = "Олег"
 _LOWER = f"lower({squeeze_sql('coalesce(text_raw, chr(32))')})"
@@ -42,7 +42,7 @@ _SURE = f"CASE {TARGET} WHEN 'author' THEN (CASE WHEN {_INSULT} THEN 0.90 ELSE 0
 
 def _addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "video_settings").select("video_id", A.name_pattern(A.guest_names(F.col("guest_names"))).alias("guests"))
-    c = table(spark, sf_dir, "raw_comments").select("comment_id", "video_id", F.coalesce("text_raw", F.lit(" ")).alias("text_raw"))
+    c = spread(table(spark, sf_dir, "raw_comments")).select("comment_id", "video_id", F.coalesce("text_raw", F.lit(" ")).alias("text_raw"))
     return c.join(g, "video_id", "left").withColumn("author", A.name_pattern(F.array(F.lit(AUTHOR))))
 
 
@@ -132,12 +132,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, to
 
 @query("agg_15_keywords", _keyword_sql("0.0::DOUBLE"))
 def agg_15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.keywords(table(spark, sf_dir, "raw_comments"), ["video_id"], "text_raw").select("video_id", "token", "score")
+    return K.keywords(spread(table(spark, sf_dir, "raw_comments")), ["video_id"], "text_raw").select("video_id", "token", "score")
 
 
 @query("agg_16_weighted_keywords", _keyword_sql("greatest(0.1::DOUBLE, 1 + coalesce(like_count, 0)::DOUBLE)"))
 def agg_16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "raw_comments").withColumn("weight", 1 + F.coalesce("like_count", F.lit(0)).cast("double"))
+    c = spread(table(spark, sf_dir, "raw_comments")).withColumn("weight", 1 + F.coalesce("like_count", F.lit(0)).cast("double"))
     return K.keywords(c, ["video_id"], "text_raw", "weight").select("video_id", "token", "score")
 
 
@@ -284,6 +284,6 @@ def win_14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("win_15_unique_labels")
 def win_15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = K.keywords(table(spark, sf_dir, "raw_comments"), ["video_id"], "text_raw").groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("tokens"))
+    words = K.keywords(spread(table(spark, sf_dir, "raw_comments")), ["video_id"], "text_raw").groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("tokens"))
     v = table(spark, sf_dir, "videos").select(F.col("id").alias("video_id"), "playlist_id", F.split("title", ":")[0].alias("label")).join(words, "video_id")
     return K.unique_labels(v.withColumn("ord", F.col("video_id")), "playlist_id")

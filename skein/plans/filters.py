@@ -11,7 +11,7 @@ from skein.functions import text as T
 from skein.operators import preprocess as P
 from skein.plans.registry import query
 from skein.settings import DEFAULT as S
-from skein.sources import table
+from skein.sources import spread, table
 
 
 def _q(s: str) -> str:
@@ -71,7 +71,7 @@ b1 AS (SELECT *, {normal_sql("raw")} AS t FROM b0), b AS (SELECT *, {words_sql("
 
 
 def _comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "raw_comments").join(P.topic_tokens(table(spark, sf_dir, "videos")), "video_id", "left")
+    c = spread(table(spark, sf_dir, "raw_comments")).join(P.topic_tokens(table(spark, sf_dir, "videos")), "video_id", "left")
     return c.withColumn("raw", T.stripped(F.coalesce("text_raw", F.lit("")))).withColumn("t", T.normalized(F.col("raw"))).withColumn("w", T.words(F.col("t")))
 
 
@@ -131,7 +131,7 @@ SELECT comment_id, video_id, filter_reason, filter_reason IS NOT NULL AS is_filt
 
 
 def preprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.preprocess(table(spark, sf_dir, "raw_comments"), table(spark, sf_dir, "videos"))
+    return P.preprocess(spread(table(spark, sf_dir, "raw_comments")), table(spark, sf_dir, "videos"))
 
 
 @query("flt_01_preprocess", _FULL)

@@ -1,5 +1,5 @@
 """Readers of the tables and of raw landed files."""
 
-from skein.sources.tables import table
+from skein.sources.tables import spread, table
 
-__all__ = ["table"]
+__all__ = ["spread", "table"]
