@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import abuse, caps, containers, copies, encode, language, normal_form, personal, splits, subjects
 from skein.llm.keys import bare
-from skein.sources import table
+from skein.sources import spread, table
 
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 CAP = 25
@@ -32,12 +32,12 @@ _PERSONAL = {"text_raw": False, "author_name": True}
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = personal.found_spans(table(spark, sf_dir, "raw_comments"), "comment_id", _PERSONAL, personal.fitted(), kinds_only=True)
+    spans = personal.found_spans(spread(table(spark, sf_dir, "raw_comments")), "comment_id", _PERSONAL, personal.fitted(), kinds_only=True)
     return spans.select("comment_id", "field_name", "kind")
 
 
 def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.redacted(table(spark, sf_dir, "raw_comments"), "comment_id", _PERSONAL, personal.fitted())
+    return personal.redacted(spread(table(spark, sf_dir, "raw_comments")), "comment_id", _PERSONAL, personal.fitted())
 
 
 def _languages(spark: SparkSession, sf_dir: str) -> language.CrossParser:
@@ -45,19 +45,19 @@ def _languages(spark: SparkSession, sf_dir: str) -> language.CrossParser:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.wrong_labels(table(spark, sf_dir, "raw_comments"), "comment_id", "text_raw", "language_label", _languages(spark, sf_dir))
+    return language.wrong_labels(spread(table(spark, sf_dir, "raw_comments")), "comment_id", "text_raw", "language_label", _languages(spark, sf_dir))
 
 
 def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = _languages(spark, sf_dir)
-    comments = language.segment_languages(table(spark, sf_dir, "raw_comments"), "comment_id", "text_raw", model).withColumnRenamed("comment_id", "row_id")
-    documents = language.segment_languages(table(spark, sf_dir, "documents"), "doc_id", "text", model).withColumnRenamed("doc_id", "row_id")
+    comments = language.segment_languages(spread(table(spark, sf_dir, "raw_comments")), "comment_id", "text_raw", model).withColumnRenamed("comment_id", "row_id")
+    documents = language.segment_languages(spread(table(spark, sf_dir, "documents")), "doc_id", "text", model).withColumnRenamed("doc_id", "row_id")
     return comments.select(F.lit("raw_comments").alias("tbl"), "*").unionByName(documents.select(F.lit("documents").alias("tbl"), "*"))
 
 
 def _delivered(spark: SparkSession, sf_dir: str, what: Callable) -> DataFrame:
-    comments = what(table(spark, sf_dir, "raw_comments"), "comment_id", copies.comment_key())
-    payloads = what(table(spark, sf_dir, "raw_payloads"), "payload_id", copies.json_key(F.col("payload")))
+    comments = what(spread(table(spark, sf_dir, "raw_comments")), "comment_id", copies.comment_key())
+    payloads = what(spread(table(spark, sf_dir, "raw_payloads")), "payload_id", copies.json_key(F.col("payload")))
     return comments.select(F.lit("raw_comments").alias("tbl"), "*").unionByName(payloads.select(F.lit("raw_payloads").alias("tbl"), "*"))
 
 
@@ -87,7 +87,7 @@ def _scored(spark: SparkSession, sf_dir: str, tables: dict[str, tuple[str, str]]
     model = abuse.train(*abuse.sampled(table(spark, sf_dir, "toxic_training_data"), "text", "is_toxic"))
     out = None
     for name, (row_id, text) in tables.items():
-        rows = abuse.scored(table(spark, sf_dir, name), row_id, text, model).withColumnRenamed(row_id, "row_id").select(F.lit(name).alias("tbl"), "*")
+        rows = abuse.scored(spread(table(spark, sf_dir, name)), row_id, text, model).withColumnRenamed(row_id, "row_id").select(F.lit(name).alias("tbl"), "*")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -116,24 +116,24 @@ def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normal_form.look_alikes(table(spark, sf_dir, "raw_comments"), "comment_id", "text_raw")
+    return normal_form.look_alikes(spread(table(spark, sf_dir, "raw_comments")), "comment_id", "text_raw")
 
 
 def p7_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normal_form.normal_forms(table(spark, sf_dir, "raw_comments"), "comment_id", "text_raw")
+    return normal_form.normal_forms(spread(table(spark, sf_dir, "raw_comments")), "comment_id", "text_raw")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode.encoded(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return encode.encoded(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return containers.packed(encode.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "n_tokens", CAPACITY)
+    return containers.packed(encode.token_counts(spread(table(spark, sf_dir, "documents")), "doc_id", "text"), "doc_id", "n_tokens", CAPACITY)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     closed = sorted(r["subject"] for r in table(spark, sf_dir, "subject_areas").select("subject").collect())  # a fixed, short list
-    return subjects.subject_lists(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), closed)
+    return subjects.subject_lists(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "subject_labels"), closed)
 
 
 def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
