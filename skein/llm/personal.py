@@ -52,8 +52,8 @@ FAMILY = re.compile(rf"[^\W\d_]{{2,}}(?:{N.FAMILY_CYRILLIC}|{N.FAMILY_LATIN})$",
 BETWEEN = re.compile(r"[ \t_-]{1,3}$|[ \t]?-[ \t]?$")
 # Words near a span that tell of a kind, by beginning.
 NEAR = {
-    "phone": r"тел|звон|телефон|номер|набир|пиш|whats|viber|call|phone|ring|ruf|anruf|llám|llam|дзвон|мастер|майстер|mobil|after|после|після|nach",
-    "id": r"паспорт|инн|снилс|іпн|удостов|посвідч|passport|reisepass|ssn|social|tax|dni|nie|nif|documento|ident|ausweis|steuer|card|полис|страх|personal|код",
+    "phone": r"тел|звон|телефон|номер|number|nummer|número|numero|набир|пиш|whats|viber|call|phone|ring|ruf|anruf|llám|llam|дзвон|мастер|майстер|mobil|after|после|після|nach",
+    "id": r"паспорт|инн|снилс|іпн|удостов|посвідч|passport|reisepass|ssn|social|tax|dni|nie|nif|documento|ident|ausweis|steuer|card|полис|страх|personal|рнокпп|ипн|іпн",
     "other": r"закон|гост|фз|статьи|стать|верси|версі|version|build|просмотр|перегляд|views|aufruf|visit|курс|руб|евро|доллар|usd|eur|тайм|хвил|минут|minut|zeit|marca|timecode|article|пункт|серии|выпуск|likes|лайк|подписч|subscr|просм|release|заказ|order|год|року|jahr|año",
     "home": r"жив|адрес|мешк|прожива|live|address|wohn|vivo|домой|дом|приез|приїзд|come|kommt|veng|тут|here|находит|потоп|flood",
     "name": r"зовут|зват|звати|имя|ім|сосед|сусід|уваж|повагою|найти|знайти|name|regards|sincerely|neighbour|neighbor|heiße|heisse|nachbar|grüß|llamo|vecin|saludos|atentamente|господин|пан|инженер|вчител|teacher|engineer|lehrer|maestr|подпись|автор|вот|said|told",
@@ -68,7 +68,10 @@ COMMON = frozenset(
     el la los las y es no con de del para por un una en que como más muy pero sin sobre entre hasta desde este esta aquí allí todo todos gracias""".split()
 )
 
-FEATURES = 30
+#: A number before such a word counts something.
+COUNTED = re.compile(r"\s*(?:просмотр|перегляд|prosmotr|views?|aufruf|visit|vistas|лайк|like|подписч|subscrib|руб|грн|евро|долл|usd|eur|раз|человек|люд|people|personas|leute|лет|рок|year|jahr|años|дней|дня|days|tage|días|минут|процент|штук|км|кг|km|kg)", re.I)
+#: Context ends where a sentence does.
+SENTENCE_END = re.compile(r"[!?…\n]\s*|\.\s+(?=[A-ZА-ЯЁІЇЄҐ])")
 
 
 class Text:
@@ -124,7 +127,9 @@ class Text:
 
 def _features(t: str, a: int, b: int, kind: int, author: bool, extra: Mapping[str, float]) -> list[float]:
     """Format and context of a candidate span; the same columns for every kind."""
-    span, left, right = t[a:b], t[max(0, a - 28) : a], t[b : b + 24]
+    span, left, right = t[a:b], SENTENCE_END.split(t[max(0, a - 32) : a])[-1], SENTENCE_END.split(t[b : b + 24])[0]
+    after = t[b : b + 2].ljust(2)
+    follows = 0.0 if not after.strip() else 1.0 if not after[0].isspace() else 2.0 if after[1].islower() else 3.0
     digits = sum(c.isdigit() for c in span)
     letters = sum(c.isalpha() for c in span)
     upper = sum(c.isupper() for c in span)
@@ -135,6 +140,7 @@ def _features(t: str, a: int, b: int, kind: int, author: bool, extra: Mapping[st
         float(kind), float(author), float(len(span)), float(digits), float(letters), float(upper), float(groups), float(len(first[1]) if first else 0),
         float(span[0] in "+("), float("(" in span), float(span.count("-")), float(span.count(".")), float(span.count(" ")), float("№" in span or left.rstrip()[-1:] == "№"),
         extra.get("a", 0.0), extra.get("b", 0.0), extra.get("c", 0.0), extra.get("d", 0.0), float(right[:1] in "%$€₽,:" and right[1:2].isdigit() or left[-1:] in "$€"), float(not left.strip()),
+        follows, float(bool(COUNTED.match(t[b : b + 16]))),
         *near,
     ]
 
@@ -184,13 +190,15 @@ def candidates(t: str, author: bool) -> Iterator[tuple[int, int, int, Mapping[st
             patron = bool(PATRONYMIC.match(w))
             family = bool(FAMILY.match(w))
             a, b = words[lo][0], words[hi][1]
+            if not (patron or family or capital[i] or capital[j] or _NEAR["name"].search(t[max(0, a - 24) : a])):
+                continue
             more = hi + 1
             if patron and more < len(words) and BETWEEN.match(t[b : words[more][0]]) and FAMILY.match(t[slice(*words[more])]):
                 b = words[more][1]
             if lo and (patron or PATRONYMIC.match(t[slice(*words[hi])])) and BETWEEN.match(t[words[lo - 1][1] : a]) and FAMILY.match(t[slice(*words[lo - 1])]) and capital[lo - 1]:
                 a = words[lo - 1][0]
             both = float(capital[i] and capital[j])
-            yield 4, a, b, {"a": 2.0 * patron + family, "b": both * (1 - 0.5 * max(titled, shouted)), "c": float(j < i) + 2 * (k == 2), "d": titled + 2 * shouted}
+            yield 4, a, b, {"a": 2.0 * patron + family, "b": both * (1 - 0.5 * max(titled, shouted)), "c": float(j < i) + 2 * (k == 2), "d": titled + 2 * shouted + 4 * (capital[i] != capital[j])}
 
 
 class Detector:
@@ -239,7 +247,7 @@ _CYR = dict(zip("abdeklmnoprstvi", "абдеклмнопрстви", strict=True
 
 
 def _made_up(r: random.Random, cyrillic: bool) -> str:
-    w = "".join(r.choice(_SYLLABLES) for _ in range(r.randint(2, 3)))
+    w = "".join(r.choice(_SYLLABLES) for _ in range(r.randint(2, 4)))
     return "".join(_CYR[c] for c in w) if cyrillic else w
 
 
@@ -291,20 +299,20 @@ def _person(r: random.Random) -> tuple[str, bool]:
 
 _FRAMES = {
     0: ["Пишите на {}, жду ответа.", "{}", "Моя почта {}", "Contact: {} please", "Write to {}.", "Schreibt an {}.", "Escriban a {}", "Пишіть на {}", "{} — туда шлите файлы."],
-    1: ["Звоните {} вечером.", "Мой телефон {}", "тел. {}", "{}", "Call me at {} tonight.", "Мастер {}", "Ruft an: {}.", "Llámenme al {} hoy.", "Телефонуйте {} зранку.", "Нужен ремонт? {}", "Отличный выпуск. {}"],
+    1: ["Звоните {} вечером.", "Мой телефон {}", "тел. {}", "{}", "Call me at {} tonight.", "Мастер {}", "Ruft an: {}.", "Llámenme al {} hoy.", "Телефонуйте {} зранку.", "Нужен ремонт? {}", "Отличный выпуск. {}", "{} звоните вечером", "{} — мастер", "{} call any time"],
     2: ["Мой паспорт {} потерян.", "ИНН {} указан неверно", "СНИЛС {}, отказали", "Удостоверение № {} нашли.", "My passport {} expired.", "lost my SSN {} again", "ID card {} was refused", "Ausweisnummer {} prüfen", "Mi DNI es {} y punto", "паспорт {}, перевіряйте", "documento de identidad {}"],
-    3: ["Живу по адресу {}, заходите.", "Это было тут: {}.", "{}", "I live at {}, come over.", "Ich wohne in der {}.", "Vivo en {}, vengan.", "Мешкаю: {}, приїздіть", "Авария: {}, второй день.", "Flooded again at {} and so on"],
-    4: ["Меня зовут {}, я врач.", "С уважением, {}", "{}", "Нам говорил сосед, {}.", "Ищем: {}, пропал вчера.", "My name is {} and I teach.", "Our neighbour {} said so.", "Ich heiße {} und koche.", "Me llamo {} y canto.", "Мене звати {}, я лікар.", "А вот {} против."],
+    3: ["Живу по адресу {}, заходите.", "Это было тут: {}.", "{}", "I live at {}, come over.", "Ich wohne in der {}.", "Vivo en {}, vengan.", "Мешкаю: {}, приїздіть", "Авария: {}, второй день.", "Flooded again at {} and so on", "{} затопило вчера", "{} is closed today", "Meet me at {} tonight"],
+    4: ["Меня зовут {}, я врач.", "С уважением, {}", "{}", "Нам говорил сосед, {}.", "Ищем: {}, пропал вчера.", "My name is {} and I teach.", "Our neighbour {} said so.", "Ich heiße {} und koche.", "Me llamo {} y canto.", "Мене звати {}, я лікар.", "А вот {} против.", "{} против этой идеи", "{} говорил иначе.", "{} said the same yesterday.", "{} wohnt hier", "{} lo sabe bien", "{}, привет вам", "Передайте {} привет", "Ждём {} в студии"],
 }
 _OTHER = [
-    "Набрали {n3} просмотров за день", "{n3} views in a week", "Закон № {n2}-ФЗ", "По ГОСТ {n5}-20{n2} нельзя", "Версия {n2}.{n1}.{n2}.{n1} вышла", "Build {n2}.{n1}.{n2}.{n1}", "Курс был {n2},{n5}, стал {n2},{n5}.", "Тайм-код 00:{n2}:{n2}", "Заказ {n5}{n2} отменён", "В 20{n2}-20{n2} годах", "Цена {n2} 000 000 руб", "счёт {n1}:{n1}", "{n3} лайков", "статья {n5}{n1} пункт {n1}", "Бюджет {n3} рублей",
+    "Набрали {n3} просмотров за день", "{n3} views in a week", "Nabrali {n3} prosmotrov za den", "Набрали {n3} просмотров", "Уже {n3} просмотров и лайков", "{n3} Aufrufe am Tag", "{n3} visitas en un día", "Закон № {n2}-ФЗ", "По ГОСТ {n5}-20{n2} нельзя", "Нарушен ГОСТ {n5}-20{n2}", "ГОСТ Р {n5}-19{n2} отменён", "Po GOST {n5}-20{n2} nelzya", "Версия {n2}.{n1}.{n2}.{n1} вышла", "Build {n2}.{n1}.{n2}.{n1}", "Курс был {n2},{n5}, стал {n2},{n5}.", "Тайм-код 00:{n2}:{n2}", "Заказ {n5}{n2} отменён", "В 20{n2}-20{n2} годах", "Цена {n2} 000 000 руб", "счёт {n1}:{n1}", "{n3} лайков", "статья {n5}{n1} пункт {n1}", "Бюджет {n3} рублей",
     "Дом на проспекте сносят", "На улице людно, {n2} человек", "улица пустая, {n5}", "the street is loud at {n2}", "В дом {n2} раза звонили", "la calle está llena, {n2} personas", "Auf dem Weg {n2} Leute", "Площадь затопило, {n2} дней ждали", "Only {n2} people on the road", "на 2-й минуте, {n2} раз",
-    "{g}, спасибо за тон", "Слушаю, {g} молодец", "{g} говорит правду", "Привет от {g} из зала", "Thanks {g} for the show", "hello {g} nice one", "роман в стихах", "Новый перевод романа читается легче", "вера людей в науку", "любовь зрителей", "Danke {g} für alles", "gracias {g} por todo", "{g} Спасибо Вам Большое", "{g} ведущий отличный", "{g} рассказал новости", "{g} was right", "надежда остаётся", "Alle kennen {g} gut",
+    "{g}, спасибо за тон", "Слушаю, {g} молодец", "{g} говорит правду", "Привет от {g} из зала", "Thanks {g} for the show", "hello {g} nice one", "роман в стихах", "Новый перевод романа читается легче", "вера людей в науку", "Сравните роман с фильмом", "Обсудите роман здесь", "Читали роман всей семьёй", "Дайте надежду людям", "Наша вера крепка", "Покажите любовь к делу", "Buy a rose today", "Please mark the date", "Say grace before dinner", "Total grace under pressure", "любовь зрителей", "Danke {g} für alles", "gracias {g} por todo", "{g} Спасибо Вам Большое", "{g} ведущий отличный", "{g} рассказал новости", "{g} was right", "надежда остаётся", "Alle kennen {g} gut",
     "@user_{n2} и @{w}_{n1}", "ссылка https://site.test/{w}?v={n5}", "встреча в {n2} at the {w}", "look at {w}.com now", "Бодрый компас {n5}{n2}", "@{w}{n5}{n2}", "@user-{n5}{n2}", "{w} {n5}{n2}", "Весёлый кот {n5}", "Большой {w} {n5}{n1}", "Мастер дел", "{w} собака лает громко", "at home {w}. ok then",
 ]
 
 
-def training_set(seed: int = 7, size: int = 9000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def training_set(seed: int = 7, size: int = 14_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, labels and kinds of candidates in made-up sentences, right and wrong ones."""
     r = random.Random(seed)
     makers = [_email, _phone, _identity, _address, lambda q: _person(q)[0]]
@@ -322,6 +330,8 @@ def training_set(seed: int = 7, size: int = 9000) -> tuple[np.ndarray, np.ndarra
             frame = "{}" if author else r.choice(_FRAMES[k])
             if r.random() < 0.3 and not author:
                 frame = r.choice(["Хороший эфир. ", "Great show! ", "Ну вот. ", "В 2024 году было лучше. "]) + frame
+            if r.random() < 0.25 and not author:
+                frame += r.choice([" Спасибо всем", " 👍", " Great show", " #тег12", "\nДальше другое", " Danke", ")))", "!!"])
             if author and k in (0, 1):
                 frame = r.choice(["{}", "Мастер 42 {}"])
             t = frame.format(value)
@@ -332,6 +342,8 @@ def training_set(seed: int = 7, size: int = 9000) -> tuple[np.ndarray, np.ndarra
             t = r.choice(_OTHER)
             t = t.format(n1=r.randint(1, 9), n2=r.randint(10, 60), n3=r.choice([" ", " ", ",", "."]).join([str(r.randint(1, 999)), *(_digits(r, r.choice([2, 3, 3])) for _ in range(r.randint(2, 3)))]), n5=r.randint(10000, 199999), g=g, w=_made_up(r, False))
             form = r.random()
+            if r.random() < 0.25:
+                t += r.choice([" Спасибо всем", " 👍", " Great show", " #тег12", "\nДальше другое", " Danke", ")))", "!!"])
             t = t.title() if form < 0.12 else t.upper() if form < 0.2 else t.lower() if form < 0.35 else t
             k, a, b = -1, 0, 0
         for kind, x, y, extra in candidates(t, author):
