@@ -59,7 +59,7 @@ def keywords(comments: DataFrame, keys: Sequence[str], text: str, weight: str |
     n = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("docs"))
     w = F.greatest(F.lit(0.1), F.col(weight)) if weight else F.lit(0.0)
     words = F.filter(T.words(F.lower(F.col(text)), 4), lambda x: ~x.isin(*STOPWORDS, *LOW_VALUE) & ~x.rlike(r"^\p{N}+$"))
-    tokens = docs.select(*keys, w.alias("w"), words.alias("words")).select(*keys, "w", F.explode(F.transform(F.array_distinct("words"), lambda x: F.struct(x.alias("token"), F.size(F.filter("words", lambda y: y == x)).alias("tf")))).alias("t"))
+    tokens = docs.select(*keys, w.alias("w"), words.alias("words")).select(*keys, "w", F.explode(F.transform(F.array_distinct("words"), lambda x: F.struct(x.alias("token"), (F.size("words") - F.size(F.array_remove("words", x))).alias("tf")))).alias("t"))
     g = tokens.groupBy(*keys, F.col("t.token").alias("token")).agg(F.sum("t.tf").alias("tf"), F.count(F.lit(1)).alias("df"), F.sum(F.col("w") * F.col("t.tf")).alias("weight"))
     g = g.join(n, list(keys)).withColumn("share", F.col("df") / F.col("docs"))
     g = g.filter((F.col("tf") >= F.when(F.col("docs") >= 6, 2).otherwise(1)) & (F.col("share") <= 0.72))
