@@ -19,7 +19,7 @@ RUNS = (3, 4, 5)
 NOISE, LEAST = 0.05, 3
 SPACE, MASK = 0x20, ord("*")
 #: A long sentence is scored by the worst of overlapping windows of so many characters.
-WINDOW = 72
+WINDOW = 48
 
 
 def _table() -> np.ndarray:

@@ -36,6 +36,8 @@ BEGINNINGS = {
     "culture": "театр музей роман режисс скрипач оперн балет симфони выставк кино поэт драматург увертюр дириж theatre museum novel opera ballet symphon playwright curator jazz gemälde konzert regisseur cine teatr poesía ópera",
 }
 _LENGTHS = range(3, 12)
+#: Documents taken apart at a time, and sentences that a task remembers to have given the terms of.
+CHUNK, KEPT = 2000, 200_000
 TERMS = "doc bigint, sentence bigint, times int, terms array<bigint>, hits array<int>"
 
 
@@ -58,7 +60,7 @@ def sentence_terms(df: DataFrame, id_col: str, text_col: str, subjects: list[str
     hits (for each term the number of the subject that it usually belongs to, or 0).
 
     Case, accents, look-alike letters, numbers and marks do not matter. Terms are given where a
-    sentence first occurs in a batch, null after that. Null and wordless texts have no row.
+    task first meets a sentence, null after that. Null and wordless texts have no row.
     """
 
     known = _beginnings(subjects)
@@ -67,11 +69,13 @@ def sentence_terms(df: DataFrame, id_col: str, text_col: str, subjects: list[str
         return max((known.get(w[:n], 0) for n in _LENGTHS if n >= len(w) - 7), default=0)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+        seen: dict[str, int] = {}
+        for part in (batch.iloc[i : i + CHUNK] for batch in parts for i in range(0, len(batch), CHUNK)):
+            if len(seen) > KEPT:
+                seen.clear()
             ids = part["k"].to_numpy()
             chars, bounds, doc, *_ = sentences([t or "" for t in part["t"].tolist()])
             whole = chars.astype("<u4").tobytes().decode("utf-32-le")
-            seen: dict[str, int] = {}
             at: dict[tuple[int, int], int] = {}
             docs, sids, times, terms, hits = [], [], [], [], []
             for d, a, b in zip(doc.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -106,8 +110,8 @@ def subject_lists(documents: DataFrame, labels: DataFrame, subjects: list[str],
 
     ``labels`` (``id_col``, subject) are seeds for whole documents; they stay fixed in every round,
     wrong ones are outvoted. Words that begin as in BEGINNINGS are seeds of the first round, and
-    later on KNOWN documents' worth of evidence, which the corpus can outvote. A document has one unit of weight, divided among its seeds, or else
-    among the subjects of its sentences. A round gives each phrase the subjects that hold most of
+    later on KNOWN documents' worth of evidence, which the corpus can outvote. A document has one
+    unit of weight, divided among its seeds, or else among the subjects of its sentences. A round gives each phrase the subjects that hold most of
     the weight of its documents; each sentence the subjects of its phrases, unless the sentence as
     a whole occurs in documents of many subjects; and each document those of its sentences. A
     sentence is no evidence for itself. Several subjects are kept. Null and blank texts, and texts
