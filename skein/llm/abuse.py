@@ -230,7 +230,7 @@ def scored(df: DataFrame, id_col: str, text_col: str, model: Scorer) -> DataFram
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+        for part in (whole.iloc[i:j] for whole in parts for i, j in fold.slices(whole["t"].tolist())):
             texts = [t or "" for t in part["t"].tolist()]
             chars, bounds, doc, begin, end = sentences(texts)
             n = len(texts)

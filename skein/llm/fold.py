@@ -8,9 +8,9 @@ statistics only; texts that come out of an operator are never folded.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pyarrow as pa
 
 # Cyrillic and Greek letters (lower case) and the Latin letter of the same shape.
 SAME_SHAPE = dict(zip("аеорсухіјѕԁһԛԝοεακρτυχν", "aeopcyxijsdhqwoeakptuxv", strict=True))
@@ -64,6 +64,17 @@ def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return keep(codes, offsets, codes != GONE)
 
 
-def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
-    """Values of a string column; null becomes the empty text."""
-    return [x or "" for x in column.to_pylist()]
+def slices(texts: Sequence[str | None], most: int = 1_500_000) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts with about ``most`` characters, so that arrays of a batch stay small.
+
+    A single longer text is a run of its own.
+    """
+    start = total = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > start and total + n > most:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(texts):
+        yield start, len(texts)

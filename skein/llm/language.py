@@ -337,7 +337,7 @@ def segment_languages(df: DataFrame, id_col: str, text_col: str, model: CrossPar
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+        for part in (whole.iloc[i:j] for whole in parts for i, j in fold.slices(whole["t"].tolist())):
             out = detect(shared.value, part["t"].tolist())
             ids = part["k"].to_numpy()
             yield pd.DataFrame({"k": ids[out["doc"].to_numpy(np.int64)], "begin": out["begin"].astype("int32"), "end": out["end"].astype("int32"), "lang": out["lang"], "confidence": out["confidence"].astype("float64"), "main": out["main"]})
@@ -352,7 +352,7 @@ def wrong_labels(df: DataFrame, id_col: str, text_col: str, label_col: str, mode
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+        for part in (whole.iloc[i:j] for whole in parts for i, j in fold.slices(whole["t"].tolist())):
             out = detect(shared.value, part["t"].tolist())[["doc", "lang"]].drop_duplicates()
             doc = out["doc"].to_numpy(np.int64)
             several = np.bincount(doc, minlength=len(part))[doc] > 1 if len(doc) else np.zeros(0, bool)

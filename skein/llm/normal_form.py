@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.fold import slices
 from skein.llm.store import written
 
 # Letters of other alphabets and the Latin letter of the same shape.
@@ -67,17 +68,21 @@ def readable_sql(shape: str) -> str:
 
 
 def embedded(df: DataFrame, sql: str, schema: str) -> DataFrame:
-    """``sql`` over each Arrow batch of ``df``, which it reads as table ``part``."""
+    """``sql`` over each Arrow batch of ``df`` (a key and a text), which it reads as table ``part``.
+
+    Long texts are taken in smaller batches, so that DuckDB stays in memory.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         for batch in batches:
-            con.register("part", pa.table(batch))
-            out = con.sql(sql).to_arrow_table()
-            con.unregister("part")
-            yield from out.to_batches()
+            for i, j in slices(batch.column(1).to_pylist(), 4_000_000):
+                con.register("part", pa.table(batch.slice(i, j - i)))
+                out = con.sql(sql).to_arrow_table()
+                con.unregister("part")
+                yield from out.to_batches()
 
     return df.mapInArrow(run, schema)
 

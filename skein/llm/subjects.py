@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.abuse import SHAPE, sentences
+from skein.llm.fold import slices
 from skein.llm.store import dropped, joined, written
 
 ROUNDS = 4
@@ -36,8 +37,8 @@ BEGINNINGS = {
     "culture": "театр музей роман режисс скрипач оперн балет симфони выставк кино поэт драматург увертюр дириж theatre museum novel opera ballet symphon playwright curator jazz gemälde konzert regisseur cine teatr poesía ópera",
 }
 _LENGTHS = range(3, 12)
-#: Documents taken apart at a time, and sentences that a task remembers to have given the terms of.
-CHUNK, KEPT = 2000, 200_000
+#: Sentences that a task remembers to have given the terms of.
+KEPT = 200_000
 TERMS = "doc bigint, sentence bigint, times int, terms array<bigint>, hits array<int>"
 
 
@@ -70,7 +71,7 @@ def sentence_terms(df: DataFrame, id_col: str, text_col: str, subjects: list[str
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, int] = {}
-        for part in (batch.iloc[i : i + CHUNK] for batch in parts for i in range(0, len(batch), CHUNK)):
+        for part in (batch.iloc[i:j] for batch in parts for i, j in slices(batch["t"].tolist())):
             if len(seen) > KEPT:
                 seen.clear()
             ids = part["k"].to_numpy()
