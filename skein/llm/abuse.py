@@ -225,7 +225,8 @@ SCORES = "k bigint, score double, begin int, end int, worst double"
 def scored(df: DataFrame, id_col: str, text_col: str, model: Scorer) -> DataFrame:
     """Columns ``id_col``, score, begin, end, worst: the text's score, and place and score of its worst sentence.
 
-    Texts that are null or hold no word score 0 and have no sentence. Texts are read whole.
+    Texts that are null or hold no word score 0 and have no sentence. Texts are read whole. Of
+    sentences with equal scores the first is named. Each row of the table gives one row.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 

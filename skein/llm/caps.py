@@ -89,7 +89,11 @@ def ranked_places(df: DataFrame, id_col: str, author: Column, order: Sequence[Co
 
 def over_cap(df: DataFrame, id_col: str, author: Column, order: Sequence[Column], cap: int | None = None, share: float | None = None) -> DataFrame:
     """Column ``id_col`` of the rows that go when each author keeps ``cap`` rows, or ``share`` of all rows
-    (rounded down, one at least); the smaller limit holds if both are given. Rows without author stay."""
+    (rounded down, one at least); the smaller limit holds if both are given. Rows without author stay.
+
+    Null values of ``order`` come first. Rows that are there twice take two places, in any order.
+    An empty table gives an empty result.
+    """
     limits = [x for x in (cap, None if share is None else max(1, int(df.count() * share))) if x is not None]
     if not limits or min(limits) < 0:
         raise ValueError("cap or share must be given, and not below 0")

@@ -192,6 +192,7 @@ def packed(sizes: DataFrame, id_col: str, size_col: str, capacity: int) -> DataF
 
     Whole items unless larger than ``capacity``; sums of n in a container are at most
     ``capacity``. Items of size 0 take no room and go to container 0; null sizes are left out.
+    Items of one size are taken in the order of their ids; a row that is there twice is two items.
     To the driver comes a histogram with at most ``capacity`` counts; items are numbered in the
     order of falling size across all partitions and look up their run of the plan.
     """

@@ -107,7 +107,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def grouped_copies(df: DataFrame, id_col: str, key: Column, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Columns ``id_col``, ``kept_id`` (least id of the rows with the same key) and ``copies`` (their number).
 
-    Rows whose key is null are left out. Keys are split by their first bytes; a bucket that is too
+    Rows whose key is null are left out; a row that is there twice counts twice. Keys are split by their first bytes; a bucket that is too
     large is split by the bytes after its common beginning, and so on. A bucket that stays too
     large holds one key only: its rows get their result from its counters, without being gathered.
     """

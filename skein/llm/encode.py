@@ -102,7 +102,8 @@ class Encoder:
 def encoded(df: DataFrame, id_col: str, text_col: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """Columns ``id_col`` and ``ids`` (array of int), without special tokens.
 
-    The empty text gives an empty array, null gives null. Texts are encoded whole.
+    The empty text gives an empty array, null gives null. Texts are encoded whole. Each row of the
+    table gives one row. Equal ranks within a word are merged from the left.
     """
     path = f"{tokenizers}/{vocabulary}"
 

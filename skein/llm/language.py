@@ -332,7 +332,8 @@ SEGMENTS = "k bigint, begin int, end int, lang string, confidence double, main s
 def segment_languages(df: DataFrame, id_col: str, text_col: str, model: CrossParser) -> DataFrame:
     """Columns ``id_col``, begin, end (code points), lang, confidence, main: a row for each segment with words.
 
-    Null, empty and wordless texts have no row. Texts of any length are parsed whole.
+    Null, empty and wordless texts have no row. Texts of any length are parsed whole. Equal costs
+    go to the language that comes first in LANGUAGES; a row that is there twice repeats its segments.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 

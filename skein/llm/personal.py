@@ -377,7 +377,7 @@ def found_spans(df: DataFrame, id_col: str, text_cols: Mapping[str, bool], detec
     or, with ``kinds_only``, for the first span of each kind in a field.
 
     ``text_cols`` gives the columns, and for each whether it holds a name of an author. Null and
-    empty texts give nothing; texts are read whole.
+    empty texts give nothing; texts are read whole. A row that is there twice repeats its spans.
     """
     shared = df.sparkSession.sparkContext.broadcast(detector)
     cols = list(text_cols.items())
@@ -402,7 +402,7 @@ def found_spans(df: DataFrame, id_col: str, text_cols: Mapping[str, bool], detec
 def redacted(df: DataFrame, id_col: str, text_cols: Mapping[str, bool], detector: Detector) -> DataFrame:
     """``id_col`` and the text columns, with [EMAIL], [PHONE] and so on in place of what was found.
 
-    Everything else stays as it is; null stays null.
+    Everything else stays as it is; null stays null, the empty text stays empty. Rows keep their number.
     """
     shared = df.sparkSession.sparkContext.broadcast(detector)
     cols = list(text_cols.items())

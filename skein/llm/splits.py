@@ -49,7 +49,8 @@ def linked_rows(df: DataFrame, id_col: str, author: str, keys: Sequence[str]) ->
     Rows are linked by an author that differs only in case, white space and punctuation, or by an
     equal value of one of ``keys``; null links nothing. A row without links is its own group;
     equal ids are one row, a null id is left out. Each row is joined to the least id of each of
-    its values, so that a value held by a third of the rows costs a star and no pairs.
+    its values, so that a value held by a third of the rows costs a star and no pairs. The empty
+    name is a name like any other. An empty table gives an empty result.
     """
     values = [bare(F.col(author)), *[F.col(k).cast("string") for k in keys]]
     each = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), x.alias("x")) for w, x in enumerate(values)]))

@@ -116,7 +116,8 @@ def subject_lists(documents: DataFrame, labels: DataFrame, subjects: list[str],
     the weight of its documents; each sentence the subjects of its phrases, unless the sentence as
     a whole occurs in documents of many subjects; and each document those of its sentences. A
     sentence is no evidence for itself. Several subjects are kept. Null and blank texts, and texts
-    on none of the subjects, have no row.
+    on none of the subjects, have no row. Rows with one id are one document; seeds with a null or
+    unknown subject are left out.
     """
     spark = documents.sparkSession
     ks = range(len(subjects))
