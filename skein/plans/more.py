@@ -66,11 +66,11 @@ def jsn_03_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("map_01_merged_counts", "SELECT video_id, sum(CASE WHEN is_toxic THEN 1 ELSE 0 END)::BIGINT AS toxic, count(*) - sum(CASE WHEN is_toxic THEN 1 ELSE 0 END)::BIGINT AS harmless FROM toxic_training_data GROUP BY 1")
 def map_01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maps of counts of two halves of the rows, added."""
+    """Maps of counts of two kinds of labels, added."""
     t = table(spark, sf_dir, "toxic_training_data")
 
     def half(k: int) -> DataFrame:
-        g = t.filter(F.col("id") % 2 == k).groupBy("video_id").agg(F.count_if("is_toxic").alias("a"), F.count_if(~F.col("is_toxic")).alias("b"))
+        g = t.filter((F.col("labeled_by") == "admin") == F.lit(bool(k))).groupBy("video_id").agg(F.count_if("is_toxic").alias("a"), F.count_if(~F.col("is_toxic")).alias("b"))
         return g.select("video_id", F.create_map(F.lit("toxic"), "a", F.lit("harmless"), "b").alias(f"m{k}"))
 
     empty = F.create_map().cast("map<string,bigint>")

@@ -19,6 +19,10 @@ from skein.sources import table
 _COMMENTS, _VIDEOS, _TOXIC, _BANS = "raw_comments", "videos", "toxic_training_data", "banned_users"
 
 
+#: What is there, and a later delivery.
+OLD, NEW = "fetched_at < TIMESTAMP '2025-10-01'", "fetched_at >= TIMESTAMP '2025-10-01'"
+
+
 def _n(name: str = "n") -> F.Column:
     return F.count(F.lit(1)).alias(name)
 
@@ -101,31 +105,33 @@ def join_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(c, "comment_id", "left_anti").agg(_n("missing"))
 
 
-@query("join_11_insert_absent", "SELECT youtube_comment_id, comment_id FROM (SELECT *, row_number() OVER (PARTITION BY youtube_comment_id ORDER BY comment_id) AS place FROM raw_comments WHERE comment_id % 2 = 1) n WHERE place = 1 AND NOT EXISTS (SELECT 1 FROM raw_comments o WHERE o.comment_id % 2 = 0 AND o.youtube_comment_id = n.youtube_comment_id)")
+@query("join_11_insert_absent", "SELECT youtube_comment_id, comment_id FROM (SELECT *, row_number() OVER (PARTITION BY youtube_comment_id ORDER BY comment_id) AS place FROM raw_comments WHERE fetched_at >= TIMESTAMP '2025-10-01') n WHERE place = 1 AND NOT EXISTS (SELECT 1 FROM raw_comments o WHERE o.fetched_at < TIMESTAMP '2025-10-01' AND o.youtube_comment_id = n.youtube_comment_id)")
 def join_11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Odd rows as a new delivery, even rows as what is there."""
-    c = table(spark, sf_dir, _COMMENTS).select("youtube_comment_id", "comment_id")
-    return R.insert_absent(c.filter("comment_id % 2 = 0"), c.filter("comment_id % 2 = 1"), "youtube_comment_id", "comment_id")
+    """Rows fetched later as a new delivery, earlier ones as what is there."""
+    c = table(spark, sf_dir, _COMMENTS)
+    old, new = (c.filter(w).select("youtube_comment_id", "comment_id") for w in (OLD, NEW))
+    return R.insert_absent(old, new, "youtube_comment_id", "comment_id")
 
 
-@query("snk_04_insert_raw_comments", "SELECT youtube_comment_id, comment_id, sha256(regexp_replace(regexp_replace(coalesce(text_raw, ''), '[\\s\\p{Z}]+', ' ', 'g'), '^ | $', '', 'g')) AS text_hash FROM (SELECT *, row_number() OVER (PARTITION BY youtube_comment_id ORDER BY comment_id) AS place FROM raw_comments WHERE comment_id % 2 = 1) n WHERE place = 1 AND NOT EXISTS (SELECT 1 FROM raw_comments o WHERE o.comment_id % 2 = 0 AND o.youtube_comment_id = n.youtube_comment_id)")
+@query("snk_04_insert_raw_comments", "SELECT youtube_comment_id, comment_id, sha256(regexp_replace(regexp_replace(coalesce(text_raw, ''), '[\\s\\p{Z}]+', ' ', 'g'), '^ | $', '', 'g')) AS text_hash FROM (SELECT *, row_number() OVER (PARTITION BY youtube_comment_id ORDER BY comment_id) AS place FROM raw_comments WHERE fetched_at >= TIMESTAMP '2025-10-01') n WHERE place = 1 AND NOT EXISTS (SELECT 1 FROM raw_comments o WHERE o.fetched_at < TIMESTAMP '2025-10-01' AND o.youtube_comment_id = n.youtube_comment_id)")
 def snk_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows to append, with a hash of the text as written, case and links kept."""
-    c = table(spark, sf_dir, _COMMENTS).select("youtube_comment_id", "comment_id", T.text_hash(T.squeezed(F.coalesce("text_raw", F.lit("")))).alias("text_hash"))
-    return R.insert_absent(c.filter("comment_id % 2 = 0"), c.filter("comment_id % 2 = 1"), "youtube_comment_id", "comment_id")
+    c, h = table(spark, sf_dir, _COMMENTS), T.text_hash(T.squeezed(F.coalesce("text_raw", F.lit(""))))
+    old, new = (c.filter(w).select("youtube_comment_id", "comment_id", h.alias("text_hash")) for w in (OLD, NEW))
+    return R.insert_absent(old, new, "youtube_comment_id", "comment_id")
 
 
 @query(
     "snk_03_upsert_comments",
-    """WITH n AS (SELECT youtube_comment_id, arg_max_null(like_count, comment_id) AS likes, arg_max_null(reply_count, comment_id) AS replies, arg_min_null(published_at, comment_id) AS published FROM raw_comments WHERE comment_id % 2 = 1 GROUP BY 1),
-o AS (SELECT youtube_comment_id, arg_max_null(like_count, comment_id) AS likes, arg_max_null(reply_count, comment_id) AS replies, arg_min_null(published_at, comment_id) AS published FROM raw_comments WHERE comment_id % 2 = 0 GROUP BY 1)
+    """WITH n AS (SELECT youtube_comment_id, arg_max_null(like_count, comment_id) AS likes, arg_max_null(reply_count, comment_id) AS replies, arg_min_null(published_at, comment_id) AS published FROM raw_comments WHERE fetched_at >= TIMESTAMP '2025-10-01' GROUP BY 1),
+o AS (SELECT youtube_comment_id, arg_max_null(like_count, comment_id) AS likes, arg_max_null(reply_count, comment_id) AS replies, arg_min_null(published_at, comment_id) AS published FROM raw_comments WHERE fetched_at < TIMESTAMP '2025-10-01' GROUP BY 1)
 SELECT coalesce(n.youtube_comment_id, o.youtube_comment_id) AS youtube_comment_id, CASE WHEN n.youtube_comment_id IS NOT NULL THEN n.likes ELSE o.likes END AS like_count, CASE WHEN n.youtube_comment_id IS NOT NULL THEN n.replies ELSE o.replies END AS reply_count, coalesce(o.published, n.published) AS published_at FROM o FULL JOIN n USING (youtube_comment_id)""",
 )
 def snk_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last values of a delivery win, but the time of publication is written once."""
-    c = table(spark, sf_dir, _COMMENTS).select("youtube_comment_id", "comment_id", F.coalesce("like_count", F.lit(None)).alias("like_count"), "reply_count", "published_at")
-    old = c.filter("comment_id % 2 = 0").groupBy("youtube_comment_id").agg(F.max_by("like_count", "comment_id").alias("like_count"), F.max_by("reply_count", "comment_id").alias("reply_count"), F.min_by("published_at", "comment_id").alias("published_at"))
-    return R.upsert(old, c.filter("comment_id % 2 = 1"), "youtube_comment_id", "comment_id", insert_only=["published_at"])
+    c = table(spark, sf_dir, _COMMENTS).select("youtube_comment_id", "comment_id", "like_count", "reply_count", "published_at", "fetched_at")
+    old = c.filter(OLD).groupBy("youtube_comment_id").agg(F.max_by("like_count", "comment_id").alias("like_count"), F.max_by("reply_count", "comment_id").alias("reply_count"), F.min_by("published_at", "comment_id").alias("published_at"))
+    return R.upsert(old, c.filter(NEW).drop("fetched_at"), "youtube_comment_id", "comment_id", insert_only=["published_at"])
 
 
 @query("snk_02_upsert_videos", "SELECT youtube_video_id, max_by(title, id) AS title, max_by(playlist_id, id) AS playlist_id FROM videos GROUP BY 1")
@@ -334,12 +340,12 @@ def src_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, _COMMENTS).filter("video_id = 3 AND like_count >= 2").select("comment_id")
 
 
-@query("src_09_cache_lookup", "SELECT n.comment_id, o.comment_id IS NOT NULL AS is_hit FROM raw_comments n LEFT JOIN (SELECT sha256(lower(text_raw)) AS h, min(comment_id) AS comment_id FROM raw_comments WHERE comment_id % 2 = 0 GROUP BY 1) o ON o.h = sha256(lower(n.text_raw)) WHERE n.comment_id % 2 = 1")
+@query("src_09_cache_lookup", "SELECT n.comment_id, o.comment_id IS NOT NULL AS is_hit FROM raw_comments n LEFT JOIN (SELECT sha256(lower(text_raw)) AS h, min(comment_id) AS comment_id FROM raw_comments WHERE fetched_at < TIMESTAMP '2025-10-01' GROUP BY 1) o ON o.h = sha256(lower(n.text_raw)) WHERE n.fetched_at >= TIMESTAMP '2025-10-01'")
 def src_09(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits and misses of a cache that is keyed by the hash of the text."""
-    c = table(spark, sf_dir, _COMMENTS).select("comment_id", T.text_hash(F.lower("text_raw")).alias("h"))
-    cache = c.filter("comment_id % 2 = 0").select("h").distinct().withColumn("hit", F.lit(True))
-    return c.filter("comment_id % 2 = 1").join(cache, "h", "left").select("comment_id", F.coalesce("hit", F.lit(False)).alias("is_hit"))
+    c = table(spark, sf_dir, _COMMENTS).select("comment_id", "fetched_at", T.text_hash(F.lower("text_raw")).alias("h"))
+    cache = c.filter(OLD).select("h").distinct().withColumn("hit", F.lit(True))
+    return c.filter(NEW).join(cache, "h", "left").select("comment_id", F.coalesce("hit", F.lit(False)).alias("is_hit"))
 
 
 @query("vec_23_cached_embed", "SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses FROM (SELECT e.vec_id IS NOT NULL AS hit FROM raw_comments c LEFT JOIN embeddings e ON e.vec_id = c.comment_id)")

@@ -161,10 +161,10 @@ def vec_15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("label", "size", F.when(F.col("size") < 40, "emerging_other").otherwise(F.col("label").cast("string")).alias("cluster"))
 
 
-@query("vec_19_assign_rest", f"WITH {POINTS}, {CENTERS}, {NEAR} SELECT id, CASE WHEN primary_cos >= {S.position_cosine} THEN primary_label END AS position FROM w WHERE id % 3 = 0")
+@query("vec_19_assign_rest", f"WITH {POINTS}, {CENTERS}, {NEAR} SELECT id, CASE WHEN primary_cos >= {S.position_cosine} THEN primary_label END AS position FROM w")
 def vec_19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members that were not sampled when positions were found get the nearest position, if it is near enough."""
-    return near(spark, sf_dir).filter("id % 3 = 0").select("id", F.when(F.col("primary_cos") >= S.position_cosine, F.col("primary")).alias("position"))
+    """Members get the nearest position, if it is near enough, whatever the margin."""
+    return near(spark, sf_dir).select("id", F.when(F.col("primary_cos") >= S.position_cosine, F.col("primary")).alias("position"))
 
 
 @query("vec_18_group_resolution", f"WITH {POINTS}, {CENTERS}, {NEAR} SELECT id, CASE WHEN primary_cos >= {S.position_cosine} AND primary_cos - coalesce(secondary_cos, 0) >= {S.position_margin} THEN primary_label END AS position FROM w")
