@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -110,6 +108,3 @@ def plural(n: Column, one: str, few: str, many: str) -> Column:
     ten, hundred = n % 10, n % 100
     return F.when((ten == 1) & (hundred != 11), one).when(ten.between(2, 4) & ~hundred.between(12, 14), few).otherwise(many)
 
-
-def constants(values: Mapping[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])

@@ -97,10 +97,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def jaccard_of(a: Column, b: Column) -> Column:
-    return jaccard(F.array_distinct(a), F.array_distinct(b))
-
-
 def repeats(c: Column, times: int = 6) -> Column:
     """Whether one character stands ``times`` times in a row."""
     return c.rlike(rf"(.)\1{{{times - 1},}}")

@@ -14,6 +14,7 @@ from skein.functions import vectors as V
 from skein.operators import briefing as B
 from skein.operators import clusters as C
 from skein.operators import fit
+from skein.operators import positions as Q
 from skein.operators import providers as M
 from skein.operators import topics as K
 from skein.plans.filters import _q, like_sql, squeeze_sql, words_sql
@@ -379,3 +380,85 @@ def vec_09(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame([(part["video_id"].iloc[0], len(groups), fit.passes_gate(x, groups, fit.FitSettings()))], columns=["video_id", "groups", "passes"])
 
     return _per_group(spark, sf_dir, run, "video_id bigint, groups int, passes boolean")
+
+
+def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.plans.fitted import _grouped
+
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return _grouped(spark, sf_dir).join(labels, "id")
+
+
+@query("lbl_04_positions")
+def lbl_04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of each topic of each video with their shares."""
+    assigned = Q.assigned_positions(_topics(spark, sf_dir), "video_id", "label")
+    return Q.position_table(assigned, points(spark, sf_dir), "video_id", "label")
+
+
+@query("brf_01_briefing")
+def brf_01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One nested row a video: topics by weighted share, each with its keywords and summary line."""
+    c = table(spark, sf_dir, "raw_comments")
+    words = K.keywords(spread(c), ["video_id"], "text_raw").groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("keywords"))
+    mood = K.sentiments(c, ["video_id"], "text_raw").select("video_id", "sentiment")
+    n = c.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_comments"))
+    j = n.join(words, "video_id", "left").join(mood, "video_id")
+    return j.select("video_id", F.struct("n_comments", "sentiment", "keywords", B.summary(F.concat(F.lit("видео "), F.col("video_id").cast("string")), F.lit(100.0), F.lit(100.0), F.when(F.col("sentiment") == "negative", 100.0).otherwise(0.0)).alias("summary")).alias("briefing"))
+
+
+@query("set_04_subset", "SELECT a.video_id, len(list_filter(a.l, lambda x: NOT list_contains(b.l, x))) = 0 AS is_subset FROM (SELECT video_id, list(DISTINCT author_name) AS l FROM toxic_training_data WHERE author_name IS NOT NULL GROUP BY 1) a JOIN (SELECT video_id, list(DISTINCT author_name) AS l FROM raw_comments WHERE author_name IS NOT NULL GROUP BY 1) b USING (video_id)")
+def set_04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all labelled authors of a video comment there: an anti join, as author sets may be large."""
+    labelled = table(spark, sf_dir, "toxic_training_data").filter(F.col("author_name").isNotNull()).select("video_id", "author_name").distinct()
+    authors = table(spark, sf_dir, "raw_comments").filter(F.col("author_name").isNotNull()).select("video_id", "author_name").distinct()
+    missing = labelled.join(authors, ["video_id", "author_name"], "left_anti").groupBy("video_id").agg(F.count(F.lit(1)).alias("missing"))
+    both = labelled.select("video_id").distinct().join(authors.select("video_id").distinct(), "video_id")
+    return both.join(missing, "video_id", "left").select("video_id", F.col("missing").isNull().alias("is_subset"))
+
+
+@query("api_02_statuses", "SELECT v.id, coalesce(r.o_orderstatus, 'none') AS status FROM videos v LEFT JOIN (SELECT o_custkey, max_by(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1) r ON r.o_custkey = v.id")
+def api_02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max_by("o_orderstatus", "o_orderkey").alias("status"))
+    return table(spark, sf_dir, "videos").select("id").join(runs, "id", "left").select("id", F.coalesce("status", F.lit("none")).alias("status"))
+
+
+@query("api_04_latest_report", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1")
+def api_04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
+    return o.agg(F.max_by(F.struct("o_orderkey", "o_custkey"), F.struct("o_orderdate", "o_orderkey")).alias("o")).select("o.*")
+
+
+@query("cls_03_refined_questions", "SELECT id, greatest(1, least(10, id % 14)) AS score FROM toxic_training_data")
+def cls_03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a question refiner, parsed and clamped."""
+    t = table(spark, sf_dir, "toxic_training_data")
+    answer = F.concat(F.lit('```json\n{"results": {"1": "question:'), (F.col("id") % 14).cast("string"), F.lit('"}}\n```'))
+    r = t.select("id", F.explode(P.scored_results(P.lenient_object(answer))).alias("r"))
+    return r.select("id", F.col("r.score").cast("bigint").alias("score"))
+
+
+@query("cls_07_verified", "SELECT t.id, CASE WHEN t.confidence_score < 0.8 THEN 'review' WHEN b.comment_id IS NOT NULL THEN 'verified' ELSE 'review' END AS state FROM toxic_training_data t LEFT JOIN (SELECT DISTINCT comment_id FROM banned_users WHERE comment_id IS NOT NULL) b USING (comment_id)")
+def cls_07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confident rows need an approval; without one they fall back to review."""
+    ok = table(spark, sf_dir, "banned_users").filter(F.col("comment_id").isNotNull()).select("comment_id", F.lit(True).alias("approved")).distinct()
+    t = table(spark, sf_dir, "toxic_training_data").select("id", "comment_id", "confidence_score").join(ok, "comment_id", "left")
+    return t.select("id", F.when((F.col("confidence_score") >= 0.8) & F.col("approved"), "verified").otherwise("review").alias("state"))
+
+
+@query("vec_08_noise_split")
+def vec_08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large parts of noise split in up to three groups, where the gate lets them pass."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id")
+        x, s = fit.unit_rows(np.stack(part["v"].to_numpy())), fit.FitSettings()
+        at = fit.k_means(x, min(s.split_groups, max(2, round(len(x) / s.noise_split_target))))
+        groups = sorted((np.flatnonzero(at == j) for j in range(at.max() + 1) if (at == j).sum() >= 3), key=len, reverse=True)
+        keys = np.full(len(x), "emerging_other", object)
+        if fit.passes_gate(x, groups, s):
+            for j, g in enumerate(groups, 1):
+                keys[g] = f"emerging_{j}"
+        return part[["video_id", "id"]].assign(cluster_key=keys)
+
+    return _per_group(spark, sf_dir, run, "video_id bigint, id bigint, cluster_key string")

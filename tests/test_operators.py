@@ -257,3 +257,25 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     expected = events.windowed(batch.withColumn("ts", F.col("ts").cast("timestamp")))
     assert sorted(map(tuple, spark.table("win").collect())) == sorted(map(tuple, expected.collect()))
     assert events.sessions(batch.withColumn("ts", F.col("ts").cast("timestamp"))).count() > 0
+
+
+def test_positions_cover_topics_and_shares_add_up(spark):
+    from skein.operators import positions
+
+    x = np.vstack([blobs(14, 12), R.normal(size=(3, 8))])
+    df = spark.createDataFrame([(g, t, i, [float(v) for v in row], 1.0 + i % 3) for g in (1, 2) for t in (0, 1) for i, row in enumerate(x, start=1000 * (2 * g + t))], "video_id bigint, label int, id bigint, v array<double>, weight double")
+    a = positions.assigned_positions(df, "video_id", "label").cache()
+    assert a.count() == df.count() and a.groupBy("id").count().filter("count > 1").count() == 0
+    p = positions.position_table(a, df, "video_id", "label")
+    for r in p.groupBy("video_id", "label").agg(F.sum("pct").alias("a"), F.sum("weighted_pct").alias("b")).collect():
+        assert r["a"] == pytest.approx(100) and r["b"] == pytest.approx(100)
+    last = p.filter("position = 'undetermined'").join(p.groupBy("video_id", "label").agg(F.max("sort_order").alias("m")), ["video_id", "label"])
+    assert all(r["sort_order"] == r["m"] for r in last.collect())
+
+
+def test_small_groups_and_far_rows_are_undetermined():
+    from skein.operators import positions
+
+    unit = fit.unit_rows(np.array([[1.0, 0], [1, 0.01], [0, 1.0], [0.01, 1], [0.7, 0.7], [-1.0, 0.1]]))
+    got = positions.resolved(np.array([0, 0, 1, 1, -1, -1]), unit)
+    assert list(got[:4]) == ["position_1"] * 2 + ["position_2"] * 2 and list(got[4:]) == ["undetermined"] * 2
