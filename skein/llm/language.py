@@ -228,11 +228,13 @@ def consistent(parts: Mapping[str, Sequence[np.ndarray]], rounds: int = 4) -> di
         score = np.zeros((len(rows), len(LANGUAGES)))
         for k in range(len(LANGUAGES)):
             ours = keep & (label == k)
-            mine = np.bincount(at[ours[owner]], minlength=width) + 0.02
-            score[:, k] = np.bincount(owner, np.log(mine / mine.sum())[at], len(rows))
+            # a row's own part of the counts is taken off, or rare runs would speak for its label
+            runs_k = np.bincount(at[ours[owner]], minlength=width)
+            left = np.maximum(runs_k[at] - ours[owner], 0) + 0.05
+            score[:, k] = np.bincount(owner, np.log(left / (runs_k.sum() + 0.05 * width)), len(rows))
             # a segment seen more than once is also judged as a whole, as strongly as by its runs
-            often = np.bincount(same[ours], minlength=same.max() + 1) + 0.5
-            score[:, k] += size / 4 * np.log(often / often.sum())[same]
+            whole = np.bincount(same[ours], minlength=same.max() + 1)
+            score[:, k] += size / 4 * np.log((whole[same] - ours + 1.0) / (whole.sum() + len(whole)))
         keep = score.argmax(axis=1) == label
     out: dict[str, list[np.ndarray]] = {lang: [] for lang in parts}
     for (lang, r), k in zip(rows, keep, strict=True):
