@@ -78,7 +78,8 @@ def embedded(df: DataFrame, sql: str, schema: str) -> DataFrame:
 
         con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         for batch in batches:
-            for i, j in slices(batch.column(1).to_pylist(), 4_000_000):
+            parts = [(0, batch.num_rows)] if batch.nbytes < 16_000_000 else slices(batch.column(1).to_pylist(), 4_000_000)
+            for i, j in parts:
                 con.register("part", pa.table(batch.slice(i, j - i)))
                 out = con.sql(sql).to_arrow_table()
                 con.unregister("part")
