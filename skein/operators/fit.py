@@ -55,14 +55,24 @@ def distances(x: np.ndarray) -> np.ndarray:
     return d
 
 
+def _rows_at_once(n: int) -> int:
+    """Rows of distances to ``n`` points that are held at a time: all of them up to 4096, else 128 MB."""
+    return n if n <= 4096 else max(1, 2**24 // n)
+
+
+def _distances_to(x: np.ndarray, sq: np.ndarray, at: slice) -> np.ndarray:
+    d = np.sqrt(np.maximum(sq[at, None] + sq[None, :] - 2 * x[at] @ x.T, 0.0))
+    d[np.arange(len(d)), np.arange(len(x))[at]] = 0.0
+    return d
+
+
 def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
     """Mean euclidean silhouette over all rows; -1 for fewer than two clusters."""
     kinds, at = np.unique(labels, return_inverse=True)
     if len(kinds) < 2 or len(kinds) >= len(labels):
         return -1.0
-    d = distances(x)
-    size = np.bincount(at)
-    sums = np.stack([d[:, at == k].sum(axis=1) for k in range(len(kinds))], axis=1)
+    size, sq, step = np.bincount(at), (x * x).sum(axis=1), _rows_at_once(len(x))
+    sums = np.vstack([np.stack([d[:, at == k].sum(axis=1) for k in range(len(kinds))], axis=1) for i in range(0, len(x), step) for d in [_distances_to(x, sq, slice(i, i + step))]])
     rows = np.arange(len(labels))
     inner = sums[rows, at] / np.maximum(size[at] - 1, 1)
     mean = sums / size
@@ -72,17 +82,23 @@ def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
     return float(s.mean())
 
 
-def _spanning_tree(d: np.ndarray, samples: int) -> np.ndarray:
-    """Edges (a, b, length) of the minimum spanning tree of mutual reachability, by length."""
-    n = len(d)
-    core = np.partition(d, min(samples, n - 1), axis=1)[:, min(samples, n - 1)]
+def _spanning_tree(x: np.ndarray, samples: int) -> np.ndarray:
+    """Edges (a, b, length) of the minimum spanning tree of mutual reachability, by length.
+
+    The distances of small groups are held; those of large ones are computed row by row as they are needed.
+    """
+    n, sq, at = len(x), (x * x).sum(axis=1), min(samples, len(x) - 1)
+    step = _rows_at_once(n)
+    d = distances(x) if step == n else None
+    core = np.concatenate([np.partition(d if d is not None else _distances_to(x, sq, slice(i, i + step)), at, axis=1)[:, at] for i in range(0, n, step)])
     inside = np.zeros(n, bool)
     best, source = np.full(n, np.inf), np.zeros(n, np.int64)
     edges = np.zeros((n - 1, 3))
     now = 0
     for i in range(n - 1):
         inside[now] = True
-        reach = np.maximum(np.maximum(d[now], core[now]), core)
+        row = d[now] if d is not None else _distances_to(x, sq, slice(now, now + 1))[0]
+        reach = np.maximum(np.maximum(row, core[now]), core)
         closer = ~inside & (reach < best)
         best[closer], source[closer] = reach[closer], now
         now = int(np.where(inside, np.inf, best).argmin())
@@ -106,7 +122,7 @@ def density_clusters(x: np.ndarray, min_size: int, samples: int, epsilon: float
             i = parent[i]
         return i
 
-    for i, (a, b, h) in enumerate(_spanning_tree(distances(x), samples)):
+    for i, (a, b, h) in enumerate(_spanning_tree(x, samples)):
         ra, rb = root(int(a)), root(int(b))
         left[i], right[i], height[i] = ra, rb, max(h, 1e-9)
         size[n + i] = size[ra] + size[rb]
@@ -247,6 +263,32 @@ def passes_gate(x: np.ndarray, groups: Sequence[np.ndarray], s: FitSettings) ->
     return sil >= (s.silhouette_small if len(at) < 80 else s.silhouette_large) and float(np.mean(held)) >= s.mean_coherence and min(held) >= s.group_coherence
 
 
+def soft_labels(unit: np.ndarray, s: FitSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels of the fit, noise near a cluster joined to it; membership; which rows joined so."""
+    work = reduced(unit, s.reduce_to)[0] if len(unit) >= s.reduce_from and unit.shape[1] > s.reduce_to else unit
+    labels, strength = fit_labels(work, s)
+    soft = np.zeros(len(unit), bool)
+    kinds = np.array(sorted(set(labels.tolist()) - {-1}), int)
+    if len(kinds):
+        near = unit @ unit_rows(np.stack([unit[labels == k].mean(axis=0) for k in kinds])).T
+        soft = (labels == -1) & (near.max(axis=1) >= s.soft)
+        labels = np.where(soft, kinds[near.argmax(axis=1)], labels)
+    return labels, strength, soft
+
+
+def split_noise(unit: np.ndarray, noise: np.ndarray, keys: np.ndarray, s: FitSettings) -> None:
+    """Name the groups of large noise in ``keys``, where the gate lets them pass."""
+    if noise.sum() < s.noise_split_size or noise.mean() < s.noise_split_share:
+        return
+    at = np.flatnonzero(noise)
+    k = min(s.split_groups, max(2, round(len(at) / s.noise_split_target)))
+    part = k_means(unit[at], k)
+    groups = sorted((at[part == j] for j in range(k) if (part == j).sum() >= max(3, s.min_samples)), key=len, reverse=True)
+    if passes_gate(unit, groups, s):
+        for j, g in enumerate(groups, 1):
+            keys[g] = f"emerging_{j}"
+
+
 def cluster_rows(x: np.ndarray, s: FitSettings = FitSettings()) -> pd.DataFrame:  # noqa: B008
     """Cluster key, confidence, second key and flags of each row of one video's matrix."""
     n = len(x)
@@ -254,26 +296,11 @@ def cluster_rows(x: np.ndarray, s: FitSettings = FitSettings()) -> pd.DataFrame:
     cols = ["cluster_key", "confidence", "second_key", "second_confidence", "is_ambiguous", "is_soft", "is_noise"]
     if n < max(3, s.min_size):
         return pd.DataFrame([("emerging_other", 1.0, None, 0.0, False, False, False)] * n, columns=cols)
-    work = reduced(unit, s.reduce_to)[0] if n >= s.reduce_from and unit.shape[1] > s.reduce_to else unit
-    labels, strength = fit_labels(work, s)
-    soft = np.zeros(n, bool)
-    kinds = sorted(set(labels.tolist()) - {-1})
+    labels, strength, soft = soft_labels(unit, s)
     keys = np.array([f"cluster_{k}" if k >= 0 else "emerging_other" for k in labels], object)
-    if kinds:
-        centers = unit_rows(np.stack([unit[labels == k].mean(axis=0) for k in kinds]))
-        near = unit @ centers.T
-        soft = (labels == -1) & (near.max(axis=1) >= s.soft)
-        keys[soft] = [f"cluster_{kinds[k]}" for k in near[soft].argmax(axis=1)]
-    noise = keys == "emerging_other"
+    noise = labels == -1
     least = max(3, s.min_samples)
-    if noise.sum() >= s.noise_split_size and noise.mean() >= s.noise_split_share:
-        at = np.flatnonzero(noise)
-        k = min(s.split_groups, max(2, round(len(at) / s.noise_split_target)))
-        part = k_means(unit[at], k)
-        groups = sorted((at[part == j] for j in range(k) if (part == j).sum() >= least), key=len, reverse=True)
-        if passes_gate(unit, groups, s):
-            for j, g in enumerate(groups, 1):
-                keys[g] = f"emerging_{j}"
+    split_noise(unit, noise, keys, s)
     for key in [k for k in dict.fromkeys(keys) if k.startswith("cluster_")]:
         at = np.flatnonzero(keys == key)
         if len(at) >= max(12, s.large_share * n):
@@ -301,7 +328,7 @@ def cluster_rows(x: np.ndarray, s: FitSettings = FitSettings()) -> pd.DataFrame:
     second = other.argmax(axis=1)
     has = len(names) > 1
     value = other[rows, second] if has else np.zeros(n)
-    return pd.DataFrame({"cluster_key": keys, "confidence": confidence, "second_key": [names[j] if has else None for j in second], "second_confidence": value, "is_ambiguous": (confidence < 0.65) | (confidence - value < 0.12), "is_soft": soft, "is_noise": noise & ~soft})
+    return pd.DataFrame({"cluster_key": keys, "confidence": confidence, "second_key": [names[j] if has else None for j in second], "second_confidence": value, "is_ambiguous": (confidence < 0.65) | (confidence - value < 0.12), "is_soft": soft, "is_noise": noise})
 
 
 ASSIGNED = "cluster_key string, confidence double, second_key string, second_confidence double, is_ambiguous boolean, is_soft boolean, is_noise boolean"
@@ -310,8 +337,7 @@ ASSIGNED = "cluster_key string, confidence double, second_key string, second_con
 def fit_clusters(points: DataFrame, group: str, id_col: str = "id", vector: str = "v", s: FitSettings = FitSettings()) -> DataFrame:  # noqa: B008
     """Cluster assignments of all groups (videos) at once, one task a group.
 
-    A group's cost grows with the square of its rows; callers cap the comments of a video, as the
-    settings of a run do, before they call this.
+    A group's time grows with the square of its rows, its memory in proportion; nothing caps the rows of a video.
     """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:

@@ -19,9 +19,9 @@ from skein.sources import table
 
 
 def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The points in groups of about 250, as videos would group them."""
+    """The points with the video of their comment; a vector without a comment has no video and is left out."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), V.doubles(F.col("embedding")).alias("v"))
-    return e.withColumn("video_id", F.floor(F.col("id") / 250))
+    return e.join(table(spark, sf_dir, "raw_comments").select(F.col("comment_id").alias("id"), F.col("video_id").cast("bigint").alias("video_id")), "id")
 
 
 @query("vec_01_fit_clusters")

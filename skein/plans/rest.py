@@ -448,17 +448,16 @@ def cls_07(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("vec_08_noise_split")
 def vec_08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Large parts of noise split in up to three groups, where the gate lets them pass."""
+    """The noise of each video's fit; large noise is split in up to three groups, where the gate lets them pass."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
         x, s = fit.unit_rows(np.stack(part["v"].to_numpy())), fit.FitSettings()
-        at = fit.k_means(x, min(s.split_groups, max(2, round(len(x) / s.noise_split_target))))
-        groups = sorted((np.flatnonzero(at == j) for j in range(at.max() + 1) if (at == j).sum() >= 3), key=len, reverse=True)
+        if len(x) < max(3, s.min_size):  # nothing is fitted to so few rows
+            return part[["video_id", "id"]].iloc[:0].assign(cluster_key="")
+        noise = fit.soft_labels(x, s)[0] == -1
         keys = np.full(len(x), "emerging_other", object)
-        if fit.passes_gate(x, groups, s):
-            for j, g in enumerate(groups, 1):
-                keys[g] = f"emerging_{j}"
-        return part[["video_id", "id"]].assign(cluster_key=keys)
+        fit.split_noise(x, noise, keys, s)
+        return part[["video_id", "id"]].assign(cluster_key=keys)[noise]
 
     return _per_group(spark, sf_dir, run, "video_id bigint, id bigint, cluster_key string")
