@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 from skein.operators import relational as R
 from skein.plans.registry import query
+from skein.settings import DEFAULT as S
 from skein.sources import table
 
 #: The tables that most plans read, under short names.
@@ -326,13 +327,21 @@ def src_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threads.select("parent", F.explode("items").alias("i")).select("parent", "i.comment_id", "i.is_top")
 
 
+def _fetched(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The first delivery of each comment of a video; a comment without an id is repeated by none."""
+    c = table(spark, sf_dir, _COMMENTS).withColumn("key", F.coalesce("youtube_comment_id", F.concat(F.lit("row "), F.col("comment_id").cast("string"))))
+    return c.groupBy("video_id", "key").agg(F.min_by(F.struct("comment_id", *columns), "comment_id").alias("row")).select("video_id", "row.*")
+
+
 @query("src_05_hybrid_sample", "SELECT comment_id FROM (SELECT comment_id FROM (SELECT comment_id FROM raw_comments ORDER BY published_at DESC, comment_id LIMIT 500) UNION SELECT comment_id FROM (SELECT comment_id FROM raw_comments ORDER BY like_count DESC NULLS LAST, comment_id LIMIT 350))")
 def src_05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newest and most liked comments, each once."""
-    c = table(spark, sf_dir, _COMMENTS).select("comment_id", "published_at", "like_count")
-    newest = c.orderBy(F.desc("published_at"), "comment_id").limit(500).select("comment_id")
-    liked = c.orderBy(F.desc_nulls_last("like_count"), "comment_id").limit(350).select("comment_id")
-    return newest.union(liked).distinct()
+    """Newest comments of each video, then its most liked ones, each once, up to the cap of a video."""
+    w = W.partitionBy("video_id")
+    c = _fetched(spark, sf_dir, "published_at", "like_count")
+    c = c.withColumns({"newest": F.row_number().over(w.orderBy(F.desc("published_at"), "comment_id")), "liked": F.row_number().over(w.orderBy(F.desc_nulls_last("like_count"), "comment_id"))})
+    by_time = F.col("newest") <= S.max_comments
+    c = c.filter(by_time | (F.col("liked") <= S.max_relevant)).withColumn("ord", F.when(by_time, F.struct(F.lit(0).alias("sample"), F.col("newest").alias("place"))).otherwise(F.struct(F.lit(1).alias("sample"), F.col("liked").alias("place"))))
+    return c.withColumn("place", F.row_number().over(w.orderBy("ord"))).filter(F.col("place") <= S.max_comments).select("comment_id")
 
 
 @query("src_08_pushed_filter", "SELECT comment_id FROM raw_comments WHERE video_id = 3 AND like_count >= 2")
@@ -416,7 +425,6 @@ def _ordered(name: str, table_name: str, columns: list[str], order: list[tuple[s
 
 _ordered("srt_02_newest_videos", _VIDEOS, ["id", "title", "published_at"], [("published_at", True), ("id", True)], 100)
 _ordered("srt_03_newest_run", "orders", ["o_orderkey", "o_orderdate"], [("o_orderdate", True), ("o_orderkey", True)], 1)
-_ordered("srt_04_capped_comments", _COMMENTS, ["comment_id", "published_at"], [("published_at", False), ("comment_id", False)], 1500)
 _ordered("srt_05_by_score", _TOXIC, ["id", "confidence_score"], [("confidence_score", True), ("id", False)])
 _ordered("srt_08_top_four", _TOXIC, ["id", "confidence_score"], [("confidence_score", True), ("id", False)], 4)
 _ordered("srt_11_by_order_and_label", "nation", ["n_nationkey", "n_name"], [("n_regionkey", False), ("n_name", False)])
@@ -424,6 +432,14 @@ _ordered("srt_12_recent_jobs", "orders", ["o_orderkey"], [("o_orderdate", True),
 _ordered("api_15_banned_users", _BANS, ["id", "username", "banned_at"], [("banned_at", True), ("id", False)])
 
 
+@query("srt_04_capped_comments", "SELECT comment_id, published_at FROM raw_comments ORDER BY published_at NULLS FIRST, comment_id NULLS FIRST LIMIT 1500")
+def srt_04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest comments of each video up to its cap, after repeats are removed; in the order of their time."""
+    place = F.row_number().over(W.partitionBy("video_id").orderBy(F.desc("published_at"), "comment_id"))
+    c = _fetched(spark, sf_dir, "published_at").withColumn("place", place).filter(F.col("place") <= S.max_comments)
+    return c.select("comment_id", "published_at").orderBy("published_at", "comment_id")
+
+
 @query("srt_10_authors_by_comments", "SELECT author_name, count(*) AS n FROM raw_comments WHERE author_name IS NOT NULL GROUP BY 1 ORDER BY n DESC, author_name")
 def srt_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, _COMMENTS).filter(F.col("author_name").isNotNull()).groupBy("author_name").agg(_n()).orderBy(F.desc("n"), "author_name")

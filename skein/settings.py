@@ -20,6 +20,9 @@ class Settings:
     borderline_min: float = 0.35
     borderline_max: float = 0.55
     topic_overlap: int = 1
+    #: Comments of one video at most, and of its sample by relevance (14 pages of 100).
+    max_comments: int = 1500
+    max_relevant: int = 1400
     # clusters
     cluster_min_size: int = 6
     cluster_min_samples: int = 2

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 import numpy as np
 import pytest
 
 from compare import database, same_rows
 from skein.operators import fit
-from skein.plans import catalog
+from skein.plans import catalog, reads
 
 PLANS = catalog.queries()
 R = np.random.default_rng(3)
@@ -43,3 +45,29 @@ def test_large_groups_give_the_same_without_all_distances(monkeypatch):
     monkeypatch.setattr(fit, "_rows_at_once", lambda n: 7)
     part = fit.density_clusters(x, 5, 2), fit.silhouette(x, np.arange(120) % 3)
     assert (whole[0][0] == part[0][0]).all() and whole[1] == pytest.approx(part[1])
+
+
+# --- caps of one video ------------------------------------------------------------------------
+
+FIRST = "f AS (SELECT * FROM raw_comments c WHERE NOT EXISTS (SELECT 1 FROM raw_comments d WHERE d.video_id = c.video_id AND d.youtube_comment_id = c.youtube_comment_id AND d.comment_id < c.comment_id))"
+
+
+@pytest.fixture(params=[(1500, 1400), (40, 30), (20, 60)])
+def limits(request, monkeypatch):
+    """Limits of a run, and others that the small test tables reach."""
+    changed = dataclasses.replace(reads.S, max_comments=request.param[0], max_relevant=request.param[1])
+    monkeypatch.setattr(reads, "S", changed)
+    return request.param
+
+
+def test_comments_are_capped_by_video(spark, sf, con, limits):
+    sql = f"WITH {FIRST} SELECT comment_id, published_at FROM f QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY published_at DESC, comment_id) <= {limits[0]}"
+    same_rows(PLANS["srt_04_capped_comments"](spark, sf), con, sql)
+
+
+def test_samples_are_of_one_video(spark, sf, con, limits):
+    most, relevant = limits
+    sql = f"""WITH {FIRST}, r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY published_at DESC, comment_id) AS a, row_number() OVER (PARTITION BY video_id ORDER BY like_count DESC NULLS LAST, comment_id) AS b FROM f),
+    u AS (SELECT video_id, comment_id, 0 AS s, a AS o FROM r WHERE a <= {most} UNION ALL SELECT video_id, comment_id, 1, b FROM r WHERE b <= {relevant} AND a > {most})
+    SELECT comment_id FROM u QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY s, o) <= {most}"""
+    same_rows(PLANS["src_05_hybrid_sample"](spark, sf), con, sql)
