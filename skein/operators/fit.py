@@ -32,6 +32,18 @@ class FitSettings:
     silhouette_large: float = 0.08
     group_coherence: float = 0.18
     mean_coherence: float = 0.30
+    # splits of large clusters
+    split_coherence: float = 0.72
+    split_gain: float = 0.06
+    dominant_share: float = 0.72
+    topic_coherence: float = 0.45
+    # ambiguous rows, rows that are removed, clusters that are collapsed
+    ambiguous_confidence: float = 0.65
+    ambiguous_margin: float = 0.12
+    low_confidence: float = 0.35
+    low_cosine: float = 0.25
+    ambiguous_share: float = 0.45
+    emerging_coherence: float = 0.70
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -263,17 +275,32 @@ def passes_gate(x: np.ndarray, groups: Sequence[np.ndarray], s: FitSettings) ->
     return sil >= (s.silhouette_small if len(at) < 80 else s.silhouette_large) and float(np.mean(held)) >= s.mean_coherence and min(held) >= s.group_coherence
 
 
-def soft_labels(unit: np.ndarray, s: FitSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Labels of the fit, noise near a cluster joined to it; membership; which rows joined so."""
-    work = reduced(unit, s.reduce_to)[0] if len(unit) >= s.reduce_from and unit.shape[1] > s.reduce_to else unit
+@dataclass
+class Assigned:
+    """What the fit says of each row: label (-1 for noise), confidence, and whether it is ambiguous or joined softly."""
+
+    labels: np.ndarray
+    confidence: np.ndarray
+    ambiguous: np.ndarray
+    soft: np.ndarray
+
+
+def assigned(unit: np.ndarray, s: FitSettings) -> Assigned:
+    """Labels of the fit; noise near a cluster joins it. Centroids are those of the fit, before rows join."""
+    n = len(unit)
+    work = reduced(unit, s.reduce_to)[0] if n >= s.reduce_from and unit.shape[1] > s.reduce_to else unit
     labels, strength = fit_labels(work, s)
-    soft = np.zeros(len(unit), bool)
     kinds = np.array(sorted(set(labels.tolist()) - {-1}), int)
-    if len(kinds):
-        near = unit @ unit_rows(np.stack([unit[labels == k].mean(axis=0) for k in kinds])).T
-        soft = (labels == -1) & (near.max(axis=1) >= s.soft)
-        labels = np.where(soft, kinds[near.argmax(axis=1)], labels)
-    return labels, strength, soft
+    if not len(kinds):
+        return Assigned(labels, np.zeros(n), np.ones(n, bool), np.zeros(n, bool))
+    near = np.maximum(work @ unit_rows(np.stack([work[labels == k].mean(axis=0) for k in kinds])).T, 0.0)
+    order = np.sort(near, axis=1)
+    top, second = order[:, -1], order[:, -2] if len(kinds) > 1 else np.zeros(n)
+    soft = (labels == -1) & (top >= s.soft)
+    confidence = np.minimum(1.0, np.where(labels == -1, top, np.maximum(strength, top)))
+    labels = np.where(soft, kinds[near.argmax(axis=1)], labels)
+    ambiguous = (labels == -1) | (confidence < s.ambiguous_confidence) | (confidence - second < s.ambiguous_margin)
+    return Assigned(labels, confidence, ambiguous, soft)
 
 
 def split_noise(unit: np.ndarray, noise: np.ndarray, keys: np.ndarray, s: FitSettings) -> None:
@@ -285,68 +312,133 @@ def split_noise(unit: np.ndarray, noise: np.ndarray, keys: np.ndarray, s: FitSet
     part = k_means(unit[at], k)
     groups = sorted((at[part == j] for j in range(k) if (part == j).sum() >= max(3, s.min_samples)), key=len, reverse=True)
     if passes_gate(unit, groups, s):
+        keys[at] = None  # rows of groups that are too small are in none
         for j, g in enumerate(groups, 1):
             keys[g] = f"emerging_{j}"
 
 
-def cluster_rows(x: np.ndarray, s: FitSettings = FitSettings()) -> pd.DataFrame:  # noqa: B008
-    """Cluster key, confidence, second key and flags of each row of one video's matrix."""
+def passes_large_gate(unit: np.ndarray, at: np.ndarray, groups: Sequence[np.ndarray], fit: Assigned, s: FitSettings) -> bool:
+    """Whether a split of the large cluster ``at`` makes clearly cleaner groups out of a mixed one."""
+    if not passes_gate(unit, groups, s):
+        return False
+    whole, ambiguous = coherence(unit[at]), float(fit.ambiguous[at].mean())
+    if whole >= max(s.split_coherence, s.topic_coherence + 0.12) and float(fit.confidence[at].mean()) >= 0.78 and ambiguous <= 0.30:
+        return False
+    held = [coherence(unit[g]) for g in groups]
+    gain = sum(len(g) * h for g, h in zip(groups, held, strict=True)) / len(at) - whole
+    largest = max(map(len, groups)) / len(at)
+    if largest >= s.dominant_share or (largest > 0.8 and gain < max(0.08, s.split_gain + 0.01)):
+        return False
+    centers = unit_rows(np.stack([unit[g].mean(axis=0) for g in groups]))
+    alike = max(0.0, float((centers @ centers.T)[np.triu_indices(len(groups), 1)].max()))
+    if whole >= s.split_coherence and gain < max(s.split_gain + 0.01, 0.07):
+        return False
+    if alike > 0.92 and gain < max(s.split_gain + 0.01, 0.08):
+        return False
+    if gain >= s.split_gain and min(held) >= max(0.34, whole + 0.02):
+        return True
+    return whole < max(s.split_coherence, s.topic_coherence) and ambiguous >= 0.35 and gain >= 0.03 and alike <= 0.9
+
+
+def _named(keys: np.ndarray) -> list[str]:
+    return sorted({k for k in keys.tolist() if k is not None})
+
+
+def drop_low_quality(unit: np.ndarray, keys: np.ndarray, fit: Assigned, s: FitSettings) -> None:
+    """Take rows of low confidence, or far from their cluster's centroid, out of ``keys``, then clusters that are too small.
+
+    As in the reference, clusters are only looked at where some row is taken out.
+    """
+    bad = (fit.confidence < s.low_confidence) & np.array([k is not None for k in keys])
+    for k in _named(keys):
+        at = np.flatnonzero(keys == k)
+        bad[at[unit[at] @ unit_rows(unit[at].mean(axis=0)[None])[0] < s.low_cosine]] = True
+    if not bad.any():
+        return
+    keys[bad] = None
+    for k in _named(keys):
+        if (keys == k).sum() < max(3, s.min_samples):
+            keys[keys == k] = None
+
+
+def collapse_small(unit: np.ndarray, keys: np.ndarray, fit: Assigned, s: FitSettings) -> None:
+    """Move small clusters that are incoherent or ambiguous to ``emerging_other``; drop an incoherent one that was there before."""
+    names = _named(keys)
+    if len(names) < 2:
+        return
+    moved, n = [], len(keys)
+    for k in names:
+        at = np.flatnonzero(keys == k)
+        held = coherence(unit[at])
+        if k == "emerging_other" and held < s.emerging_coherence:
+            keys[at] = None
+            continue
+        small = len(at) < max(12, 2 * s.min_size) and len(at) / n < max(0.06, s.large_share / 4)
+        if small and (held < max(0.28, s.topic_coherence - 0.08) or float(fit.ambiguous[at].mean()) >= s.ambiguous_share):
+            moved.append(at)
+    for at in moved:
+        keys[at] = "emerging_other"
+
+
+def cluster_rows(x: np.ndarray, s: FitSettings = FitSettings(), weight: np.ndarray | None = None) -> pd.DataFrame:  # noqa: B008
+    """Cluster key, confidence, second key and flags of each row of one video's matrix.
+
+    Rows that the quality filter or the collapse removes stay in the result with a null key.
+    """
     n = len(x)
     unit = unit_rows(np.asarray(x, float))
+    weight = np.ones(n) if weight is None else np.asarray(weight, float)
     cols = ["cluster_key", "confidence", "second_key", "second_confidence", "is_ambiguous", "is_soft", "is_noise"]
     if n < max(3, s.min_size):
         return pd.DataFrame([("emerging_other", 1.0, None, 0.0, False, False, False)] * n, columns=cols)
-    labels, strength, soft = soft_labels(unit, s)
-    keys = np.array([f"cluster_{k}" if k >= 0 else "emerging_other" for k in labels], object)
-    noise = labels == -1
-    least = max(3, s.min_samples)
+    fit = assigned(unit, s)
+    keys = np.array([f"cluster_{k}" if k >= 0 else "emerging_other" for k in fit.labels], object)
+    noise = fit.labels == -1
     split_noise(unit, noise, keys, s)
-    for key in [k for k in dict.fromkeys(keys) if k.startswith("cluster_")]:
+    for key in [k for k in _named(keys) if k.startswith("cluster_")]:
         at = np.flatnonzero(keys == key)
-        if len(at) >= max(12, s.large_share * n):
-            k = min(4, max(2, round(len(at) / max(6, n / s.max_count))))
+        if len(at) >= max(12, s.min_size, s.large_share * n):
+            k = max(2, min(4, round(len(at) / max(6, s.noise_split_target))))
             part = k_means(unit[at], k)
-            groups = [at[part == j] for j in range(k) if (part == j).sum() >= least]
-            whole = coherence(unit[at])
-            gain = float(np.average([coherence(unit[g]) for g in groups], weights=[len(g) for g in groups])) - whole if groups else 0.0
-            if whole < 0.72 and gain >= 0.06 and max(map(len, groups), default=n) <= 0.72 * len(at) and passes_gate(unit, groups, s):
+            groups = sorted((at[part == j] for j in range(k) if (part == j).sum() >= 3), key=len, reverse=True)
+            if passes_large_gate(unit, at, groups, fit, s):
+                keys[at] = None  # rows of groups that are too small are in none
                 for j, g in enumerate(groups):
-                    keys[g] = f"{key}_{j}"
-    names = sorted(set(keys.tolist()))
-    sizes = {k: int((keys == k).sum()) for k in names}
-    if len(names) > s.max_count:
-        small = sorted(names, key=lambda k: (-sizes[k], k))[s.max_count - 1 :]
-        keys[np.isin(keys, small)] = "emerging_other"
-        names = sorted(set(keys.tolist()))
-    centers = unit_rows(np.stack([unit[keys == k].mean(axis=0) for k in names]))
-    near = unit @ centers.T
-    own = np.array([names.index(k) for k in keys])
-    rows = np.arange(n)
-    confidence = np.clip(np.maximum(np.where(soft, 0.0, strength), near[rows, own]), 0.0, 1.0)
-    other = near.copy()
-    other[rows, own] = -np.inf
-    second = other.argmax(axis=1)
-    has = len(names) > 1
-    value = other[rows, second] if has else np.zeros(n)
-    return pd.DataFrame({"cluster_key": keys, "confidence": confidence, "second_key": [names[j] if has else None for j in second], "second_confidence": value, "is_ambiguous": (confidence < 0.65) | (confidence - value < 0.12), "is_soft": soft, "is_noise": noise})
+                    keys[g] = f"{key}_sub{j}"
+    drop_low_quality(unit, keys, fit, s)
+    names = _named(keys)
+    if 0 < s.max_count < len(names):
+        share = {k: float(weight[keys == k].sum()) for k in names}
+        keys[np.isin(keys, sorted(names, key=lambda k: (-share[k], k))[max(0, s.max_count - 1) :])] = "emerging_other"
+    collapse_small(unit, keys, fit, s)
+    names = _named(keys)
+    if not names:
+        return pd.DataFrame({"cluster_key": keys, "confidence": fit.confidence, "second_key": [None] * n, "second_confidence": 0.0, "is_ambiguous": fit.ambiguous, "is_soft": fit.soft, "is_noise": noise})
+    near = unit @ unit_rows(np.stack([unit[keys == k].mean(axis=0) for k in names])).T
+    for j, k in enumerate(names):
+        near[keys == k, j] = -np.inf
+    second = near.argmax(axis=1)
+    value = near[np.arange(n), second]
+    has = np.isfinite(value)
+    return pd.DataFrame({"cluster_key": keys, "confidence": fit.confidence, "second_key": [names[j] if h else None for j, h in zip(second, has, strict=True)], "second_confidence": np.where(has, value, 0.0), "is_ambiguous": fit.ambiguous, "is_soft": fit.soft, "is_noise": noise})
 
 
 ASSIGNED = "cluster_key string, confidence double, second_key string, second_confidence double, is_ambiguous boolean, is_soft boolean, is_noise boolean"
 
 
-def fit_clusters(points: DataFrame, group: str, id_col: str = "id", vector: str = "v", s: FitSettings = FitSettings()) -> DataFrame:  # noqa: B008
-    """Cluster assignments of all groups (videos) at once, one task a group.
+def fit_clusters(points: DataFrame, group: str, id_col: str = "id", vector: str = "v", s: FitSettings = FitSettings(), weight: str | None = None) -> DataFrame:  # noqa: B008
+    """Cluster assignments of all groups (videos) at once, one task a group. Without ``weight`` each row weighs 1.
 
     A group's time grows with the square of its rows, its memory in proportion; nothing caps the rows of a video.
     """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(id_col)
-        out = cluster_rows(np.stack(part[vector].to_numpy()), s)
+        out = cluster_rows(np.stack(part[vector].to_numpy()), s, part[weight].to_numpy() if weight else None)
         return pd.concat([part[[group, id_col]].reset_index(drop=True), out], axis=1)
 
     kind = dict(points.dtypes)
-    return points.select(group, id_col, vector).groupBy(group).applyInPandas(run, f"{group} {kind[group]}, {id_col} {kind[id_col]}, {ASSIGNED}")
+    return points.select(group, id_col, vector, *([weight] if weight else [])).groupBy(group).applyInPandas(run, f"{group} {kind[group]}, {id_col} {kind[id_col]}, {ASSIGNED}")
 
 
 def sub_clusters(x: np.ndarray) -> np.ndarray:

@@ -26,7 +26,9 @@ def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("vec_01_fit_clusters")
 def vec_01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fit.fit_clusters(_grouped(spark, sf_dir), "video_id")
+    """Assignments of all points; those that the quality filter or the collapse removes have a null key."""
+    weights = points(spark, sf_dir).select("id", "weight")
+    return fit.fit_clusters(_grouped(spark, sf_dir).join(weights, "id"), "video_id", weight="weight")
 
 
 @query("vec_02_principal_components")

@@ -455,7 +455,7 @@ def vec_08(spark: SparkSession, sf_dir: str) -> DataFrame:
         x, s = fit.unit_rows(np.stack(part["v"].to_numpy())), fit.FitSettings()
         if len(x) < max(3, s.min_size):  # nothing is fitted to so few rows
             return part[["video_id", "id"]].iloc[:0].assign(cluster_key="")
-        noise = fit.soft_labels(x, s)[0] == -1
+        noise = fit.assigned(x, s).labels == -1
         keys = np.full(len(x), "emerging_other", object)
         fit.split_noise(x, noise, keys, s)
         return part[["video_id", "id"]].assign(cluster_key=keys)[noise]

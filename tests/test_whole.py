@@ -71,3 +71,49 @@ def test_samples_are_of_one_video(spark, sf, con, limits):
     u AS (SELECT video_id, comment_id, 0 AS s, a AS o FROM r WHERE a <= {most} UNION ALL SELECT video_id, comment_id, 1, b FROM r WHERE b <= {relevant} AND a > {most})
     SELECT comment_id FROM u QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY s, o) <= {most}"""
     same_rows(PLANS["src_05_hybrid_sample"](spark, sf), con, sql)
+
+
+# --- filter, collapse and gate of the fit -----------------------------------------------------
+
+
+def _around(*sizes, dims=24, spread=0.05):
+    return np.vstack([np.eye(dims)[i] + spread * R.normal(size=(n, dims)) for i, n in enumerate(sizes)])
+
+
+def _assigned(n, confidence=0.9, ambiguous=False):
+    return fit.Assigned(np.zeros(n, int), np.full(n, confidence), np.full(n, ambiguous), np.zeros(n, bool))
+
+
+def test_rows_far_from_all_clusters_are_removed():
+    out = fit.cluster_rows(np.vstack([_around(20, 20), np.eye(24)[10:18]]))
+    assert out["cluster_key"].iloc[:40].notna().all() and out["cluster_key"].iloc[40:].isna().all()
+
+
+def test_quality_filter_takes_rows_and_then_small_clusters():
+    x = fit.unit_rows(_around(10, 4))
+    keys, f = np.array(["a"] * 10 + ["b"] * 4, object), _assigned(14)
+    f.confidence[[0, 10, 11]] = 0.34
+    fit.drop_low_quality(x, keys, f, fit.FitSettings())
+    assert keys.tolist() == [None] + ["a"] * 9 + [None] * 4
+
+
+def test_small_bad_clusters_collapse_and_incoherent_rest_goes():
+    s, loose = fit.FitSettings(), np.eye(24)[:9]
+    x = fit.unit_rows(np.vstack([_around(200), loose, np.tile(np.eye(24)[20], (5, 1))]))
+    keys, f = np.array(["a"] * 200 + ["emerging_other"] * 9 + ["b"] * 5, object), _assigned(214)
+    f.ambiguous[209:] = True
+    fit.collapse_small(x, keys, f, s)
+    assert keys.tolist() == ["a"] * 200 + [None] * 9 + ["emerging_other"] * 5
+    keys = np.array(["a"] * 200 + ["b"] * 14, object)
+    fit.collapse_small(x, keys, _assigned(214), s)
+    assert (keys[200:] == "b").all()  # no small one
+
+
+def test_large_split_goes_by_confidence_ambiguity_and_nearness_of_parts():
+    s, at = fit.FitSettings(), np.arange(40)
+    apart, groups = fit.unit_rows(_around(20, 20)), [np.arange(20), np.arange(20, 40)]
+    assert fit.passes_large_gate(apart, at, groups, _assigned(40), s)
+    near = fit.unit_rows(np.vstack([np.eye(24)[:1] + 0.7 * np.eye(24)[1:2], np.eye(24)[:1] - 0.7 * np.eye(24)[1:2]]).repeat(20, axis=0) + 0.01 * R.normal(size=(40, 24)))
+    # coherent, sure and clear parents stay whole; the same parent splits where many of its rows are ambiguous
+    assert not fit.passes_large_gate(near, at, groups, _assigned(40), s)
+    assert fit.passes_large_gate(near, at, groups, _assigned(40, ambiguous=True), s)
