@@ -19,6 +19,8 @@ class Settings:
     flagged_multiplier: float = 0.85
     borderline_min: float = 0.35
     borderline_max: float = 0.55
+    #: Borderline rows of one video that are reviewed.
+    max_reviews: int = 300
     topic_overlap: int = 1
     #: Comments of one video at most, and of its sample by relevance (14 pages of 100).
     max_comments: int = 1500

@@ -9,7 +9,7 @@ import pytest
 
 from compare import database, same_rows
 from skein.operators import fit
-from skein.plans import catalog, reads
+from skein.plans import catalog, reads, rest
 
 PLANS = catalog.queries()
 R = np.random.default_rng(3)
@@ -117,3 +117,14 @@ def test_large_split_goes_by_confidence_ambiguity_and_nearness_of_parts():
     # coherent, sure and clear parents stay whole; the same parent splits where many of its rows are ambiguous
     assert not fit.passes_large_gate(near, at, groups, _assigned(40), s)
     assert fit.passes_large_gate(near, at, groups, _assigned(40, ambiguous=True), s)
+
+
+# --- reviews ----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("most", [300, 3])
+def test_rows_are_reviewed_up_to_the_limit_and_flagged_beyond(spark, sf, con, monkeypatch, most):
+    monkeypatch.setattr(rest, "S", dataclasses.replace(rest.S, max_reviews=most))
+    sql = f"""SELECT id, CASE WHEN row_number() OVER (PARTITION BY video_id ORDER BY confidence_score DESC, id) > {most} THEN 'flag' WHEN confidence_score >= 0.8 THEN 'drop'
+    WHEN confidence_score >= 0.4 THEN 'flag' ELSE 'keep' END AS action FROM toxic_training_data"""
+    same_rows(PLANS["flt_16_reviewed_decisions"](spark, sf), con, sql)
