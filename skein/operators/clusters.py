@@ -104,6 +104,32 @@ def capped_clusters(stats: DataFrame, label: str, most: int) -> DataFrame:
     return stats.withColumn("place", place).withColumn("new_label", F.when((F.count(F.lit(1)).over(W.partitionBy()) <= most) | (F.col("place") < most), F.col(label).cast("string")).otherwise("emerging_other"))
 
 
+def resolved_groups(points: DataFrame, label: str, s: Settings = DEFAULT) -> DataFrame:
+    """Columns id, position: the groups of one topic (``label``, -1 for noise) after small ones are dissolved.
+
+    Members of large groups keep theirs. Rows of groups below max(2, 3 %) and noise join the nearest
+    large group if it is near and clearly nearer than the next one, else their position is null. If no
+    group is large enough, the largest stays.
+    """
+    c = centroids(points.filter(F.col(label) != -1), [label])
+    total = points.agg(F.greatest(F.lit(2), F.ceil(F.count(F.lit(1)) * 0.03)).alias("least"))
+    first = F.row_number().over(W.orderBy(F.desc("size"), label))  # groups of one topic are few
+    c = c.crossJoin(F.broadcast(total)).withColumn("first", first).filter((F.col("size") >= F.col("least")) | (F.col("first") == 1))
+    n = nearest_two(points.select("id", F.col(label).alias("own"), "v"), c, label).join(F.broadcast(c.select(F.col(label).alias("own"), F.lit(True).alias("kept"))), "own", "left")
+    free = (F.col("primary_cos") >= s.position_cosine) & (F.col("primary_cos") - F.coalesce("secondary_cos", F.lit(-1.0)) >= s.position_margin)
+    return n.select("id", F.when(F.col("kept"), F.col("own")).when(free, F.col("primary")).alias("position"))
+
+
+def collapsed_clusters(stats: DataFrame, label: str, s: Settings = DEFAULT) -> DataFrame:
+    """Each cluster (columns size, share, coherence, ambiguous) with its label, or ``emerging_other`` where it is small
+    and incoherent or ambiguous. Noise (label -1) is the ``emerging_other`` of before: it is deleted where it is incoherent.
+    """
+    name = F.when(F.col(label) == -1, "emerging_other").otherwise(F.col(label).cast("string"))
+    small = (F.col("size") < 60) & (F.col("share") < 12) & ((F.col("coherence") < s.coherence_min) | (F.col("ambiguous") >= 0.45))
+    kept = stats.filter((F.col(label) != -1) | (F.col("coherence") >= s.emerging_coherence))
+    return kept.select(label, F.when(small, "emerging_other").otherwise(name).alias("new_label"))
+
+
 def merge_pairs(clusters: DataFrame, label: str, s: Settings = DEFAULT) -> DataFrame:
     """Pairs of clusters of one run with near centroids and shared keywords (columns centroid, keywords)."""
     a = clusters.select(F.col(label).alias("a"), F.col("centroid").alias("ca"), F.col("keywords").alias("ka"))

@@ -151,8 +151,7 @@ def vec_14(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = C.diagnostics(near(spark, sf_dir)).groupBy("primary").agg(F.count(F.lit(1)).alias("size"), F.avg("primary_cos").alias("coherence"), F.avg(F.col("is_ambiguous").cast("int")).alias("ambiguous"), F.sum("weight").alias("weight"))
     total = points(spark, sf_dir).agg(F.sum("weight").alias("total"))
     d = d.crossJoin(F.broadcast(total)).withColumn("share", 100.0 * F.col("weight") / F.col("total"))
-    small = (F.col("size") < 60) & (F.col("share") < 12) & ((F.col("coherence") < S.coherence_min) | (F.col("ambiguous") >= 0.45))
-    return d.select(F.col("primary").alias("label"), F.when(small, "emerging_other").otherwise(F.col("primary").cast("string")).alias("new_label"))
+    return C.collapsed_clusters(d.withColumnRenamed("primary", "label"), "label")
 
 
 @query("vec_15_single_cluster", f"WITH {POINTS} SELECT label, count(*) AS size, CASE WHEN count(*) < 40 THEN 'emerging_other' ELSE label::VARCHAR END AS cluster FROM p GROUP BY label")
@@ -169,8 +168,8 @@ def vec_19(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("vec_18_group_resolution", f"WITH {POINTS}, {CENTERS}, {NEAR} SELECT id, CASE WHEN primary_cos >= {S.position_cosine} AND primary_cos - coalesce(secondary_cos, 0) >= {S.position_margin} THEN primary_label END AS position FROM w")
 def vec_18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ok = (F.col("primary_cos") >= S.position_cosine) & (F.col("primary_cos") - F.coalesce("secondary_cos", F.lit(0.0)) >= S.position_margin)
-    return near(spark, sf_dir).select("id", F.when(ok, F.col("primary")).alias("position"))
+    """The given labels as groups of one topic."""
+    return C.resolved_groups(points(spark, sf_dir), "label")
 
 
 @query("vec_20_prototype", f"WITH {POINTS}, {CENTERS}, {OWN}, s AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(cos, 9) DESC, id) AS place FROM o) SELECT label, string_agg(id::VARCHAR, ' ' ORDER BY place) AS prototype FROM s WHERE place <= 3 GROUP BY label")

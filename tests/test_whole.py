@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import dataclasses
+import math
 
 import numpy as np
 import pytest
 
 from compare import database, same_rows
-from skein.operators import fit
+from skein.operators import clusters, fit
 from skein.plans import catalog, reads, rest
 
 PLANS = catalog.queries()
@@ -128,3 +129,45 @@ def test_rows_are_reviewed_up_to_the_limit_and_flagged_beyond(spark, sf, con, mo
     sql = f"""SELECT id, CASE WHEN row_number() OVER (PARTITION BY video_id ORDER BY confidence_score DESC, id) > {most} THEN 'flag' WHEN confidence_score >= 0.8 THEN 'drop'
     WHEN confidence_score >= 0.4 THEN 'flag' ELSE 'keep' END AS action FROM toxic_training_data"""
     same_rows(PLANS["flt_16_reviewed_decisions"](spark, sf), con, sql)
+
+
+# --- groups of given labels -------------------------------------------------------------------
+
+
+def _resolved(rows):
+    """id, label, vector -> position by id, with loops."""
+    unit, label = fit.unit_rows(np.array([v for _, _, v in rows])), np.array([k for _, k, _ in rows])
+    sizes = {k: int((label == k).sum()) for k in sorted(set(label.tolist()) - {-1})}
+    kept = [k for k in sizes if sizes[k] >= max(2, math.ceil(0.03 * len(rows)))] or sorted(sizes, key=lambda k: (-sizes[k], k))[:1]
+    out = {}
+    for (i, k, _), u in zip(rows, unit, strict=True):
+        cos = sorted(((float(u @ fit.unit_rows(np.array([[*np.mean([v for _, g, v in rows if g == c], axis=0)]]))[0]), c) for c in kept), reverse=True)
+        far = cos[1][0] if len(cos) > 1 else -1.0
+        out[i] = k if k in kept else cos[0][1] if cos and cos[0][0] >= 0.34 and cos[0][0] - far >= 0.035 else None
+    return out
+
+
+def _two_to_one(seed=5):
+    r = np.random.default_rng(seed)
+    labels = [0] * 60 + [1] * 40 + [2] * 3 + [3] + [-1] * 16
+    return [(i, k, [float(c) for c in 0.9 * np.eye(6)[max(k, 0) % 2] + r.normal(size=6)]) for i, k in enumerate(labels)]
+
+
+@pytest.mark.parametrize("rows", [_two_to_one(), [(0, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (2, -1, [0.1, 1.0])]])
+def test_small_groups_dissolve_and_members_of_large_ones_stay(spark, rows):
+    got = clusters.resolved_groups(spark.createDataFrame(rows, "id int, label int, v array<double>"), "label").collect()
+    assert {r["id"]: r["position"] for r in got} == _resolved(rows)
+
+
+def test_members_of_large_groups_stay_in_the_query(spark, sf, con):
+    large = "SELECT vec_id AS id, label AS position FROM embeddings QUALIFY count(*) OVER (PARTITION BY label) >= greatest(2, ceil(0.03 * count(*) OVER ()))"
+    got = PLANS["vec_18_group_resolution"](spark, sf)
+    same_rows(got.join(spark.createDataFrame(con.execute(f"SELECT id FROM ({large})").fetchall(), "id bigint"), "id"), con, large)
+
+
+def test_incoherent_rest_is_deleted_and_small_bad_clusters_collapse(spark):
+    rows = [(-1, 20, 30.0, 0.69, 0.0), (0, 80, 40.0, 0.2, 0.9), (1, 10, 5.0, 0.44, 0.0), (2, 10, 5.0, 0.9, 0.45), (3, 10, 5.0, 0.9, 0.1)]
+    d = spark.createDataFrame(rows, "label int, size int, share double, coherence double, ambiguous double")
+    assert dict(map(tuple, clusters.collapsed_clusters(d, "label").collect())) == {0: "0", 1: "emerging_other", 2: "emerging_other", 3: "3"}
+    d = spark.createDataFrame([(-1, 20, 30.0, 0.70, 0.0)], d.schema)
+    assert dict(map(tuple, clusters.collapsed_clusters(d, "label").collect())) == {-1: "emerging_other"}
