@@ -14,8 +14,8 @@ from skein.llm.abuse import SHAPE, sentences
 from skein.llm.fold import slices
 from skein.llm.store import dropped, joined, written
 
-#: Rounds at most, and the share by which the number of told sentences may change in the last one.
-ROUNDS, SETTLED = 5, 0.005
+#: Rounds after which sentences that still change are an error.
+ROUNDS = 60
 #: For a phrase to carry a subject, the subject's smoothed share of the weight of the phrase's
 #: documents must go this part of the way from an even share to all, in so many documents.
 SHARE, PRIOR, SUPPORT = 0.49, 4.0, 3.0
@@ -47,6 +47,13 @@ def _signed(b: bytes) -> int:
     return xxhash.xxh64_intdigest(b) - (1 << 63)
 
 
+def _print_of(guess: DataFrame, ks: range) -> tuple[int, int, int]:
+    """Number of sentences and two sums of hashes: equal sets of sentences with their subjects have equal prints."""
+    half = [F.sum(F.xxhash64(F.lit(h), "sentence", *[f"g{k}" for k in ks]).bitwiseAND(0x7FFFFFFF)).alias(f"h{h}") for h in (1, 2)]
+    r = guess.agg(F.count(F.lit(1)).alias("n"), *half).first()
+    return r["n"], r["h1"] or 0, r["h2"] or 0
+
+
 def _beginnings(subjects: list[str]) -> dict[str, int]:
     """Folded beginnings of the subjects' words, and the subject's number from 1 on."""
 
@@ -116,7 +123,7 @@ def subject_lists(documents: DataFrame, labels: DataFrame, subjects: list[str],
     unit of weight, divided among its seeds, or else among the subjects of its sentences. A round gives each phrase the subjects that hold most of
     the weight of its documents; each sentence the subjects of its phrases, unless the sentence as
     a whole occurs in documents of many subjects; and each document those of its sentences. A
-    sentence is no evidence for itself. Rounds end when hardly a sentence changes. Several subjects are kept. Null and blank texts, and texts
+    sentence is no evidence for itself. Rounds go on until no sentence changes. Several subjects are kept. Null and blank texts, and texts
     on none of the subjects, have no row. Rows with one id are one document; seeds with a null or
     unknown subject are left out.
     """
@@ -135,7 +142,7 @@ def subject_lists(documents: DataFrame, labels: DataFrame, subjects: list[str],
     seeds, seeds_path = written(seeds.select("doc", *[(F.col(f"y{k}") / number).alias(f"y{k}") for k in ks]), "seeds")
     marked = [F.max((F.col("hit") == k + 1).cast("int")).alias(f"g{k}") for k in ks]
     guess, guess_path = written(terms.filter("hit > 0").groupBy("sentence").agg(*marked), "guess")
-    told_before = [0] * len(subjects)
+    state, seen = _print_of(guess, ks), set()
     for _ in range(rounds):
         mine = has.join(guess, "sentence", "left")
         # sentences of the document that have the subject, without the sentence itself
@@ -161,10 +168,14 @@ def subject_lists(documents: DataFrame, labels: DataFrame, subjects: list[str],
             if p:
                 dropped(spark, p)
         guess, guess_path = new, new_path
-        now = list(guess.agg(*[F.coalesce(F.sum(f"g{k}"), F.lit(0)) for k in ks]).first()) if subjects else []
-        if sum(abs(a - b) for a, b in zip(now, told_before, strict=True)) <= SETTLED * max(1, sum(now)):
+        before, state = state, _print_of(guess, ks)
+        if state == before:
             break
-        told_before = now
+        if state in seen:
+            raise RuntimeError("sentences change in a circle")
+        seen.add(state)
+    else:
+        raise RuntimeError(f"sentences still change after {rounds} rounds")
     each = F.explode(F.array(*[F.when(F.col(f"g{k}") > 0, F.lit(s)) for k, s in enumerate(subjects)])).alias("subject")
     out = has.join(guess.select("sentence", each).filter(F.col("subject").isNotNull()), "sentence")
     return out.select(F.col("doc").alias(id_col), "subject").distinct()

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from compare import database, same_rows
+from skein.llm import subjects
 from skein.operators import clusters, fit
 from skein.plans import catalog, reads, rest
 
@@ -171,3 +172,17 @@ def test_incoherent_rest_is_deleted_and_small_bad_clusters_collapse(spark):
     assert dict(map(tuple, clusters.collapsed_clusters(d, "label").collect())) == {0: "0", 1: "emerging_other", 2: "emerging_other", 3: "3"}
     d = spark.createDataFrame([(-1, 20, 30.0, 0.70, 0.0)], d.schema)
     assert dict(map(tuple, clusters.collapsed_clusters(d, "label").collect())) == {-1: "emerging_other"}
+
+
+# --- subjects ---------------------------------------------------------------------------------
+
+
+def test_subjects_reach_over_many_hops_and_unsettled_rounds_raise(spark):
+    words = ["kelmor", "bavuni", "tizgad", "rulpex", "womfit", "dagrun", "pikloz", "nebvar", "hostum", "gyrfal", "zembok", "fuwlid"]
+    texts = [f"{words[0]}."] * 12 + [f"{a}. {b}." for a, b in zip(words, words[1:], strict=False) for _ in range(12)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, "law") for i in range(12)], "doc_id bigint, subject string")
+    got = {(r["doc_id"], r["subject"]) for r in subjects.subject_lists(d, labels, ["law", "sport"]).collect()}
+    assert got == {(i, "law") for i in range(len(texts))}
+    with pytest.raises(RuntimeError, match="still change"):
+        subjects.subject_lists(d, labels, ["law", "sport"], rounds=3)
