@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.operators import providers as M
 from skein.operators import relational as R
 from skein.plans.registry import query
 from skein.settings import DEFAULT as S
@@ -363,6 +364,16 @@ def vec_23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(e, "comment_id", "left").agg(F.count_if(F.col("hit")).alias("hits"), F.count_if(F.col("hit").isNull()).alias("misses"))
 
 
+@query("vec_23_cached_vectors")
+def vec_23_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector of every comment: cached where the comment has one, else embedded, each missing text once."""
+    c, e = table(spark, sf_dir, _COMMENTS).select("comment_id", "text_raw"), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("comment_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    hits = c.join(e, "comment_id").select("comment_id", "embedding", F.lit(True).alias("is_hit"))
+    none = spark.createDataFrame([], "h string, embedding array<float>")
+    vectors, _ = M.embedded_with_cache(c.join(e, "comment_id", "left_anti"), none, "comment_id", "text_raw", M.hashing_embedder)
+    return hits.unionByName(vectors.withColumn("is_hit", F.lit(False)))
+
+
 @query("set_01_sample_union", "SELECT comment_id, sample FROM (SELECT comment_id, min(s) AS sample FROM (SELECT comment_id, 0 AS s FROM raw_comments WHERE like_count >= 5 UNION ALL SELECT comment_id, 1 FROM raw_comments WHERE reply_count >= 2) GROUP BY 1)")
 def set_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, _COMMENTS).select("comment_id", F.col("comment_id").alias("ord"), "like_count", "reply_count")

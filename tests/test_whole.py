@@ -186,3 +186,13 @@ def test_subjects_reach_over_many_hops_and_unsettled_rounds_raise(spark):
     assert got == {(i, "law") for i in range(len(texts))}
     with pytest.raises(RuntimeError, match="still change"):
         subjects.subject_lists(d, labels, ["law", "sport"], rounds=3)
+
+
+# --- vectors of all comments ------------------------------------------------------------------
+
+
+def test_every_comment_has_a_vector(spark, sf, con):
+    got = PLANS["vec_23_cached_vectors"](spark, sf)
+    assert got.filter("embedding IS NULL OR size(embedding) <> 64").count() == 0
+    same_rows(got.select("comment_id", "is_hit"), con, "SELECT comment_id, comment_id IN (SELECT vec_id FROM embeddings) AS is_hit FROM raw_comments")
+    same_rows(got.filter("is_hit").select("comment_id", "embedding"), con, "SELECT vec_id AS comment_id, embedding FROM embeddings WHERE vec_id IN (SELECT comment_id FROM raw_comments)")
