@@ -1,7 +1,9 @@
 """Tables written to the shared folder, to cut lineage where a result is used more than once.
 
 The folder is the one that the session names in ``spark.checkpoint.dir``. Only where that is
-unset (tests, one machine) a folder of this process is made.
+unset and the master is this machine (tests), a folder of this process is made. Tables of rounds
+are removed once the next round has its own; a table that a lazy result reads is removed by
+``released``, or when the application ends.
 """
 
 from __future__ import annotations
@@ -14,60 +16,94 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys that hold more than 1/HOT of all rows are joined by broadcast: there are fewer than HOT of them.
-HOT = 2000
+#: Rows of one key that one task of a shuffle join may take. Keys with more are joined without a shuffle.
+CHUNK = 1_000_000
+#: Keys in one broadcast. Keys with more than CHUNK rows are at most rows / CHUNK: one broadcast for 10^11 rows.
+BLOCK = 100_000
 
 _own: dict[str, str] = {}
+_kept: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see."""
+    """Folder that the driver and all executors see; an error on a cluster that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not (spark.sparkContext.master + "[").startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="skein-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
     return f"file://{_own['dir']}"
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """``df`` after a round trip through a Parquet table of the shared folder, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skein/{tag}-{uuid.uuid4().hex}"
+    _kept.add(path)
     df.write.parquet(path)
+    files, p = _at(spark, path)
+    files.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Remove a table that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Remove tables that no later plan reads."""
+    for path in paths:
+        files, p = _at(spark, path)
+        files.delete(p, True)
+        files.cancelDeleteOnExit(p)
+        _kept.discard(path)
+
+
+def released(spark: SparkSession) -> int:
+    """Remove the tables of all results so far, which must not be read any more; gives their number."""
+    n = len(_kept)
+    dropped(spark, *list(_kept))
+    return n
 
 
 def joined(rows: DataFrame, sized: DataFrame, on: list[str], n: int) -> DataFrame:
     """``rows`` joined with ``sized``, one row a key with its number of rows in column ``c`` (not kept).
 
-    ``n`` is the number of ``rows``. Keys with very many rows would make one huge task of a
-    shuffle join; they are few by arithmetic and go by broadcast, all others by the usual join.
+    ``n`` is the number of ``rows``. A key with more than CHUNK rows would make one huge task of a
+    shuffle join. Those keys are few by arithmetic and go by broadcasts of at most BLOCK keys each,
+    so that their rows stay where they are; all others take the usual join.
     """
-    most = max(1000, n // HOT)
     value = [x for x in sized.columns if x not in on and x != "c"]
-    hot = F.broadcast(sized.filter(F.col("c") > most).select(*on, F.lit(True).alias("is_hot"), *[F.col(x).alias(f"hot_{x}") for x in value]))
-    marked = rows.join(hot, on, "left")
-    plain = marked.filter(F.col("is_hot").isNull()).select(*rows.columns).join(sized.filter(F.col("c") <= most).drop("c"), on)
-    return plain.unionByName(marked.filter(F.col("is_hot")).select(*rows.columns, *[F.col(f"hot_{x}").alias(x) for x in value]))
+    plain = sized.filter(F.col("c") <= CHUNK).drop("c")
+    if n <= CHUNK:
+        return rows.join(plain, on)
+    hot = sized.filter(F.col("c") > CHUNK).select(*on, F.struct(F.lit(True).alias("hot"), *value).alias("_hot"))
+    blocks = -(-n // CHUNK // BLOCK)
+    marked, found = rows, F.lit(None)
+    for i in range(blocks):
+        of = hot if blocks == 1 else hot.filter(F.pmod(F.xxhash64(*on), F.lit(blocks)) == i)
+        marked = marked.join(F.broadcast(of.withColumnRenamed("_hot", f"_hot{i}")), on, "left")
+        found = F.col("_hot0") if i == 0 else F.coalesce(found, F.col(f"_hot{i}"))
+    marked = marked.select(*rows.columns, found.alias("_hot"))
+    cold = marked.filter(F.col("_hot").isNull()).select(*rows.columns).join(plain, on)
+    return cold.unionByName(marked.filter(F.col("_hot").isNotNull()).select(*rows.columns, *[F.col(f"_hot.{x}").alias(x) for x in value]))
 
 
 def positioned(df: DataFrame, by: list[str], tag: str) -> tuple[DataFrame, int]:
     """``df`` with its 0-based ``position`` in the order of ``by`` (a unique key), and its number of rows.
 
     A range partitioning sorts across partitions; the partitions' row counts, one number each, are
-    summed up on the driver and added to the places within partitions.
+    summed up on the driver and added to the places within partitions. ``df`` is written first, as
+    the partitioning reads it twice, once to sample its bounds.
     """
     place = F.monotonically_increasing_id()
+    df, aside = written(df, tag)
     rows, _ = written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("place", place), tag)
+    dropped(df.sparkSession, aside)
     part = F.shiftright("place", 33).cast("int")
     n = {r["part"]: r["n"] for r in rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
     before, offsets = 0, []
