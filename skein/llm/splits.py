@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.keys import bare
@@ -35,8 +35,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         pairs = F.explode(F.array(F.struct(F.col("m").alias("u"), "v"), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
         sent, new = written(joined(rows, least, ["u"], state[0]).select(pairs.alias("e")).select("e.u", "e.v").distinct(), "clusters")
         before, state = state, _print_of(sent)
-        dropped(spark, path)
-        dropped(spark, aside)
+        dropped(spark, path, aside)
         rows, path = sent, new
         if state == before:
             return rows.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
@@ -58,8 +57,7 @@ def linked_rows(df: DataFrame, id_col: str, author: str, keys: Sequence[str]) ->
     links, path = written(links, "links")
     sized, sizes = written(links.groupBy("w", "x").agg(F.min("i").alias("v"), F.count(F.lit(1)).alias("c")), "values")
     found = components(joined(links, sized, ["w", "x"], links.count()).select(F.col("i").alias("u"), "v"))
-    for p in (path, sizes):
-        dropped(df.sparkSession, p)
+    dropped(df.sparkSession, path, sizes)
     ids = df.filter(F.col(id_col).isNotNull()).select(id_col).distinct()
     return ids.join(found.withColumnRenamed("node", id_col), id_col, "left").select(id_col, F.coalesce("component", F.col(id_col)).alias("group_id"))
 
@@ -82,3 +80,13 @@ def assign_splits(df: DataFrame, id_col: str, author: str, keys: Sequence[str],
     expectation; a group that is larger than a split's share makes that split larger."""
     groups = linked_rows(df, id_col, author, keys)
     return groups.withColumn("split", rendezvous(F.col("group_id"), shares, seed))
+
+
+def achieved(assigned: DataFrame, shares: Mapping[str, float]) -> DataFrame:
+    """Columns split, n_groups, n, share, wanted, deviation of ``assign_splits``; a split without rows has 0."""
+    total = sum(shares.values())
+    wanted = assigned.sparkSession.createDataFrame([(k, float(v) / total) for k, v in shares.items()], "split string, wanted double")
+    found = assigned.groupBy("split", "group_id").agg(F.count(F.lit(1)).alias("m")).groupBy("split").agg(F.count(F.lit(1)).alias("n_groups"), F.sum("m").alias("n"))
+    out = F.broadcast(wanted).join(found, "split", "left")  # one row a split
+    share = F.coalesce(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), F.lit(0.0))
+    return out.select("split", F.coalesce("n_groups", F.lit(0)).alias("n_groups"), F.coalesce("n", F.lit(0)).alias("n"), share.alias("share"), "wanted").withColumn("deviation", F.col("share") - F.col("wanted"))
