@@ -21,9 +21,11 @@ NAMES = {
     "es": ("es", "spa", "spanish", "español", "espanol", "castellano", "испанский"),
 }
 LANGUAGES = tuple(NAMES)
-#: Labelled texts sampled for each language, and letters of them that its automaton holds.
-SAMPLE = 900
-LETTERS = 30_000
+#: Labelled texts sampled for each language, and letters that each automaton holds. NATIVE is the
+#: part of the letters that stays for the script itself where romanised forms are added.
+SAMPLE = 1200
+LETTERS = 100_000
+NATIVE = 0.6
 # The usual romanisation of Russian and Ukrainian, and second forms in use.
 LATIN = {
     "а": "a", "б": "b", "в": "v", "г": "g", "ґ": "g", "д": "d", "е": "e", "ё": "yo", "є": "ye", "ж": "zh", "з": "z", "и": "i", "і": "i", "ї": "yi", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n",
@@ -206,11 +208,16 @@ def romanised(text: str, lang: str, second: bool) -> str:
     return "".join(table.get(c, c) for c in text.lower())
 
 
-def consistent(parts: Mapping[str, Sequence[np.ndarray]], rounds: int = 4) -> dict[str, list[np.ndarray]]:
-    """The segments that belong to the language of their label, judged by how often they
-    and their four-letter runs occur under each label. Labels may be wrong, so frequency counts, which a
-    minority of wrong labels hardly moves; the automata know presence only."""
-    width = 1 << 18
+def consistent(parts: Mapping[str, Sequence[np.ndarray]], rounds: int = 5) -> dict[str, list[np.ndarray]]:
+    """The segments that belong to the language of their label.
+
+    Labels may be wrong, and the automata know presence only, so one segment under a wrong label
+    would win for good. A segment is judged by how often its four-letter runs occur in each language's
+    kept segments and, where it occurs more than once, by the labels of its other copies. How
+    likely a language gets each label is estimated from the judgements of the round before: a
+    frequent language strays into the labels of a rare one more often than the other way round.
+    """
+    width, n = 1 << 18, len(LANGUAGES)
     rows = [(lang, r) for lang, rs in parts.items() for r in rs]
     if not rows:
         return {lang: [] for lang in parts}
@@ -219,23 +226,28 @@ def consistent(parts: Mapping[str, Sequence[np.ndarray]], rounds: int = 4) -> di
         x = np.concatenate([r, np.zeros(3, np.uint8)]).astype(np.int64)
         runs.append(((x[:-3] * 64 + x[1:-2]) * 64 + x[2:-1]) * 64 + x[3:])
     size = np.array([len(x) for x in runs])
-    at = np.concatenate(runs) * 0x9E3779B1 % (1 << 61) % width
+    at = (np.concatenate(runs).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int64)
     owner = np.repeat(np.arange(len(rows)), size)
     label = np.array([LANGUAGES.index(lang) for lang, _ in rows])
     _, same = np.unique([r.tobytes() for _, r in rows], return_inverse=True)
+    copies = np.stack([np.bincount(same[label == k], minlength=same.max() + 1)[same] - (label == k) for k in range(n)], axis=1)
     keep = np.ones(len(rows), bool)
+    strays = None
     for _ in range(rounds):
-        score = np.zeros((len(rows), len(LANGUAGES)))
-        for k in range(len(LANGUAGES)):
+        score = np.zeros((len(rows), n))
+        for k in range(n):
             ours = keep & (label == k)
             # a row's own part of the counts is taken off, or rare runs would speak for its label
             runs_k = np.bincount(at[ours[owner]], minlength=width)
             left = np.maximum(runs_k[at] - ours[owner], 0) + 0.05
             score[:, k] = np.bincount(owner, np.log(left / (runs_k.sum() + 0.05 * width)), len(rows))
-            # a segment seen more than once is also judged as a whole, as strongly as by its runs
-            whole = np.bincount(same[ours], minlength=same.max() + 1)
-            score[:, k] += size / 4 * np.log((whole[same] - ours + 1.0) / (whole.sum() + len(whole)))
-        keep = score.argmax(axis=1) == label
+        if strays is not None:
+            # as strong as the runs, which are not independent of each other
+            score += size[:, None] / 4 * (copies @ np.log(strays).T)
+        best = score.argmax(axis=1)
+        keep = best == label
+        strays = np.bincount(best * n + label, minlength=n * n).reshape(n, n) + 0.5
+        strays /= strays.sum(axis=1, keepdims=True)
     out: dict[str, list[np.ndarray]] = {lang: [] for lang in parts}
     for (lang, r), k in zip(rows, keep, strict=True):
         if k:
@@ -249,31 +261,28 @@ def fit(sample: Mapping[str, Sequence[str]], letters: int = LETTERS) -> CrossPar
     for lang in LANGUAGES:
         x, b, *_ = segments(list(sample.get(lang, ())))
         parts[lang] = [x[i:j] for i, j in zip(b[:-1], b[1:], strict=True) if j - i >= 6]
-    parts = consistent(parts)
+    # an automaton gains nothing from a segment that it has
+    parts = {lang: list({r.tobytes(): r for r in rows}.values()) for lang, rows in consistent(parts).items()}
 
-    def tables(which: Mapping[str, list[np.ndarray]], most: int) -> CrossParser:
-        out = {}
-        for lang, rows in which.items():
-            size = np.cumsum([len(r) for r in rows]) if rows else np.zeros(0)
-            out[lang] = automaton(rows[: int(np.searchsorted(size, most)) + 1])
-        return CrossParser(out)
+    def first(rows: list[np.ndarray], most: int) -> list[np.ndarray]:
+        size = np.cumsum([len(r) for r in rows]) if rows else np.zeros(0)
+        return rows[: int(np.searchsorted(size, most))]
 
-    native = {}
+    out = {}
     for lang in LANGUAGES:
         rows = parts[lang]
         if lang in ("ru", "uk") and rows:
-            # Romanised forms of the kept Cyrillic segments; letters were folded, so they are unfolded first
+            # letters were folded, so they are unfolded before they are romanised
             back = {v: k for k, v in fold.SAME_SHAPE.items() if "Ѐ" <= k <= "ӿ"}
-            size = np.cumsum([len(r) for r in rows])
-            extra = []
-            for i, r in enumerate(rows[: int(np.searchsorted(size, letters)) + 1]):
+            rows, extra = first(rows, int(letters * NATIVE)), []
+            for i, r in enumerate(rows):
                 s = "".join(ALPHABET[c] for c in r.tolist())
                 if any("а" <= c <= "я" for c in s):
                     text = romanised("".join(back.get(c, c) for c in s), lang, i % 3 == 2)
                     extra += [x[a:b] for x, bb, *_ in [segments([text])] for a, b in zip(bb[:-1], bb[1:], strict=True)]
-            rows = rows[: int(np.searchsorted(size, letters)) + 1] + extra
-        native[lang] = rows
-    return tables(native, 10 * letters)
+            rows = rows + first(extra, letters - sum(map(len, rows)))
+        out[lang] = automaton(first(rows, letters))
+    return CrossParser(out)
 
 
 #: A segment is given another language than its text only if it has this many letters, and
@@ -312,19 +321,32 @@ def detect(model: CrossParser, texts: Sequence[str]) -> pd.DataFrame:
     return pd.DataFrame({"doc": doc, "begin": begin, "end": end, "lang": names[lang], "confidence": confidence, "main": names[here]})
 
 
-def sampled(df: DataFrame, text_col: str, label_col: str, per_language: int = SAMPLE) -> dict[str, list[str]]:
-    """About ``per_language`` different labelled texts of each language, chosen by a hash of the text."""
-    rows = df.select(label_code(F.col(label_col)).alias("lang"), F.col(text_col).alias("t")).filter(F.col("lang").isNotNull() & (F.length("t") >= 12))
+def hash_bound(wanted: int, n: int) -> int:
+    """Signed 64-bit hashes below this bound are ``wanted`` of ``n``, in expectation; all of them if n is not larger."""
+    return (1 << 63) - 1 if wanted >= n else (wanted << 64) // n - (1 << 63)
+
+
+def sampled(df: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int = SAMPLE) -> dict[str, list[str]]:
+    """The texts of ``per_language`` labelled rows of each language at most, those with the least hashes of id and text.
+
+    Rows are sampled, not different texts, so that what is said often is in the sample. The bound is
+    exact to one row whatever the size of the table. A language with labelled rows of which none is
+    sampled is an error. A table without labels gives no samples.
+    """
+    rows = df.select(label_code(F.col(label_col)).alias("lang"), F.col(id_col).alias("k"), F.col(text_col).alias("t")).filter(F.col("lang").isNotNull() & (F.length("t") >= 12))
     n = {r["lang"]: r["c"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).collect()}
     if not n:
         return {}
-    bound = F.lit(0)
+    # twice as many as wanted pass the bound, so that chance leaves enough; the least hashes are taken
+    h, bound = F.xxhash64("k", "t"), F.lit(-(1 << 63))
     for lang, c in n.items():
-        bound = F.when(F.col("lang") == lang, F.lit(int(min(1.0, per_language / c) * 1_000_000))).otherwise(bound)
-    h = F.pmod(F.xxhash64("t"), F.lit(1_000_000))
+        bound = F.when(F.col("lang") == lang, F.lit(hash_bound(2 * per_language, c))).otherwise(bound)
     out: dict[str, list[str]] = {k: [] for k in n}
-    for r in rows.filter(h < bound).distinct().orderBy(F.xxhash64("t"), "lang").limit(2 * per_language * len(n)).collect():  # bounded by per_language
-        out[r["lang"]].append(r["t"])
+    for r in rows.filter(h <= bound).select("lang", "t", h.alias("h")).orderBy("h", "lang", "t").limit(4 * per_language * len(n)).collect():  # bounded by per_language
+        if len(out[r["lang"]]) < per_language:
+            out[r["lang"]].append(r["t"])
+    if not all(out.values()):
+        raise RuntimeError(f"no sample of {sorted(k for k, v in out.items() if not v)}")
     return out
 
 
