@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import fold
+from skein.llm.language import hash_bound
 
 #: Labelled texts that the model is trained on, chosen by a hash of the text.
 SAMPLE = 16_000
@@ -209,21 +210,27 @@ def train(texts: Sequence[str], labels: Sequence[bool], steps: int = 120, rate:
 
 
 def sampled(df: DataFrame, text_col: str, label_col: str, most: int = SAMPLE) -> tuple[list[str], list[bool]]:
-    """At most about ``most`` labelled texts by hash; texts with opposite labels are left out."""
+    """``most`` different labelled texts at most, those with the least hashes; texts with opposite labels are left out.
+
+    The bound of the hash is exact to one row whatever the size of the table. A large table of
+    which none is sampled is an error; one without usable labels gives no samples.
+    """
     rows = df.select(F.col(text_col).alias("t"), F.col(label_col).alias("y")).filter(F.col("t").isNotNull() & F.col("y").isNotNull())
-    n = rows.count()
-    share = int(min(1.0, most / max(n, 1)) * 1_000_000)
-    rows = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < share)
+    h = F.xxhash64("t")
+    n = rows.agg(F.approx_count_distinct(h)).first()[0]
+    rows = rows.filter(h <= hash_bound(2 * most, n))
     rows = rows.groupBy("t").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter(F.col("y") == F.col("z"))
-    got = rows.orderBy(F.xxhash64("t"), "t").limit(2 * most).select("t", "y").collect()  # bounded by most
+    got = rows.orderBy(F.xxhash64("t"), "t").limit(most).select("t", "y").collect()  # bounded by most
+    if n > 2 * most and not got:
+        raise RuntimeError("no sample of the labelled texts")
     return [r["t"] for r in got], [r["y"] for r in got]
 
 
-SCORES = "k bigint, score double, begin int, end int, worst double"
+SCORES = "score double, begin int, end int, worst double"
 
 
-def scored(df: DataFrame, id_col: str, text_col: str, model: Scorer) -> DataFrame:
-    """Columns ``id_col``, score, begin, end, worst: the text's score, and place and score of its worst sentence.
+def scored(df: DataFrame, id_col: str, text_col: str, model: Scorer, carried: Sequence[str] = ()) -> DataFrame:
+    """Columns ``id_col``, ``carried``, score, begin, end, worst: the text's score, and place and score of its worst sentence.
 
     Texts that are null or hold no word score 0 and have no sentence. Texts are read whole. Of
     sentences with equal scores the first is named. Each row of the table gives one row.
@@ -235,7 +242,8 @@ def scored(df: DataFrame, id_col: str, text_col: str, model: Scorer) -> DataFram
             texts = [t or "" for t in part["t"].tolist()]
             chars, bounds, doc, begin, end = sentences(texts)
             n = len(texts)
-            out = pd.DataFrame({"k": part["k"].to_numpy(), "score": np.zeros(n)})
+            out = part.drop(columns="t").reset_index(drop=True)
+            out["score"] = np.zeros(n)
             out["begin"] = out["end"] = pd.array([None] * n, dtype="Int32")
             out["worst"] = np.nan
             if len(doc):
@@ -253,5 +261,7 @@ def scored(df: DataFrame, id_col: str, text_col: str, model: Scorer) -> DataFram
                 out["worst"] = w
             yield out
 
-    part = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-    return part.mapInPandas(run, SCORES).withColumnRenamed("k", id_col)
+    part = df.select(F.col(id_col).alias("k"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)], F.col(text_col).alias("t"))
+    kinds = "".join(f", c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carried))
+    out = part.mapInPandas(run, f"k bigint{kinds}, {SCORES}")
+    return out.select(F.col("k").alias(id_col), *[F.col(f"c{i}").alias(c) for i, c in enumerate(carried)], "score", "begin", "end", "worst")
