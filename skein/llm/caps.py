@@ -17,7 +17,7 @@ PLACES = "part int, k bigint, place bigint, continued boolean, author string, n
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the rows of each author within a sorted partition.
+    """Number the rows of each author within a sorted partition; columns after k and author are carried along.
 
     Rows of the partition's first author are marked as continued, as earlier partitions may hold
     more of them. At the end come two rows without k: the first author with the size of the
@@ -53,13 +53,15 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = int(place[-1]) + 1
         last = author[m - 1].as_py()
         total += m
-        yield pa.record_batch([pa.array(np.full(m, part, np.int32)), batch.column("k"), pa.array(place), pa.array(continued), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())], schema=schema)
+        more = list(batch.schema)[2:]
+        full = pa.schema([*schema, *more])
+        yield pa.record_batch([pa.array(np.full(m, part, np.int32)), batch.column("k"), pa.array(place), pa.array(continued), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), *batch.columns[2:]], schema=full)
     if total:
-        yield pa.record_batch([[part] * 2, [None] * 2, [0, 1], [whole] * 2, [first, last], [first_run, run]], schema=schema)
+        yield pa.record_batch([[part] * 2, [None] * 2, [0, 1], [whole] * 2, [first, last], [first_run, run], *[pa.nulls(2, f.type) for f in more]], schema=full)
 
 
-def ranked_places(df: DataFrame, id_col: str, author: Column, order: Sequence[Column]) -> DataFrame:
-    """Columns ``id_col`` and ``place``: 0 for the author's first row by ``order``, 1 for the next.
+def ranked_places(df: DataFrame, id_col: str, author: Column, order: Sequence[Column], carried: Sequence[str] = ()) -> DataFrame:
+    """Columns ``id_col``, ``carried`` and ``place``: 0 for the author's first row by ``order``, 1 for the next.
 
     Rows whose author is null are left out; ``order`` must end in a unique column. One range
     partitioning by author and order spreads even an author with a third of all rows over several
@@ -68,11 +70,12 @@ def ranked_places(df: DataFrame, id_col: str, author: Column, order: Sequence[Co
     """
     spark = df.sparkSession
     names = [f"o{i}" for i in range(len(order))]
-    rows = df.select(F.col(id_col).alias("k"), author.alias("author"), *[c.alias(n) for c, n in zip(order, names, strict=True)]).filter(F.col("author").isNotNull())
+    rows = df.select(F.col(id_col).alias("k"), author.alias("author"), *[c.alias(n) for c, n in zip(order, names, strict=True)], *[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)]).filter(F.col("author").isNotNull())
     by = [F.col("author"), *[F.col(n) for n in names]]
-    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by).select("k", "author")
-    places, _ = written(ordered.mapInArrow(_numbered, PLACES), "places")
-    carried: list[tuple[int, int]] = []
+    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by).select("k", "author", *[f"c{i}" for i in range(len(carried))])
+    kinds = "".join(f", c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carried))
+    places, _ = written(ordered.mapInArrow(_numbered, PLACES + kinds), "places")
+    moved: list[tuple[int, int]] = []
     open_author, open_run = None, 0
     ends: dict[int, dict[int, tuple[str, int, bool]]] = {}
     for r in places.filter(F.col("k").isNull() & F.col("n").isNotNull()).collect():  # two rows a partition
@@ -80,11 +83,11 @@ def ranked_places(df: DataFrame, id_col: str, author: Column, order: Sequence[Co
     for part in sorted(ends):
         (head, _, whole), (tail, last_run, _) = ends[part][0], ends[part][1]
         before = open_run if head == open_author else 0
-        carried.append((part, before))
+        moved.append((part, before))
         open_author, open_run = tail, last_run + (before if whole else 0)
-    offsets = F.broadcast(spark.createDataFrame(carried, "part int, before bigint"))
+    offsets = F.broadcast(spark.createDataFrame(moved, "part int, before bigint"))
     places = places.filter(F.col("n").isNull()).join(offsets, "part")
-    return places.select(F.col("k").alias(id_col), (F.col("place") + F.when(F.col("continued"), F.col("before")).otherwise(0)).alias("place"))
+    return places.select(F.col("k").alias(id_col), *[F.col(f"c{i}").alias(c) for i, c in enumerate(carried)], (F.col("place") + F.when(F.col("continued"), F.col("before")).otherwise(0)).alias("place"))
 
 
 def over_cap(df: DataFrame, id_col: str, author: Column, order: Sequence[Column], cap: int | None = None, share: float | None = None) -> DataFrame:
