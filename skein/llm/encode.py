@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
 import os
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +27,8 @@ CACHE = 400_000
 NONE = 1 << 60
 
 
-def ranks_of(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+def ranks_of(raw: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
 
 
 def merged_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -79,8 +80,8 @@ def merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder:
     """Ids of texts as little-endian int32 bytes, with a bounded cache of words."""
 
-    def __init__(self, path: str) -> None:
-        self.ranks = ranks_of(path)
+    def __init__(self, raw: bytes) -> None:
+        self.ranks = ranks_of(raw)
         self.find = regex.compile(WORDS).findall
         self.cache: dict[str, bytes] = {}
 
@@ -99,16 +100,28 @@ class Encoder:
         return b"".join([get(w) or word(w) for w in self.find(t)])
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(raw: bytes) -> Encoder:
+    """The encoder of a vocabulary file, one in each Python worker for all its tasks."""
+    return Encoder(raw)
+
+
+def shipped(df: DataFrame, path: str) -> Broadcast[bytes]:
+    """The vocabulary file (about a megabyte) for all executors, which need not have it themselves."""
+    with open(path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
+
+
 def encoded(df: DataFrame, id_col: str, text_col: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """Columns ``id_col`` and ``ids`` (array of int), without special tokens.
 
     The empty text gives an empty array, null gives null. Texts are encoded whole. Each row of the
     table gives one row. Equal ranks within a word are merged from the left.
     """
-    path = f"{tokenizers}/{vocabulary}"
+    raw = shipped(df, f"{tokenizers}/{vocabulary}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
+        enc = encoder(raw.value)
         for batch in batches:
             parts = [None if t is None else enc.text(t) for t in batch.column(1).to_pylist()]
             size = np.fromiter((0 if p is None else len(p) // 4 for p in parts), np.int64, len(parts))
@@ -129,10 +142,10 @@ def encoded(df: DataFrame, id_col: str, text_col: str, tokenizers: str = TOKENIZ
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """Columns ``id_col`` and ``n_tokens``; null texts have no row, the empty text has 0."""
-    path = f"{tokenizers}/{vocabulary}"
+    raw = shipped(df, f"{tokenizers}/{vocabulary}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
+        enc = encoder(raw.value)
         for batch in batches:
             n = [len(enc.text(t)) // 4 for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64())], names=["k", "n"])
