@@ -1,4 +1,4 @@
-"""Problem 10: subject areas (label propagation over sentences that documents and phrases link)."""
+"""Problem 10: subject areas (labels propagated over the documents' verified common phrases)."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.abuse import SHAPE, sentences
+from skein.llm.abuse import sentences
 from skein.llm.fold import slices
 from skein.llm.store import dropped, joined, written
 
@@ -24,76 +24,52 @@ BELOW = 0.25
 #: A sentence known from this many documents is judged as a whole: if the subject's share goes
 #: less than this part of the way, it is a figure of speech, whatever its words are.
 WHOLE, WHOLE_SHARE = 8.0, 0.31
-#: Documents that speak for a word whose beginning is in BEGINNINGS, before any is read.
+#: Documents that the definition of a subject counts as.
 KNOWN = 6.0
-# Beginnings of words that are usually about a subject, in the corpus languages.
-BEGINNINGS = {
-    "politics": "парламент депутат избират голосован министр президент коалиц фракци дипломат посол референдум губернатор сенатор виборц вибори мандат parliament election voter ballot coalition senator minister campaign ambassador wahl partei koalition elecc diputad votos",
-    "economy": "инфляц бюджет налог банк кредит ипотек биржев экспорт тариф валют пенсион зарплат инвест бензин economy inflation budget tax loan mortgage bond tariff revenue investor steuer börse haushalt hypothek impuesto bolsa іпотеч податок",
-    "law": "суд судья приговор адвокат прокурор иск истец кодекс арест нотариал уголовн кассац апелляц подсудим judge lawsuit attorney court jury prosecutor plaintiff warrant gericht klage anwalt richter juez abogado sentencia jurado вирок позов",
-    "science": "физик биолог астроном химик геном телескоп лаборатор гипотез орбит квант спутник палеонт изотоп physicist biologist astronom telescope laborator hypothesis quantum asteroid fossil protein physik teilchen físic científ órbita білка",
-    "health": "врач больниц клиник терапевт хирург прививк вакцин диабет инсулин таблетк лечени симптом грипп антибиот doctor hospital clinic surgeon vaccin diabet insulin nurse stroke arzt krankenh grippe médico vacuna лікар щеплен",
-    "sport": "футбол хоккей матч тренер форвард вратар пенальт чемпион лыжник олимпий турнир марафон забил эстафет football hockey coach striker goalkeeper penalty league playoff torwart elfmeter trainer portero penalti liga maratón воротар хокей",
-    "software": "программ сервер браузер баг код плагин прошивк драйвер линукс репозитор парсер шифрован разработчик software server browser compiler database firmware plugin repositor encryption developer datenbank quelltext servidor navegador застосун",
-    "culture": "театр музей роман режисс скрипач оперн балет симфони выставк кино поэт драматург увертюр дириж theatre museum novel opera ballet symphon playwright curator jazz gemälde konzert regisseur cine teatr poesía ópera",
-}
-_LENGTHS = range(3, 12)
 #: Sentences that a task remembers to have given the terms of.
 KEPT = 200_000
-TERMS = "doc bigint, sentence bigint, times int, terms array<bigint>, hits array<int>"
+TERMS = "doc bigint, sentence bigint, times int, terms array<bigint>"
 
 
 def _signed(b: bytes) -> int:
     return xxhash.xxh64_intdigest(b) - (1 << 63)
 
 
-def _print_of(guess: DataFrame, ks: range) -> tuple[int, int, int]:
-    """Number of sentences and two sums of hashes: equal sets of sentences with their subjects have equal prints."""
-    half = [F.sum(F.xxhash64(F.lit(h), "sentence", *[f"g{k}" for k in ks]).bitwiseAND(0x7FFFFFFF)).alias(f"h{h}") for h in (1, 2)]
-    r = guess.agg(F.count(F.lit(1)).alias("n"), *half).first()
-    return r["n"], r["h1"] or 0, r["h2"] or 0
-
-
-def _beginnings(subjects: list[str]) -> dict[str, int]:
-    """Folded beginnings of the subjects' words, and the subject's number from 1 on."""
-
-    def shape(w: str) -> str:
-        folded = SHAPE[[ord(c) for c in w]].astype("<u4").tobytes().decode("utf-32-le")
-        return "".join(c for i, c in enumerate(folded) if not i or c != folded[i - 1])
-
-    return {shape(w): k + 1 for k, s in enumerate(subjects) for w in BEGINNINGS.get(s, s).split()}
+def sentence_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Columns doc, sentence (hash of its words), times, terms (hashes of its words and word pairs).
 
-
-def sentence_terms(df: DataFrame, id_col: str, text_col: str, subjects: list[str]) -> DataFrame:
-    """Columns doc, sentence (hash of its words), times, terms (hashes of its words and word pairs),
-    hits (for each term the number of the subject that it usually belongs to, or 0).
-
-    Case, accents, look-alike letters, numbers and marks do not matter. Terms are given where a
-    task first meets a sentence, null after that. Null and wordless texts have no row.
+    Words are whole words. Case, accents, look-alike letters and marks do not matter; words with
+    digits are left out, so that sentences which differ in a number are one. Terms are given where
+    a task first meets a sentence, null after that. Null ids, null texts and wordless texts have no row.
     """
 
-    known = _beginnings(subjects)
-
-    def hit(w: str) -> int:
-        return max((known.get(w[:n], 0) for n in _LENGTHS if n >= len(w) - 7), default=0)
-
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, int] = {}
+        known: dict[str, int] = {}
         for part in (batch.iloc[i:j] for batch in parts for i, j in slices(batch["t"].tolist())):
             if len(seen) > KEPT:
                 seen.clear()
+                known.clear()
             ids = part["k"].to_numpy()
-            chars, bounds, doc, *_ = sentences([t or "" for t in part["t"].tolist()])
+            chars, bounds, doc, *_ = sentences(part["t"].tolist())
             whole = chars.astype("<u4").tobytes().decode("utf-32-le")
             at: dict[tuple[int, int], int] = {}
-            docs, sids, times, terms, hits = [], [], [], [], []
+            docs, sids, times, terms = [], [], [], []
             for d, a, b in zip(doc.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                words = [w for w in whole[a:b].split() if len(w) > 2 and "0" not in w]
-                if not words:
-                    continue
-                key = " ".join(words)
-                new = key not in seen
-                sid = seen.setdefault(key, _signed(key.encode()))
+                raw = whole[a:b]
+                sid = known.get(raw, 0)
+                given = None
+                if not sid:
+                    words = [w for w in raw.split() if "0" not in w]
+                    if not words:
+                        continue
+                    key = " ".join(words)
+                    sid = seen.get(key, 0)
+                    if not sid:
+                        sid = seen[key] = _signed(key.encode())
+                        of = dict.fromkeys([*words, *map(" ".join, zip(words, words[1:], strict=False))])
+                        given = [_signed(w.encode()) for w in of]
+                    known[raw] = sid
                 if (row := at.get((d, sid))) is not None:
                     times[row] += 1
                     continue
@@ -101,81 +77,135 @@ def sentence_terms(df: DataFrame, id_col: str, text_col: str, subjects: list[str
                 docs.append(ids[d])
                 sids.append(sid)
                 times.append(1)
-                if not new:
-                    terms.append(None)
-                    hits.append(None)
-                    continue
-                of = {f"{x[:6]} {y[:6]}": 0 for x, y in zip(words, words[1:], strict=False)} | {w: hit(w) for w in words}
-                terms.append([_signed(w.encode()) for w in of])
-                hits.append(list(of.values()))
-            yield pd.DataFrame({"doc": np.array(docs, np.int64), "sentence": np.array(sids, np.int64), "times": np.array(times, np.int32), "terms": pd.Series(terms, dtype=object), "hits": pd.Series(hits, dtype=object)})
+                terms.append(given)
+            yield pd.DataFrame({"doc": np.array(docs, np.int64), "sentence": np.array(sids, np.int64), "times": np.array(times, np.int32), "terms": pd.Series(terms, dtype=object)})
 
-    part = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).filter(F.col("t").isNotNull())
+    part = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).filter(F.col("k").isNotNull() & F.col("t").isNotNull())
     return part.mapInPandas(run, TERMS)
 
 
-def subject_lists(documents: DataFrame, labels: DataFrame, subjects: list[str], id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def _print_of(told: DataFrame) -> tuple[int, int, int]:
+    """Number of rows and two sums of hashes: equal sets of sentences with their subjects have equal prints."""
+    half = [F.sum(F.xxhash64(F.lit(h), "sentence", "subjects").bitwiseAND(0x7FFFFFFF)).alias(f"h{h}") for h in (1, 2)]
+    r = told.agg(F.count(F.lit(1)).alias("n"), *half).first()
+    return r["n"], r["h1"] or 0, r["h2"] or 0
+
+
+class Graph:
+    """Documents joined by their common sentences and phrases, as written tables.
+
+    Two documents are linked by each sentence and each phrase that both hold. Pairs would grow with
+    the square of a phrase's documents, so a link is kept as two rows that meet in the phrase, the
+    class that stands for all its pairs, and is followed by two joins. Phrases that occur in fewer
+    than SUPPORT documents can never be verified and are left out.
+    """
+
+    def __init__(self, documents: DataFrame, id_col: str, text_col: str) -> None:
+        self.spark = documents.sparkSession
+        rows, _ = written(sentence_terms(documents, id_col, text_col), "sentences")
+        #: Which document holds which sentence, and how often.
+        self.has = rows.select("doc", "sentence", "times")
+        self.n_has = self.has.count()
+        #: Documents of each sentence.
+        self.sizes, _ = written(self.has.groupBy("sentence").agg(F.count(F.lit(1)).alias("c")), "sizes")
+        terms, terms_path = written(rows.filter(F.col("terms").isNotNull()).select("sentence", F.explode("terms").alias("term")).distinct(), "terms")
+        held = terms.join(self.sizes, "sentence").groupBy("term").agg(F.count(F.lit(1)).alias("c"), F.sum("c").alias("n")).filter(F.col("n") >= SUPPORT)
+        held, held_path = written(held, "held")
+        #: Which sentence holds which phrase.
+        self.terms, _ = written(joined(terms, held.select("term", "c", "n"), ["term"], terms.count()), "terms")
+        self.n_terms = self.terms.count()
+        # the usual surroundings of a phrase: what is most often the most frequent word of its sentences
+        tops = self.terms.groupBy("sentence").agg(F.max(F.struct("n", "term")).getField("term").alias("around"))
+        near = self.terms.join(tops, "sentence").groupBy("term", "around").agg(F.count(F.lit(1)).alias("m")).groupBy("term").agg(F.max(F.struct("m", "around")).getField("around").alias("around"))
+        #: Number of sentences (c) and surroundings of each phrase.
+        self.held, _ = written(held.select("term", "c").join(near, "term"), "held")
+        self.arounds, _ = written(self.held.groupBy("around").agg(F.count(F.lit(1)).alias("c")), "arounds")
+        dropped(self.spark, terms_path, held_path)
+
+    def with_subjects(self, told: DataFrame) -> DataFrame:
+        """Columns doc, sentence, times, subjects (null where the sentence has none)."""
+        return joined(self.has, self.sizes.join(told, "sentence", "left"), ["sentence"], self.n_has)
+
+
+def _evidence(graph: Graph, told: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Columns sentence, subject, y: the weight of each sentence's documents by subject.
+
+    A document has one unit, divided among its seeds, which stay, or else among the subjects of
+    its other sentences: a sentence is no evidence for itself.
+    """
+    mine = graph.with_subjects(told)
+    counts = mine.select("doc", "times", F.explode("subjects").alias("subject")).groupBy("doc", "subject").agg(F.sum("times").cast("double").alias("m"))
+    free = counts.groupBy("doc").agg(F.collect_list(F.struct("subject", "m")).alias("all"), F.sum("m").alias("total"))  # one entry a subject
+    fixed = seeds.groupBy("doc").agg(F.collect_list(F.struct("subject", F.col("share").alias("m"))).alias("fixed"))
+    docs = free.join(fixed, "doc", "full").select("doc", F.coalesce("fixed", "all").alias("all"), F.when(F.col("fixed").isNull(), F.col("total")).alias("total"))
+    each = mine.join(docs, "doc").select("sentence", "times", "subjects", "total", F.explode("all").alias("a")).select("sentence", "times", "subjects", "total", "a.subject", "a.m")
+    own = F.coalesce(F.array_contains("subjects", F.col("subject")), F.lit(False)).cast("int") * F.col("times")
+    rest = F.col("total") - F.coalesce(F.size("subjects"), F.lit(0)) * F.col("times")
+    y = F.when(F.col("total").isNull(), F.col("m")).when(rest > 0, (F.col("m") - own) / rest)
+    return each.select("sentence", "subject", y.alias("y")).filter(F.col("y") > 0).groupBy("sentence", "subject").agg(F.sum("y").alias("y"))
+
+
+def subject_lists(documents: DataFrame, labels: DataFrame, definitions: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Columns ``id_col``, subject: the subjects that at least one sentence of a document is about.
 
-    ``labels`` (``id_col``, subject) are seeds for whole documents; they stay fixed in every round,
-    wrong ones are outvoted. Words that begin as in BEGINNINGS are seeds of the first round, and
-    later on KNOWN documents' worth of evidence, which the corpus can outvote. A document has one
-    unit of weight, divided among its seeds, or else among the subjects of its sentences. A round gives each phrase the subjects that hold most of
-    the weight of its documents; each sentence the subjects of its phrases, unless the sentence as
-    a whole occurs in documents of many subjects; and each document those of its sentences. A
-    sentence is no evidence for itself. Rounds go on until no sentence changes. Several subjects are kept. Null and blank texts, and texts
-    on none of the subjects, have no row. Rows with one id are one document; seeds with a null or
-    unknown subject are left out.
+    ``labels`` (``id_col``, subject) are seeds for whole documents and stay fixed in every round;
+    wrong ones are outvoted. ``definitions`` (subject, text) is the closed list of subjects; the
+    words of a definition have KNOWN documents' worth of evidence, which the corpus can outvote.
+    A document has one unit of weight, divided among its seeds, or else among the subjects of its
+    sentences. A round follows the links of documents through their phrases. A phrase is verified,
+    and its links are followed, if one subject holds most of the weight of its documents. A sentence
+    gets the subjects of its verified phrases, unless the sentence as a whole occurs in documents of
+    many subjects; a document those of its sentences. Several subjects are kept. Rounds go on until
+    no sentence changes. Sentences that change in a circle keep the subjects they had in both of
+    the last two rounds; no end after ``rounds`` is an error. Null and blank texts, and texts on none of the
+    subjects, have no row. Rows with one id are one document; labels with a null or unknown subject
+    are left out; a subject that is defined twice has both definitions.
     """
     spark = documents.sparkSession
-    ks = range(len(subjects))
-    even = 1 / max(1, len(subjects))
+    closed = sorted({r["subject"] for r in definitions.select("subject").filter(F.col("subject").isNotNull()).distinct().collect()})  # the closed list
+    number = F.create_map(*[F.lit(x) for i, s in enumerate(closed) for x in (s, i)]) if closed else F.lit(None).cast("map<string,int>")
+    even = 1 / max(1, len(closed))
     enough, figure = even + SHARE * (1 - even), even + WHOLE_SHARE * (1 - even)
-    rows, path = written(sentence_terms(documents, id_col, text_col, subjects), "sentences")
-    has = rows.select("doc", "sentence", "times")
-    first = rows.filter(F.col("terms").isNotNull()).groupBy("sentence").agg(F.first(F.arrays_zip("terms", "hits")).alias("z"))
-    terms, terms_path = written(first.select("sentence", F.explode("z").alias("z")).select("sentence", F.col("z.terms").alias("term"), F.col("z.hits").alias("hit")), "terms")
-    n_terms = terms.count()
-    known = labels.filter(F.col("subject").isin(subjects))
-    seeds = known.groupBy(F.col(id_col).alias("doc")).agg(*[F.max((F.col("subject") == s).cast("int")).alias(f"y{k}") for k, s in enumerate(subjects)])
-    number = sum((F.coalesce(f"y{k}", F.lit(0)) for k in ks), F.lit(0))
-    seeds, seeds_path = written(seeds.select("doc", *[(F.col(f"y{k}") / number).alias(f"y{k}") for k in ks]), "seeds")
-    marked = [F.max((F.col("hit") == k + 1).cast("int")).alias(f"g{k}") for k in ks]
-    guess, guess_path = written(terms.filter("hit > 0").groupBy("sentence").agg(*marked), "guess")
-    state, seen = _print_of(guess, ks), set()
+    graph = Graph(documents, id_col, text_col)
+    seeds = labels.select(F.col(id_col).cast("bigint").alias("doc"), number[F.col("subject")].alias("subject")).filter(F.col("doc").isNotNull() & F.col("subject").isNotNull()).distinct()
+    several = seeds.groupBy("doc").agg((1 / F.count(F.lit(1))).alias("share"))
+    seeds, seeds_path = written(seeds.join(several, "doc"), "seeds")
+    given = sentence_terms(definitions.select(number[F.col("subject")].cast("bigint").alias("k"), F.col("text").alias("t")), "k", "t")
+    given, given_path = written(given.select(F.explode("terms").alias("term"), F.col("doc").cast("int").alias("subject")).distinct().withColumn("y", F.lit(KNOWN)), "definitions")
+    told, told_path = written(spark.createDataFrame([], "sentence bigint, subjects array<int>"), "told")
+    state, seen, circle = _print_of(told), set(), False
     for _ in range(rounds):
-        mine = has.join(guess, "sentence", "left")
-        # sentences of the document that have the subject, without the sentence itself
-        counted = mine.groupBy("doc").agg(*[F.sum(F.coalesce(f"g{k}", F.lit(0)) * F.col("times")).alias(f"m{k}") for k in ks])
-        mine = mine.join(counted, "doc").join(seeds, "doc", "left")
-        rest = [F.col(f"m{k}") - F.coalesce(f"g{k}", F.lit(0)) * F.col("times") for k in ks]
-        y = [F.when(F.col("y0").isNotNull(), F.col(f"y{k}")).otherwise(F.try_divide(rest[k], sum(rest, F.lit(0)))).alias(f"y{k}") for k in ks]
-        mine = mine.select("sentence", *y)
-        mine = mine.filter(F.col("y0").isNotNull())
-        whole, whole_path = written(mine.groupBy("sentence").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(f"y{k}").cast("double").alias(f"y{k}") for k in ks]), "whole")
-        phrases = terms.join(whole, "sentence", "left").groupBy("term").agg(F.count(F.lit(1)).alias("c"), F.max("hit").alias("hit"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"), *[F.coalesce(F.sum(f"y{k}"), F.lit(0.0)).alias(f"y{k}") for k in ks])
-        held = [F.when(F.col("hit") == k + 1, F.col(f"y{k}") + KNOWN).otherwise(F.col(f"y{k}")).alias(f"y{k}") for k in ks]
-        phrases = phrases.select("term", "c", F.when(F.col("hit") > 0, F.col("n") + KNOWN).otherwise(F.col("n")).alias("n"), *held)
-        share = [((F.col(f"y{k}") + PRIOR * even) / (F.col("n") + PRIOR)).alias(f"p{k}") for k in ks]
-        phrases = phrases.filter(F.col("n") >= SUPPORT).select("term", "c", *share).filter(F.greatest(*[F.col(f"p{k}") for k in ks]) >= enough)
-        sized, sized_path = written(phrases, "phrases")
-        best = joined(terms.select("sentence", "term"), sized, ["term"], n_terms).groupBy("sentence").agg(*[F.max(f"p{k}").alias(f"p{k}") for k in ks])
-        best = best.join(whole, "sentence", "left")
-        top = F.greatest(*[F.col(f"p{k}") for k in ks])
-        told = [((F.col(f"p{k}") >= enough) & (F.col(f"p{k}") >= top - BELOW) & ~F.coalesce((F.col("n") >= WHOLE) & (F.col(f"y{k}") < figure * F.col("n")), F.lit(False))).cast("int").alias(f"g{k}") for k in ks]
-        new, new_path = written(best.select("sentence", *told).filter(F.greatest(*[F.col(f"g{k}") for k in ks]) > 0), "guess")
-        for p in (whole_path, sized_path, guess_path):
-            if p:
-                dropped(spark, p)
-        guess, guess_path = new, new_path
-        before, state = state, _print_of(guess, ks)
-        if state == before:
+        whole, whole_path = written(_evidence(graph, told, seeds), "whole")
+        y = graph.terms.join(whole, "sentence").select("term", "subject", "y").unionByName(given).groupBy("term", "subject").agg(F.sum("y").alias("y"))
+        y = y.groupBy("term").agg(F.sum("y").alias("n"), F.collect_list(F.struct("subject", "y")).alias("all")).filter(F.col("n") >= SUPPORT)  # one entry a subject
+        y, y_path = written(y, "shares")
+        p = (F.col("of.y") + PRIOR * even) / (F.col("n") + PRIOR)
+        likely = y.select("term", "n", F.explode("all").alias("of")).filter(p >= enough).select("term", F.col("of.subject").alias("subject"), p.alias("p"))
+        usual = graph.arounds.join(y.select(F.col("term").alias("around"), F.map_from_entries("all").alias("ys"), F.col("n").alias("usual")), "around", "left")
+        likely = joined(graph.held.join(likely, "term"), usual, ["around"], graph.n_terms)
+        base = (F.coalesce(F.try_element_at("ys", F.col("subject")), F.lit(0.0)) + PRIOR * even) / (F.coalesce("usual", F.lit(0.0)) + PRIOR)
+        verified, verified_path = written(likely.filter(F.col("p") >= base + SHARE * (1 - base)).select("term", "c", "subject", "p"), "verified")
+        best = joined(graph.terms.select("sentence", "term"), verified, ["term"], graph.n_terms).groupBy("sentence", "subject").agg(F.max("p").alias("p"))
+        n = whole.groupBy("sentence").agg(F.sum("y").alias("n")).filter(F.col("n") >= WHOLE)
+        best = best.join(whole, ["sentence", "subject"], "left").join(n, "sentence", "left")
+        best = best.groupBy("sentence").agg(F.max("p").alias("top"), F.collect_list(F.struct("subject", "p", (F.coalesce("y", F.lit(0.0)) < figure * F.col("n")).alias("figure"))).alias("all"))
+        kept = F.filter("all", lambda x: (x["p"] >= F.col("top") - BELOW) & ~F.coalesce(x["figure"], F.lit(False)))
+        new = best.select("sentence", F.array_sort(F.transform(kept, lambda x: x["subject"])).alias("subjects")).filter(F.size("subjects") > 0)
+        new, new_path = written(new, "told")
+        before, state = state, _print_of(new)
+        if state in seen and state != before:
+            both = new.join(told.withColumnRenamed("subjects", "b"), "sentence").select("sentence", F.array_intersect("subjects", "b").alias("subjects")).filter(F.size("subjects") > 0)
+            both, both_path = written(both, "told")
+            dropped(spark, new_path)
+            new, new_path, circle = both, both_path, True
+        dropped(spark, told_path, whole_path, y_path, verified_path)
+        told, told_path = new, new_path
+        if state == before or circle:
             break
-        if state in seen:
-            raise RuntimeError("sentences change in a circle")
         seen.add(state)
     else:
         raise RuntimeError(f"sentences still change after {rounds} rounds")
-    each = F.explode(F.array(*[F.when(F.col(f"g{k}") > 0, F.lit(s)) for k, s in enumerate(subjects)])).alias("subject")
-    out = has.join(guess.select("sentence", each).filter(F.col("subject").isNotNull()), "sentence")
-    return out.select(F.col("doc").alias(id_col), "subject").distinct()
+    out = graph.with_subjects(told).select("doc", F.explode("subjects").alias("s")).distinct()
+    names = F.array(*[F.lit(s) for s in closed]) if closed else F.array(F.lit(None).cast("string"))
+    dropped(spark, seeds_path, given_path)
+    return out.select(F.col("doc").alias(id_col), F.element_at(names, F.col("s") + 1).alias("subject"))
