@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skein.llm import abuse, caps, containers, copies, encode, keys, language, normal_form, personal, splits, subjects
+from skein.llm import abuse, caps, containers, copies, encode, keys, language, normal_form, personal, splits, store, subjects
 
 LONG = "очень длинный текст " * 20_000
 
@@ -64,10 +64,34 @@ def test_linked_rows_equal_union_find(spark):
     assert set(rows(splits.linked_rows(df, "id", "author_name", ["video_id"]))) == brute_components(data)
 
 
-def test_hot_value_is_a_star(spark, monkeypatch):
-    import skein.llm.store as store
+def test_hot_keys_are_joined_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(store, "CHUNK", 100)
+    monkeypatch.setattr(store, "BLOCK", 2)
+    left = spark.createDataFrame([(i % 2 if i < 900 else i, i) for i in range(1000)] + [(None, -1)], "k bigint, v bigint")
+    sized = spark.createDataFrame([(0, 450, "a"), (1, 450, "b"), *[(i, 1, "c") for i in range(950, 1000)], (7, 500, "d")], "k bigint, c bigint, w string")
+    got = store.joined(left, sized, ["k"], 1001)
+    assert sorted(rows(got)) == sorted((i % 2 if i < 900 else i, i, "ab"[i % 2] if i < 900 else "c") for i in [*range(900), *range(950, 1000)])
+    # no task of the shuffle join sees a key with more rows than a chunk
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 5
+
+
+def test_tables_are_removed(spark, tmp_path):
+    import os
+
+    root = store.shared_dir(spark).removeprefix("file://") + "/skein"
+    store.released(spark)
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    df, path = store.written(spark.range(5), "test")
+    assert df.count() == 5 and os.path.isdir(path.removeprefix("file://"))
+    assert store.released(spark) >= 1 and not os.path.exists(path.removeprefix("file://"))
+    copies.copies_of(comments(spark, [(1, "a", "x", 0), (2, "a", "X", 0)]), "comment_id", copies.comment_key()).collect()
+    store.released(spark)
+    assert set(os.listdir(root)) == before
+
 
-    monkeypatch.setattr(store, "HOT", 2)
+def test_hot_value_is_a_star(spark, monkeypatch):
+    monkeypatch.setattr(store, "CHUNK", 100)
     data = [(i, "Same", None) for i in range(2500)] + [(5000 + i, None, i) for i in range(5)]
     df = spark.createDataFrame(data, "id bigint, author_name string, video_id bigint")
     got = dict(rows(splits.linked_rows(df, "id", "author_name", ["video_id"])))
@@ -86,6 +110,14 @@ def test_splits_hold_groups_together_and_shares(spark):
         splits.assign_splits(df, "id", "author_name", ["video_id"], {})
 
 
+def test_achieved_shares(spark):
+    df = spark.createDataFrame([(i, f"a{i}", None) for i in range(100)] + [(1000 + i, "Big", None) for i in range(100)], "id bigint, author_name string, video_id bigint")
+    wanted = {"train": 0.6, "test": 0.2, "none": 0.2, "never": 0.0}
+    got = {r["split"]: r for r in splits.achieved(splits.assign_splits(df, "id", "author_name", ["video_id"], wanted), wanted).collect()}
+    assert set(got) == set(wanted) and sum(r["n"] for r in got.values()) == 200 and sum(r["n_groups"] for r in got.values()) == 101
+    assert got["never"]["n"] == 0 and all(abs(r["share"] - r["wanted"] - r["deviation"]) < 1e-12 for r in got.values())
+
+
 def test_splits_of_empty_table(spark):
     df = spark.createDataFrame([], "id bigint, author_name string, video_id bigint")
     assert rows(splits.linked_rows(df, "id", "author_name", ["video_id"])) == []
@@ -212,10 +244,27 @@ def test_wrong_labels(spark, parser):
     data = [(1, "ru", "Мне очень понравилась эта книга"), (2, "RU-ru", "I really liked this interesting book"), (3, None, "Дети играли во дворе до вечера"), (4, "ru", None), (5, "und", "👍 12:30"), (6, "Russian", LONG), (7, "eng", "")]
     df = spark.createDataFrame(data, "comment_id bigint, language_label string, text_raw string").withColumn("k", F.lit(0)).withColumn("lang", F.lit("q"))
     assert sorted(rows(language.wrong_labels(df, "comment_id", "text_raw", "language_label", parser))) == [(2, "en"), (3, "ru")]
-    empty = language.fit(language.sampled(df.limit(0), "text_raw", "language_label"))
+    empty = language.fit(language.sampled(df.limit(0), "comment_id", "text_raw", "language_label"))
     assert rows(language.segment_languages(df.limit(0), "comment_id", "text_raw", empty)) == []
 
 
+@pytest.mark.parametrize("n", [1, 900, 901, 10**6, 10**9, 10**12, 10**15])
+def test_sampling_bound_holds_at_any_size(n):
+    share = (language.hash_bound(900, n) + (1 << 63) + 1) / (1 << 64)
+    assert abs(share * n - min(n, 900)) <= 1 and share > 0
+
+
+def test_samples_are_bounded_and_never_empty(spark):
+    df = spark.range(5000).select("id", F.concat(F.lit("текст номер "), "id").alias("t"), F.lit("ru").alias("l"), (F.col("id") % 2 == 0).alias("y"))
+    got = language.sampled(df, "id", "t", "l", 50)
+    assert len(got["ru"]) == 50 and got == language.sampled(df.orderBy(F.rand(1)), "id", "t", "l", 50)
+    texts, labels = abuse.sampled(df, "t", "y", 40)
+    assert len(texts) == len(set(texts)) == 40 and 5 < sum(labels) < 35
+    assert language.sampled(df.limit(0), "id", "t", "l") == {} and abuse.sampled(df.limit(0), "t", "y") == ([], [])
+    both = df.select("t", F.lit(True).alias("y")).unionByName(df.select("t", F.lit(False).alias("y")))
+    assert abuse.sampled(both, "t", "y") == ([], [])
+
+
 # --- 4 -----------------------------------------------------------------------------------------
 
 
@@ -328,6 +377,27 @@ def test_look_alikes(spark):
     assert got == {(1, 2), (1, 5), (2, 3), (2, 5), (3, 5), (8, 9), (10, 11)}
 
 
+def test_look_alikes_of_many_copies_are_cut_into_blocks(spark):
+    data = [(i, "a", "сок" if i % 3 else "coк", 0) for i in range(90)]
+    df = comments(spark, data)
+    got = rows(normal_form.look_alikes(df, "comment_id", "text_raw", block=7))
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if (i % 3 == 0) != (j % 3 == 0)}
+    assert len(got) == len(want) and set(got) == want
+    links = {(r["n_form"] - r["n_text"], r["comment_id"] % 3 == 0) for r in normal_form.look_alike_classes(df, "comment_id", "text_raw").collect()}
+    assert links == {(60, True), (30, False)}
+    assert rows(normal_form.look_alikes(df.limit(0), "comment_id", "text_raw")) == []
+
+
+@pytest.mark.parametrize(
+    ("odd", "plain"),
+    [("ｶﾞｷﾞ", "ガギ"), ("𝐇𝐞𝐥𝐥𝐨 𝟗", "Hello 9"), ("𝕊𝕔𝕣𝕚𝕡𝕥 ℋℓ", "Script Hl"), ("Глава Ⅷ", "Глава VIII"), ("№ ok", "№ ok"), ("aﾠbㅤc", "abc"), ("x\ufe0ey", "xy"), ("ɡood", "good"), ("ᎪᏴ", "AB"), ("￥５", "¥5"), ("x²", "x²"), ("❤️", "❤️")],
+)
+def test_compatibility_forms(spark, odd, plain):
+    got = dict(rows(normal_form.normal_forms(comments(spark, [(1, "a", odd, 0), (2, "a", plain, 0)]), "comment_id", "text_raw")))
+    assert got[1] == got[2]
+    assert plain.isascii() is False or got[1] == plain
+
+
 def test_normal_forms_agree_and_read_well(spark):
     data = [(1, "a", "Сосед у нас хороший", 0), (2, "a", "Cоceд y нac хоpoший", 0), (3, "a", "ｆｕｌｌ ﬁt", 0), (4, "a", None, 0), (5, "a", "", 0), (6, "a", "cop is here", 0)]
     got = dict(rows(normal_form.normal_forms(comments(spark, data), "comment_id", "text_raw")))
@@ -366,7 +436,8 @@ def test_both_merges_agree_and_decode(t):
         assert b"".join(BYTES[i] for i in ids) == raw
 
 
-ENCODER = encode.Encoder(f"{encode.TOKENIZERS}/{encode.VOCABULARY}")
+with open(f"{encode.TOKENIZERS}/{encode.VOCABULARY}", "rb") as _f:
+    ENCODER = encode.Encoder(_f.read())
 BYTES = {v: k for k, v in ENCODER.ranks.items()}
 
 
@@ -432,8 +503,19 @@ def test_subjects_spread_from_seeds(spark):
     d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("doc", F.lit(1)).withColumn("sentence", F.lit(1))
     labels = spark.createDataFrame([*seeds, (0, None), (None, "law"), (5, "unknown")], "doc_id bigint, subject string")
     got = defaultdict(set)
-    for i, s in rows(subjects.subject_lists(d, labels, sorted(phrases))):
+    listed = spark.createDataFrame([(s, f"{s}\nпрочее") for s in phrases] + [("law", None), (None, "ничьё")], "subject string, text string")
+    for i, s in rows(subjects.subject_lists(d, labels, listed)):
         got[i].add(s)
     right = sum(got[i] == truth[i] for i in range(900))
     assert right > 810 and not any(got[i] for i in (1000, 1001, 1002))
-    assert rows(subjects.subject_lists(d.limit(0), labels.limit(0), ["law", "sport"])) == []
+    assert rows(subjects.subject_lists(d.limit(0), labels.limit(0), listed)) == []
+    assert rows(subjects.subject_lists(d, labels, listed.limit(0))) == []
+    with pytest.raises(RuntimeError, match="still change"):
+        subjects.subject_lists(d, labels, listed, rounds=1)
+
+
+def test_words_of_subjects_are_whole(spark):
+    d = spark.createDataFrame([(1, "Про давление в трубах. Про давлениеметр в трубах!"), (2, "на 57-й минуте сказали"), (3, "на 8-й минуте сказали")], "doc_id bigint, text string")
+    got = rows(subjects.sentence_terms(d.coalesce(1), "doc_id", "text").select("doc", "sentence", "terms"))
+    assert len({s for i, s, _ in got if i == 1}) == 2 and len({s for i, s, _ in got if i != 1}) == 1
+    assert len({t for i, _, ts in got if i == 1 for t in ts}) == 7 + 3
