@@ -186,6 +186,22 @@ def test_adversarial_lengths_end(detector):
         detector.found([t], False)
 
 
+@pytest.mark.parametrize("text", ["Меня зовут Жансая Ахметова", "С уважением, Рустам Гафуров", "My name is Priya Raman", "Our neighbour Fatima Haddad", "Sincerely, Liam Nguyen", "Ich heiße Lukas Brandt", "меня зовут жансая ахметова"])
+def test_names_that_no_list_holds(detector, text):
+    assert kinds(detector, text) == {"person_name"}
+
+
+@pytest.mark.parametrize("text", ["Guten Abend! Gute Arbeit", "Смотрю из города Новая Ладога, привет всем!", "Большой Театр закрыли", "Saludos a todos desde Nueva York", "Меня зовут на работу", "Der Cloud Server fällt aus", "Open Source is good", "На 57-Й Хвилині Ви Слушно Згадали Тренерський Штаб"])
+def test_capitals_are_no_names(detector, text):
+    assert kinds(detector, text) == set()
+
+
+def test_halves_of_the_training_data_share_nothing():
+    both = [{personal._person(random.Random(i), half)[0].split()[0] for i in range(400)} for half in (0, 1)]
+    listed = [{n for n in b if n.lower() in personal.GIVEN} for b in both]
+    assert not listed[0] & listed[1]
+
+
 # --- 3 -----------------------------------------------------------------------------------------
 
 SENTENCES = {
