@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
@@ -21,9 +21,25 @@ REQUEST = T.whole_word("сними|снимите|расскажи|расска
 DIRECTIVE = rf"^(сними(?:те)?|расскажи(?:те)?|сделай(?:те)?|пригласи(?:те)?|рассмотри(?:те)?|разбери(?:те)?|прокомментируй(?:те)?)($|{T.NOT_W})"
 CONTENT = T.whole_word(f"видео|ролик|канал|выпуск|эфир|контент|передач{T.W}+|програм{T.W}+")
 ARGUMENT = T.whole_word("потому что|так как|например|факт|доказательств|источник|ссылк|по данным|согласно|статистик|исследовани|история|на самом деле|в действительности|однако|вместе с тем|при этом")
-# Signals of the target of an insult; beginnings of words unless they end in a space.
-INSULT = T.whole_word("(?:" + "|".join(f"{s}{_W}" for s in "сука хуй хуе хуё пизд ебан ебат ёбан мудак мудил дебил идиот мраз твар ублюд гандон гнид чмо лох шлюх шалав даун кретин недоум отброс подонок подонк урод падл мразот fuck shit bitch asshole moron retard cunt dumbass".split()) + f"|бляд{_W}|бля|суч{T.W}+|долбо[её]{_W})")
-INSULT_PHRASE = DEROGATORY[:-1] + "|тупой|тупая|тупое)"
+# Signals of the target of an insult: beginnings of words, whole words, and phrases.
+INSULT_STEMS = (
+    "бляд", "сука", "хуй", "хуе", "хуё", "пизд", "ебан", "ебат", "ёбан", "ебал", "мудак", "мудил", "долбое", "долбоё", "дебил", "идиот", "мраз", "твар", "ублюд", "гандон", "гнид", "чмо", "лох", "шлюх", "шалав", "даун", "кретин", "недоум", "отброс", "подонок", "подонк", "урод", "падл", "мразот",
+    "жид", "хач", "чурк", "нигер", "черножоп", "fuck", "shit", "bitch", "asshole", "moron", "retard", "cunt", "dumbass",
+)
+INSULT_WORDS = ("бля", f"суч{T.W}+")
+INSULT = T.whole_word("|".join((*(s + _W for s in INSULT_STEMS), *INSULT_WORDS)))
+INSULT_PHRASES = (
+    "что за бред", "закрой рот", "заткни", "пошёл на", "пошел на", "иди на", "катись", "вали отсюда", "рот закрой", "больной на голову", "тупой", "тупая", "тупое", "клоун", "позор", "несёт чушь", "несет чушь", "несёт бред", "несет бред", "городит чушь",
+)
+INSULT_PHRASE = "(?:" + "|".join(INSULT_PHRASES) + ")"
+# Offensive words of questions shown in reports, and of disagreement with the author.
+OFFENSIVE_QUESTION = T.whole_word("бляд|бля|сука|сучк|хуй|хуе|пизд|ебан|ебат|мудак|дебил|идиот|мраз|твар|гандон|fuck|fucking|shit|bitch|asshole|moron|idiot")
+OFFENSIVE_DISAGREEMENT = T.whole_word("бляд|бля|сука|сучк|хуй|хуе|пизд|ебан|ебат|мудак|дебил|идиот|тварь|ублюд|fuck|fucking|shit|bitch|asshole|moron|idiot")
+DISAGREEMENT = T.whole_word(rf"не\s+соглас{_W}|неправ|ошиба|вводите\s+в\s+заблуждени|ложь|вр[её]т|манипул|бред|чушь|пропаганд|предвзят|не\s+верю|искажа|перекручива")
+AUTHOR_WORDS = T.whole_word("вы|вас|вам|ваш")
+# Ways to speak to the author, formal and familiar.
+FORMAL = T.whole_word("вы|вас|вам|ваш|ваша|ваше|ваши|вашим|вашей|вашего|вашу|вами")
+FAMILIAR = T.whole_word("ты|тебя|тебе|тобой|тобою|твой|твоя|твоё|твоего|твоей|твоему|твою|твоим|твоих")
 ADDRESS = T.whole_word(f"вы|вас|вам|ваш|ваша|ваше|ваши|ты|тебя|тебе|тобой|твой|твоя|автор{_W}|ведущ{_W}")
 SHOW = T.whole_word(f"видео|канал|выпуск|эфир|передач{T.W}+|програм{T.W}+")
 VAGUE = T.whole_word("этот|эта|эти|те|тот|та|дед")
@@ -88,9 +104,42 @@ def insult_target(raw: Column, author: Column, guests: Column) -> Column:
     return F.when((t != "") & (offensive | by_author | by_guest | by_show), told_all)
 
 
+def refers_to_author(raw: Column, name: str) -> Column:
+    """Whether a text holds a word of the author's name, of three letters or more, or a formal address."""
+    t = F.lower(T.squeezed(raw))
+    found = t.rlike(AUTHOR_WORDS)
+    for part in name.lower().split():
+        if len(part) >= 3:
+            found = found | F.contains(t, F.lit(part))
+    return found
+
+
+def author_disagreement(raw: Column, name: str) -> Column:
+    """Whether a text disagrees with the author and does not offend."""
+    t = F.lower(T.squeezed(raw))
+    return (t != "") & ~t.rlike(OFFENSIVE_DISAGREEMENT) & refers_to_author(raw, name) & t.rlike(DISAGREEMENT)
+
+
 def strict_score(score: Column, depth: Column, kind: Column) -> Column:
     """A question's score within the limits that its depth and kind set."""
     s = F.when((depth >= 7) & (kind == "clarification_needed"), F.least(score, F.lit(6))).otherwise(score)
     s = F.when(depth <= 3, F.least(s, F.lit(5))).when(depth <= 5, F.least(s, F.lit(7))).when(depth == 6, F.least(s, F.lit(8))).otherwise(s)
     s = F.when((depth >= 7) & kind.isin("analysis_why_how", "prediction_what_next", "fact_check", "myth_claim", "strategy_advice"), F.greatest(s, F.lit(7))).otherwise(s)
     return F.when(kind.isin("attack_ragebait", "meme_one_liner"), F.least(score, F.lit(3))).otherwise(F.greatest(F.lit(1), F.least(F.lit(10), s)))
+
+
+def promoted(df: DataFrame, category: Column, signal: Column, kind: Column, score: Column) -> DataFrame:
+    """``df`` with its category after the refiner, whose type and score are null where it gave no answer.
+
+    Criticism with a question's signal becomes a question if the refiner names a real type. A question
+    of a low-value type, or a mere clarification of low score without a signal, becomes criticism.
+    """
+    low = kind.isin("attack_ragebait", "meme_one_liner")
+    asked = (category == "question") | (signal & F.coalesce(~low, F.lit(False)))
+    weak = low | ((kind == "clarification_needed") & (score <= 5) & ~signal)
+    return df.withColumn("category", F.when(~asked, "criticism").when(F.coalesce(weak, F.lit(False)), "criticism").otherwise("question"))
+
+
+def block_detail(refined: Column, confidence: Column, target: Column) -> Column:
+    """Detail JSON of a block item; fields that are null are left out."""
+    return F.to_json(F.struct(*[refined[f].alias(f) for f in ("score", "topic", "short", "depth_score", "question_type")], confidence.alias("confidence_score"), target.alias("insult_target")))

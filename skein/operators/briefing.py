@@ -11,6 +11,7 @@ from skein.functions import text as T
 TOXIC = T.whole_word("ложь|ненавиж|пропаганд|предател|обман|манипул|туп|идиот|мраз|бред")
 FACTUAL = T.whole_word("факт|источник|доказатель|неверн|ошибк|искажен|неправд|неточн")
 CONFUSION = T.whole_word("не понял|непонятн|как так|почему|объясни|противореч|неясн")
+GENERIC = T.whole_word("faq|вопрос аудитории|отдельный блок faq|дай faq|ответь на вопрос|просто ответь|разбери тему|сделай блок по теме")
 QUESTION_START = rf"^(почему|зачем|как|когда|где|кто|что|сколько|разве|неужели|ли)($|{T.NOT_W})"
 IMPRACTICAL = T.whole_word("правительств|министер|парламент|генштаб|армия|фронт|военн|реформ|ввести механизм|создать механизм|общественные слушания")
 

@@ -11,6 +11,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from skein.operators import clusters as C
 
 
 @dataclass(frozen=True)
@@ -317,6 +321,26 @@ def split_noise(unit: np.ndarray, noise: np.ndarray, keys: np.ndarray, s: FitSet
             keys[g] = f"emerging_{j}"
 
 
+def large_parts(unit: np.ndarray, at: np.ndarray, n: int, s: FitSettings) -> list[np.ndarray]:
+    """The parts of three rows or more into which k-means cuts a large cluster; none for a cluster that is not large among ``n`` rows."""
+    if len(at) < max(12, s.min_size, s.large_share * n):
+        return []
+    k = max(2, min(4, round(len(at) / max(6, s.noise_split_target))))
+    part = k_means(unit[at], k)
+    return sorted((at[part == j] for j in range(k) if (part == j).sum() >= 3), key=len, reverse=True)
+
+
+def split_large(unit: np.ndarray, keys: np.ndarray, fit: Assigned, s: FitSettings) -> None:
+    """Name the parts of large clusters in ``keys``, where the gate lets them pass; rows of parts that are too small are in none."""
+    for key in [k for k in _named(keys) if k.startswith("cluster_")]:
+        at = np.flatnonzero(keys == key)
+        groups = large_parts(unit, at, len(keys), s)
+        if groups and passes_large_gate(unit, at, groups, fit, s):
+            keys[at] = None
+            for j, g in enumerate(groups):
+                keys[g] = f"{key}_sub{j}"
+
+
 def passes_large_gate(unit: np.ndarray, at: np.ndarray, groups: Sequence[np.ndarray], fit: Assigned, s: FitSettings) -> bool:
     """Whether a split of the large cluster ``at`` makes clearly cleaner groups out of a mixed one."""
     if not passes_gate(unit, groups, s):
@@ -395,16 +419,7 @@ def cluster_rows(x: np.ndarray, s: FitSettings = FitSettings(), weight: np.ndarr
     keys = np.array([f"cluster_{k}" if k >= 0 else "emerging_other" for k in fit.labels], object)
     noise = fit.labels == -1
     split_noise(unit, noise, keys, s)
-    for key in [k for k in _named(keys) if k.startswith("cluster_")]:
-        at = np.flatnonzero(keys == key)
-        if len(at) >= max(12, s.min_size, s.large_share * n):
-            k = max(2, min(4, round(len(at) / max(6, s.noise_split_target))))
-            part = k_means(unit[at], k)
-            groups = sorted((at[part == j] for j in range(k) if (part == j).sum() >= 3), key=len, reverse=True)
-            if passes_large_gate(unit, at, groups, fit, s):
-                keys[at] = None  # rows of groups that are too small are in none
-                for j, g in enumerate(groups):
-                    keys[g] = f"{key}_sub{j}"
+    split_large(unit, keys, fit, s)
     drop_low_quality(unit, keys, fit, s)
     names = _named(keys)
     if 0 < s.max_count < len(names):
@@ -423,13 +438,18 @@ def cluster_rows(x: np.ndarray, s: FitSettings = FitSettings(), weight: np.ndarr
     return pd.DataFrame({"cluster_key": keys, "confidence": fit.confidence, "second_key": [names[j] if h else None for j, h in zip(second, has, strict=True)], "second_confidence": np.where(has, value, 0.0), "is_ambiguous": fit.ambiguous, "is_soft": fit.soft, "is_noise": noise})
 
 
+#: Rows of one group that are fitted together, twice what a run collects of a video at most.
+MOST = 3000
 ASSIGNED = "cluster_key string, confidence double, second_key string, second_confidence double, is_ambiguous boolean, is_soft boolean, is_noise boolean"
 
 
-def fit_clusters(points: DataFrame, group: str, id_col: str = "id", vector: str = "v", s: FitSettings = FitSettings(), weight: str | None = None) -> DataFrame:  # noqa: B008
+def fit_clusters(points: DataFrame, group: str, id_col: str = "id", vector: str = "v", s: FitSettings = FitSettings(), weight: str | None = None, most: int = MOST) -> DataFrame:  # noqa: B008
     """Cluster assignments of all groups (videos) at once, one task a group. Without ``weight`` each row weighs 1.
 
-    A group's time grows with the square of its rows, its memory in proportion; nothing caps the rows of a video.
+    A fit's time grows with the square of its rows. A group of up to ``most`` rows is fitted whole; of a
+    larger one the ``most`` rows with the least hashes of their ids are, and all its other rows join the
+    nearest cluster of that fit: softly, as noise does, or to none where it is too far. They are spread
+    over tasks, so that no task holds a group larger than ``most``.
     """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -438,7 +458,35 @@ def fit_clusters(points: DataFrame, group: str, id_col: str = "id", vector: str
         return pd.concat([part[[group, id_col]].reset_index(drop=True), out], axis=1)
 
     kind = dict(points.dtypes)
-    return points.select(group, id_col, vector, *([weight] if weight else [])).groupBy(group).applyInPandas(run, f"{group} {kind[group]}, {id_col} {kind[id_col]}, {ASSIGNED}")
+    cols = [group, id_col, vector, *([weight] if weight else [])]
+    first, rest = sample_and_rest(points.select(*cols), group, id_col, most)
+    fitted = first.groupBy(group).applyInPandas(run, f"{group} {kind[group]}, {id_col} {kind[id_col]}, {ASSIGNED}")
+    return fitted.unionByName(_joined_softly(fitted, first, rest, group, id_col, vector, s))
+
+
+def sample_and_rest(points: DataFrame, group: str, id_col: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """The ``most`` rows of each group with the least hashes of their ids, and all others."""
+    place = F.row_number().over(W.partitionBy(group).orderBy(F.xxhash64(id_col), id_col))
+    first = points.withColumn("_place", place).filter(F.col("_place") <= most).drop("_place")
+    large = points.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select(group)
+    rest = points.join(large, group, "left_semi").join(first.select(id_col), id_col, "left_anti")
+    return first, rest.select(*points.columns)
+
+
+def _joined_softly(fitted: DataFrame, first: DataFrame, rest: DataFrame, group: str, id_col: str, vector: str, s: FitSettings) -> DataFrame:
+    """Rows that were not fitted, with the nearest of the fitted clusters of their group."""
+    known = fitted.filter(F.col("cluster_key").isNotNull() & (F.col("cluster_key") != "emerging_other")).select(id_col, "cluster_key").join(first.select(group, id_col, F.col(vector).alias("v")), id_col)
+    names = C.centroids(known, [group, "cluster_key"]).withColumn("at", F.row_number().over(W.partitionBy(group).orderBy("cluster_key")))
+    near = C.nearest_two(rest.select(group, F.col(id_col).alias("id"), F.col(vector).alias("v")), names, "at", run=[group])
+    label = names.select(group, F.col("at").alias("primary"), F.col("cluster_key").alias("key"))
+    other = names.select(group, F.col("at").alias("secondary"), F.col("cluster_key").alias("second_key"))
+    j = near.join(label, [group, "primary"], "left").join(other, [group, "secondary"], "left")
+    cos, second = F.greatest(F.coalesce("primary_cos", F.lit(0.0)), F.lit(0.0)), F.greatest(F.coalesce("secondary_cos", F.lit(0.0)), F.lit(0.0))
+    soft = F.col("key").isNotNull() & (cos >= s.soft)
+    return j.select(
+        group, F.col("id").alias(id_col), F.when(soft, F.col("key")).alias("cluster_key"), F.least(F.lit(1.0), cos).alias("confidence"), "second_key", second.alias("second_confidence"),
+        (~soft | (cos < s.ambiguous_confidence) | (cos - second < s.ambiguous_margin)).alias("is_ambiguous"), soft.alias("is_soft"), (~soft).alias("is_noise"),
+    )
 
 
 def sub_clusters(x: np.ndarray) -> np.ndarray:

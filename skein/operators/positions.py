@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.operators.fit import sub_clusters, unit_rows
+from skein.operators import clusters as C
+from skein.operators.fit import MOST, sample_and_rest, sub_clusters, unit_rows
 from skein.settings import DEFAULT, Settings
 
 UNDETERMINED = "undetermined"
@@ -29,14 +30,18 @@ def resolved(labels: np.ndarray, unit: np.ndarray, s: Settings = DEFAULT) -> np.
         out[labels == k] = f"position_{j + 1}"
     near = unit @ unit_rows(np.stack([unit[labels == k].mean(axis=0) for k in kept])).T
     order = np.sort(near, axis=1)
-    margin = order[:, -1] - (order[:, -2] if len(kept) > 1 else 0.0)
+    margin = order[:, -1] - (order[:, -2] if len(kept) > 1 else -1.0)
     free = (out == UNDETERMINED) & (order[:, -1] >= s.position_cosine) & (margin >= s.position_margin)
     out[free] = [f"position_{j + 1}" for j in near[free].argmax(axis=1)]
     return out
 
 
-def assigned_positions(points: DataFrame, video: str, topic: str, s: Settings = DEFAULT) -> DataFrame:
-    """Columns ``video``, ``topic``, id, position: every row of a topic has one position. One task holds one topic."""
+def assigned_positions(points: DataFrame, video: str, topic: str, s: Settings = DEFAULT, most: int = MOST) -> DataFrame:
+    """Columns ``video``, ``topic``, id, position: every row of a topic has one position.
+
+    One task groups one topic, of which the ``most`` rows with the least hashes of their ids at most. Rows
+    beyond go to the nearest position, if it is near enough, whatever the margin, else they are undetermined.
+    """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
@@ -44,7 +49,14 @@ def assigned_positions(points: DataFrame, video: str, topic: str, s: Settings =
         return part[[video, topic, "id"]].assign(position=resolved(sub_clusters(unit), unit, s))
 
     kind = dict(points.dtypes)
-    return points.select(video, topic, "id", "v").groupBy(video, topic).applyInPandas(run, f"{video} {kind[video]}, {topic} {kind[topic]}, id {kind['id']}, position string")
+    p = points.select(video, topic, "id", "v").withColumn("_group", F.struct(video, topic))
+    first, rest = sample_and_rest(p, "_group", "id", most)
+    grouped = first.drop("_group").groupBy(video, topic).applyInPandas(run, f"{video} {kind[video]}, {topic} {kind[topic]}, id {kind['id']}, position string")
+    named = grouped.filter(F.col("position") != UNDETERMINED).select("id", "position").join(first.select(video, topic, "id", "v"), "id")
+    centers = C.centroids(named, [video, topic, "position"]).withColumn("at", F.regexp_extract("position", r"(\d+)$", 1).cast("int"))
+    near = C.nearest_two(rest.drop("_group"), centers, "at", run=[video, topic])
+    joined = F.when(F.col("primary_cos") >= s.position_cosine, F.concat(F.lit("position_"), F.col("primary").cast("string"))).otherwise(UNDETERMINED)
+    return grouped.unionByName(near.select(video, topic, "id", joined.alias("position")))
 
 
 def position_table(assigned: DataFrame, weights: DataFrame, video: str, topic: str) -> DataFrame:

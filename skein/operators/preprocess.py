@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 from skein.settings import DEFAULT, Settings
 
+#: Rows of one text of a video that one task may take.
+HOT_ROWS = 1_000_000
+
 # Words and patterns that define which comments carry no content. Texts are matched in lower case.
 EMOTION = r"^((ха{2,}|хе{2,}|хи{2,}|хо{2,})|(лол+|lol+|ку{2,}|кек+)|(ого+|вау|wow+|вот это да)|(👍|👎|❤|🔥|💯|😂|😭|🤣|😅|😊|🙏)|(\+{2,}|-{2,}|={2,}))\.?!?$"
 PRAISE = r"^((спасибо|благодарю|thanks|thank you)|(молодец|отлично|супер|класс|круто|топ)|(great|nice|good|cool|awesome|perfect)|(респект|уважуха|браво|bravo)|(❤|🔥|👍|💯))\.?!?$"
@@ -109,9 +112,8 @@ def preprocess(comments: DataFrame, videos: DataFrame, s: Settings = DEFAULT) ->
     c = c.withColumn("ruled", ruled).withColumn("early", F.coalesce("early", F.when(F.col("ruled.action") == "drop", F.col("ruled.reason"))))
     key = F.when(F.length(t) > 0, t).otherwise(F.coalesce("text_raw", F.lit("")))
     c = c.withColumn("text_hash", T.text_hash(F.lower(key)))
-    same = W.partitionBy("video_id", "text_hash", F.col("early").isNull())
-    c = c.withColumns({"place": F.row_number().over(same.orderBy("comment_id")), "copies": F.count(F.lit(1)).over(same)})
-    reason = F.coalesce("early", F.when(F.col("place") > 1, "duplicate"))
+    c = with_repeats(c, ["video_id", "text_hash"], "comment_id", F.col("early").isNull())
+    reason = F.coalesce("early", F.when(F.col("comment_id") > F.col("first_id"), "duplicate"))
     weight = engagement_weight(F.col("like_count"), F.col("reply_count"), F.size(T.words(key)), F.col("published_at"), F.col("video_published_at"), s)
     flagged = F.least(F.lit(s.weight_max), weight * s.flagged_multiplier)
     kept = F.when(F.col("ruled.action") == "flag", flagged).otherwise(weight)
@@ -128,6 +130,24 @@ def preprocess(comments: DataFrame, videos: DataFrame, s: Settings = DEFAULT) ->
     )
 
 
+def with_repeats(df: DataFrame, keys: list[str], id_col: str, counted: Column, most: int = HOT_ROWS) -> DataFrame:
+    """``df`` with first_id and copies of the counted rows with equal ``keys``; null and null where there is one row or none.
+
+    Groups are counted by partial aggregation. Groups with more than ``most`` rows, of which there
+    are at most rows / ``most``, meet their rows by broadcast; a random salt keeps those rows apart
+    in the join of the other groups, so that no task takes a group as a whole. Rows that are not
+    counted get no group and are spread in the same way.
+    """
+    key = F.struct(*keys).alias("group")  # structs with equal nulls are equal
+    g = df.filter(counted).groupBy(key).agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    hot = g.filter(F.col("copies") > most).select("group", F.struct("first_id", "copies").alias("hot"))
+    cold = g.filter(F.col("copies") <= most).select("group", F.struct("first_id", "copies").alias("cold"), F.lit(0).alias("salt"))
+    apart = F.when(F.col("hot").isNotNull() | ~counted, F.pmod(F.xxhash64(id_col), F.lit(1 << 20)).cast("int") + 1).otherwise(0)
+    out = df.withColumn("group", key).join(F.broadcast(hot), "group", "left").withColumn("salt", apart).join(cold, ["group", "salt"], "left")
+    found = F.when(counted, F.coalesce("hot", "cold"))
+    return out.withColumns({"first_id": found["first_id"], "copies": found["copies"]}).drop("group", "hot", "cold", "salt")
+
+
 def reason_counts(df: DataFrame, reason: str) -> DataFrame:
     """Number of rows by reason, blank ones as unspecified, most frequent first."""
     named = F.coalesce(F.nullif(T.stripped(F.col(reason)), F.lit("")), F.lit("unspecified"))

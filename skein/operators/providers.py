@@ -32,6 +32,31 @@ def hashing_embedder(dims: int = 64) -> Embedder:
     return embed
 
 
+def halving(embed: Embedder, batch: int) -> Embedder:
+    """``embed`` in batches; one that does not fit in memory is given in halves, down to single texts."""
+
+    def some(texts: Sequence[str]) -> np.ndarray:
+        try:
+            return embed(texts)
+        except MemoryError:
+            if len(texts) == 1:
+                raise
+            half = len(texts) // 2
+            return np.concatenate([some(texts[:half]), some(texts[half:])])
+
+    def all_of(texts: Sequence[str]) -> np.ndarray:
+        parts = [some(texts[i : i + batch]) for i in range(0, len(texts), batch)]
+        return np.concatenate(parts) if parts else embed(texts)
+
+    return all_of
+
+
+def unit_vector(v: Column) -> Column:
+    """The vector at length 1; one of length 0 stays as it is."""
+    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+    return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double")))
+
+
 def embedded(df: DataFrame, id_col: str, text_col: str, factory: Callable[[], Embedder], task: str = "") -> DataFrame:
     """Columns ``id_col`` and embedding. ``task`` is put before each text, as some models want it."""
 
@@ -78,14 +103,14 @@ def answered(df: DataFrame, id_col: str, text_col: str, factory: Callable[[], An
     return df.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, answer string, error string")
 
 
-def within_quota(df: DataFrame, order: Sequence[Column], quota: int) -> tuple[DataFrame, DataFrame]:
+def within_quota(df: DataFrame, id_col: str, order: Sequence[Column], quota: int) -> tuple[DataFrame, DataFrame]:
     """The rows that a model may see, and the rest: ranked before the call, as tasks share no counter.
 
     The ranking is global; a limit with a total order takes the first rows of each partition before
-    it moves anything.
+    it moves anything. ``id_col`` is unique; only ids are compared for the rest.
     """
     first = df.orderBy(*order).limit(quota)
-    return first, df.exceptAll(first)
+    return first, df.join(first.select(id_col), id_col, "left_anti")
 
 
 def with_fallback(df: DataFrame, answers: DataFrame, id_col: str, parsed: Column, fallback: Column, name: str) -> DataFrame:

@@ -11,9 +11,18 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 
-# Words without meaning for a topic, and words that tell of intents and moods.
-STOPWORDS = tuple("это как что для или если про все сегодня завтра когда очень тоже почему просто чтобы который которые потому будет нужно можно канал видео news video comments".split())
-LOW_VALUE = tuple("more most very just only than then this that they them their about более менее теперь просто только его ее их они она оно ваш ваши наш наши".split())
+# Words without meaning for labels, those for titles and descriptions (nine more), and frequent words of little value for either.
+LABEL_STOPWORDS = (
+    "это", "как", "что", "для", "или", "если", "про", "все", "сегодня", "завтра", "когда", "очень", "тоже", "почему", "просто", "чтобы", "который", "которые", "потому", "будет", "нужно", "можно", "канал", "видео", "news", "video", "comments",
+)
+STOPWORDS = (
+    "это", "как", "что", "для", "или", "если", "про", "все", "сегодня", "завтра", "когда", "очень", "тоже", "почему", "просто", "чтобы", "который", "которые", "потому", "будет", "нужно", "можно", "канал", "видео", "news", "video", "comments",
+    "того", "только", "этого", "этом", "этой", "такой", "такая", "такие", "именно",
+)
+LABEL_LOW_VALUE = (
+    "more", "most", "very", "just", "only", "than", "then", "this", "that", "they", "them", "their", "about", "более", "менее", "теперь", "просто", "только", "его", "ее", "их", "они", "она", "оно", "ваш", "ваши", "наш", "наши",
+)
+LOW_VALUE = ("более", "менее", "теперь", "просто", "только", "его", "ее", "её", "их", "они", "она", "оно", "their", "about", "very", "just")
 POSITIVE = ("спасибо", "класс", "отлично", "поддерживаю", "супер", "хорошо")
 NEGATIVE = ("ложь", "проблема", "плохо", "ужас", "бред", "ошибка", "скандал", "негатив")
 INTENTS = (
@@ -24,8 +33,13 @@ INTENTS = (
     ("suggestion", ("можно", "стоит", "предлагаю", "лучше")),
     ("joke", ("ха", "лол", "шутка", "мем")),
 )
-GENERIC_TITLE = tuple("comment comments topic topics discussion комментарии обсуждение разбор новости видео политика спасибо дело меня ваши есть просто вообще".split())
-FUNCTION_WORDS = tuple("и а но или что как это для все они он она мы вы то не да нет уже еще его ее их мне нам вам был была было были быть при без под над между".split())
+GENERIC_TITLE = (
+    "comment", "comments", "topic", "topics", "discussion", "комментарии", "обсуждение", "разбор", "новости", "видео", "политика", "спасибо", "дело", "меня", "ваши", "есть", "просто", "вообще",
+)
+FUNCTION_WORDS = (
+    "и", "а", "но", "или", "что", "как", "это", "для", "все", "они", "он", "она", "мы", "вы", "то", "не", "да", "нет", "уже", "еще", "его", "ее", "их", "мне", "нам", "вам", "был", "была", "было", "были", "быть", "при", "без", "под", "над", "между",
+)
+NO_TITLE = ("misc", "other", "разное", "прочее")
 BAD_TITLE = T.whole_word("разное|прочее|misc|other|комментарии|обсуждение|разбор|новости|видео|политика|спасибо|дело|меня|ваши|есть|просто|вообще")
 
 
@@ -50,15 +64,20 @@ def sentiments(comments: DataFrame, keys: Sequence[str], text: str) -> DataFrame
     return g.withColumn("sentiment", mood)
 
 
-def keywords(comments: DataFrame, keys: Sequence[str], text: str, weight: str | None = None, most: int = 5) -> DataFrame:
+def keywords(comments: DataFrame, keys: Sequence[str], text: str, weight: str | None = None, most: int = 5, first: int | None = None, order: Sequence[str | Column] = (), dropped: Sequence[str] | None = None) -> DataFrame:
     """The ``most`` salient words of each cluster: frequent, but not in nearly all its comments.
 
-    Counts by cluster and word are combined before the shuffle; only then are words ranked.
+    Without ``weight``, as for titles; with it, as for labels, with the label's lists of words and a bonus for weight.
+    ``first`` reads only the first comments of a cluster by ``order``, as the rule for titles does with 24.
+    Counts by cluster and word are combined before the shuffle; only then are words ranked. Equal scores go by the word.
     """
     docs = comments.filter(T.squeezed(F.col(text)) != "")
+    if first is not None:
+        docs = docs.withColumn("_at", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_at") <= first)
     n = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("docs"))
     w = F.greatest(F.lit(0.1), F.col(weight)) if weight else F.lit(0.0)
-    words = F.filter(T.words(F.lower(F.col(text)), 4), lambda x: ~x.isin(*STOPWORDS, *LOW_VALUE) & ~x.rlike(r"^\p{N}+$"))
+    out = dropped if dropped is not None else (*LABEL_STOPWORDS, *LABEL_LOW_VALUE) if weight else (*STOPWORDS, *LOW_VALUE)
+    words = F.filter(T.words(F.lower(F.col(text)), 4), lambda x: ~x.isin(*out) & ~x.rlike(r"^\p{N}+$"))
     tokens = docs.select(*keys, w.alias("w"), words.alias("words")).select(*keys, "w", F.explode(F.transform(F.array_distinct("words"), lambda x: F.struct(x.alias("token"), (F.size("words") - F.size(F.array_remove("words", x))).alias("tf")))).alias("t"))
     g = tokens.groupBy(*keys, F.col("t.token").alias("token")).agg(F.sum("t.tf").alias("tf"), F.count(F.lit(1)).alias("df"), F.sum(F.col("w") * F.col("t.tf")).alias("weight"))
     g = g.join(n, list(keys)).withColumn("share", F.col("df") / F.col("docs"))
@@ -72,11 +91,15 @@ def title_words(title: Column) -> Column:
     return F.filter(T.words(F.lower(title)), lambda x: ~x.isin(*GENERIC_TITLE, *FUNCTION_WORDS))
 
 
-def valid_title(title: Column) -> Column:
-    """3 to 10 words, no slash, at least two words with meaning, or three if one is generic."""
-    t = T.squeezed(title)
-    n, good = F.size(T.words(t)), F.size(title_words(t))
-    return ~t.rlike(r"[/\\]") & n.between(3, 10) & (good >= 2) & ~(F.lower(t).rlike(BAD_TITLE) & (good < 3))
+def valid_title(title: Column, support: Column | None = None) -> Column:
+    """3 to 10 words, no slash, at least two words with meaning, or three if one is generic.
+
+    ``support`` is a lower-case text, of the first 80 comments of the cluster, that must hold one of the first four words with meaning.
+    """
+    t = T.stripped(F.regexp_replace(T.squeezed(title), r"^[ \-:;,.]+|[ \-:;,.]+$", ""))
+    n, good = F.size(T.words(t)), title_words(t)
+    ok = ~t.rlike(r"[/\\]") & n.between(3, 10) & (F.size(good) >= 2) & ~(F.lower(t).rlike(BAD_TITLE) & (F.size(good) < 3)) & ~F.exists(T.words(F.lower(t)), lambda w: w.isin(*NO_TITLE))
+    return ok if support is None else ok & F.exists(F.slice(good, 1, 4), lambda w: F.contains(F.coalesce(support, F.lit("")), w))
 
 
 def single_claim(title: Column) -> Column:

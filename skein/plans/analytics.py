@@ -72,23 +72,26 @@ def cls_06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _addressed(spark, sf_dir).withColumn("told", told).filter(F.col("told").isNotNull()).select("comment_id", "told.target", "told.confidence")
 
 
-@query("flt_19_offensive", f"WITH {APPEAL} SELECT comment_id, {_OFFENSIVE} AS narrow, {_INSULT} AS wide FROM a")
+@query("flt_19_offensive", f"WITH {APPEAL} SELECT comment_id, {_OFFENSIVE} AS narrow, {_INSULT} AS wide, trim(t) = '' OR {like_sql('t', A.OFFENSIVE_QUESTION)} AS question, trim(t) = '' OR {like_sql('t', A.OFFENSIVE_DISAGREEMENT)} AS disagreement FROM a")
 def flt_19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four predicates, each with its own words; the last two take an empty text for offensive."""
     t = F.lower(T.squeezed(F.col("text_raw")))
-    return _addressed(spark, sf_dir).select("comment_id", (t.rlike(A.OFFENSIVE) | t.rlike(A.DEROGATORY)).alias("narrow"), (t.rlike(A.INSULT) | t.rlike(A.INSULT_PHRASE)).alias("wide"))
+    wide = t.rlike(A.INSULT) | t.rlike(A.INSULT_PHRASE)
+    return _addressed(spark, sf_dir).select("comment_id", (t.rlike(A.OFFENSIVE) | t.rlike(A.DEROGATORY)).alias("narrow"), wide.alias("wide"), ((t == "") | t.rlike(A.OFFENSIVE_QUESTION)).alias("question"), ((t == "") | t.rlike(A.OFFENSIVE_DISAGREEMENT)).alias("disagreement"))
 
 
-@query("flt_20_author_reference", f"WITH {APPEAL} SELECT comment_id FROM a WHERE {_ADDRESS}")
+REFERS = f"(contains(t, '{AUTHOR.lower()}') OR {like_sql('t', A.AUTHOR_WORDS)})"
+DISAGREES = f"(t <> '' AND NOT {like_sql('t', A.OFFENSIVE_DISAGREEMENT)} AND {REFERS} AND {like_sql('t', A.DISAGREEMENT)})"
+
+
+@query("flt_20_author_reference", f"WITH {APPEAL} SELECT comment_id FROM a WHERE {REFERS}")
 def flt_20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.lower(T.squeezed(F.col("text_raw")))
-    return _addressed(spark, sf_dir).filter(t.rlike(A.ADDRESS) | A.named(t, F.col("author"))).select("comment_id")
+    return spread(table(spark, sf_dir, "raw_comments")).filter(A.refers_to_author(F.col("text_raw"), AUTHOR)).select("comment_id")
 
 
-@query("flt_21_author_disagreement", f"WITH {APPEAL} SELECT comment_id FROM a WHERE {_ADDRESS} AND NOT {_OFFENSIVE} AND {like_sql('t', A.CRITICISM)}")
+@query("flt_21_author_disagreement", f"WITH {APPEAL} SELECT comment_id FROM a WHERE {DISAGREES}")
 def flt_21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.lower(T.squeezed(F.col("text_raw")))
-    by = t.rlike(A.ADDRESS) | A.named(t, F.col("author"))
-    return _addressed(spark, sf_dir).filter(by & ~t.rlike(A.OFFENSIVE) & ~t.rlike(A.DEROGATORY) & t.rlike(A.CRITICISM)).select("comment_id")
+    return spread(table(spark, sf_dir, "raw_comments")).filter(A.author_disagreement(F.col("text_raw"), AUTHOR)).select("comment_id")
 
 
 @query("str_13_name_pattern", f"WITH {APPEAL} SELECT video_id, guests FROM g")
@@ -121,21 +124,30 @@ def agg_14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.sentiments(table(spark, sf_dir, "raw_comments"), ["video_id"], "text_raw").select("video_id", "positive", "negative", "sentiment")
 
 
-def _keyword_sql(weight: str) -> str:
-    drop = ", ".join(map(_q, (*K.STOPWORDS, *K.LOW_VALUE)))
-    return f"""WITH d AS (SELECT video_id, comment_id, {weight} AS w, list_filter(regexp_extract_all(lower(text_raw), '[\\p{{L}}\\p{{N}}_]{{4,}}'), lambda x: x NOT IN ({drop}) AND NOT regexp_matches(x, '^\\p{{N}}+$')) AS ws FROM raw_comments WHERE {squeeze_sql("text_raw")} <> ''),
+def keyword_sql(weight: str, drop: tuple[str, ...], most: int = 5, first: int = 0) -> str:
+    """CTEs up to r (video_id, token, score, place): the salient words of each video, of its first comments where ``first`` is given."""
+    words = f"list_filter({words_sql('lower(text_raw)', 4)}, lambda x: x NOT IN ({', '.join(map(_q, drop))}) AND NOT regexp_matches(x, '^\\p{{N}}+$'))"
+    limit = f"QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY comment_id) <= {first}" if first else ""
+    return f"""d AS (SELECT video_id, comment_id, {weight} AS w, {words} AS ws FROM raw_comments WHERE {squeeze_sql("text_raw")} <> '' {limit}),
 n AS (SELECT video_id, count(*) AS docs FROM d GROUP BY 1), u AS (SELECT video_id, comment_id, w, unnest(ws) AS token FROM d),
 g AS (SELECT video_id, token, count(*) AS tf, count(DISTINCT comment_id) AS df, sum(w) AS weight FROM u GROUP BY 1, 2),
 s AS (SELECT g.*, round(tf * (1.6::DOUBLE - df::DOUBLE / docs) + 0.35::DOUBLE * weight / docs, 6) AS score FROM g JOIN n USING (video_id) WHERE tf >= CASE WHEN docs >= 6 THEN 2 ELSE 1 END AND df::DOUBLE / docs <= 0.72),
-r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, token) AS place FROM s) SELECT video_id, token, score FROM r WHERE place <= 5"""
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, token) AS place FROM s) WHERE place <= {most})"""
+
+
+#: Comments that the words of a title are taken from.
+FIRST = 24
 
 
-@query("agg_15_keywords", _keyword_sql("0.0::DOUBLE"))
+@query("agg_15_keywords", f"WITH {keyword_sql('0.0::DOUBLE', (*K.STOPWORDS, *K.LOW_VALUE), first=FIRST)} SELECT video_id, token, score FROM r")
 def agg_15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.keywords(spread(table(spark, sf_dir, "raw_comments")), ["video_id"], "text_raw").select("video_id", "token", "score")
+    return K.keywords(spread(table(spark, sf_dir, "raw_comments")), ["video_id"], "text_raw", first=FIRST, order=["comment_id"]).select("video_id", "token", "score")
 
 
-@query("agg_16_weighted_keywords", _keyword_sql("greatest(0.1::DOUBLE, 1 + coalesce(like_count, 0)::DOUBLE)"))
+LIKED = "greatest(0.1::DOUBLE, 1 + coalesce(like_count, 0)::DOUBLE)"
+
+
+@query("agg_16_weighted_keywords", f"WITH {keyword_sql(LIKED, (*K.LABEL_STOPWORDS, *K.LABEL_LOW_VALUE))} SELECT video_id, token, score FROM r")
 def agg_16(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spread(table(spark, sf_dir, "raw_comments")).withColumn("weight", 1 + F.coalesce("like_count", F.lit(0)).cast("double"))
     return K.keywords(c, ["video_id"], "text_raw", "weight").select("video_id", "token", "score")
@@ -160,9 +172,24 @@ _TITLE = squeeze_sql("title")
 _TWICE = rf"(^|{T.NOT_W})(?:и|или|and|or){T.NOT_W}(.*{T.NOT_W})?(?:и|или|and|or)($|{T.NOT_W})"
 
 
-@query("flt_27_valid_title", f"SELECT id FROM videos WHERE NOT regexp_matches({_TITLE}, '[/\\\\]') AND len({words_sql(_TITLE)}) BETWEEN 3 AND 10 AND len({_named_titles(_TITLE)}) >= 2 AND NOT ({like_sql(f'lower({_TITLE})', K.BAD_TITLE)} AND len({_named_titles(_TITLE)}) < 3)")
+_TRIMMED = f"trim(regexp_replace({_TITLE}, '^[ \\-:;,.]+|[ \\-:;,.]+$', '', 'g'))"
+
+
+def title_sql(t: str, support: str) -> str:
+    """Whether ``t`` is a valid title with lexical support in the text ``support``."""
+    good = _named_titles(t)
+    return f"(NOT regexp_matches({t}, '[/\\\\]') AND len({words_sql(t)}) BETWEEN 3 AND 10 AND len({good}) >= 2 AND NOT ({like_sql(f'lower({t})', K.BAD_TITLE)} AND len({good}) < 3) AND len(list_intersect({words_sql(f'lower({t})')}, ['misc', 'other', 'разное', 'прочее'])) = 0 AND len(list_filter({good}[1:4], lambda w: contains(coalesce({support}, ''), w))) > 0)"
+
+
+@query("flt_27_valid_title", f"""WITH c AS (SELECT video_id AS id, string_agg(lower(text_raw), ' ' ORDER BY comment_id) AS support FROM (SELECT * FROM raw_comments WHERE text_raw IS NOT NULL QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY comment_id) <= 80) GROUP BY 1)
+SELECT v.id FROM (SELECT id, {_TRIMMED} AS t FROM videos) v LEFT JOIN c ON c.id = v.id WHERE {title_sql('t', 'support')}""")
 def flt_27(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "videos").filter(K.valid_title(F.col("title"))).select("id")
+    """Titles that hold a word of their first 80 comments."""
+    c = table(spark, sf_dir, "raw_comments").filter(F.col("text_raw").isNotNull()).select("video_id", "comment_id", "text_raw")
+    first = c.withColumn("place", F.row_number().over(W.partitionBy("video_id").orderBy("comment_id"))).filter("place <= 80")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text_raw"))), lambda x: F.lower(x["text_raw"])), " ")
+    support = first.groupBy(F.col("video_id").alias("id")).agg(joined.alias("support"))
+    return table(spark, sf_dir, "videos").select("id", "title").join(support, "id", "left").filter(K.valid_title(F.col("title"), F.col("support"))).select("id")
 
 
 @query("flt_28_single_claim", f"SELECT id FROM (SELECT id, lower({_TITLE}) AS t FROM videos) WHERE t <> '' AND NOT regexp_matches(t, '[/\\\\;|]') AND length(t) - length(replace(t, ':', '')) <= 1 AND length(t) - length(replace(t, ',', '')) <= 1 AND NOT (contains(t, ':') AND {like_sql('t', T.whole_word('и|или|and|or|but'))}) AND NOT {like_sql('t', _TWICE)}")

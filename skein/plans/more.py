@@ -128,14 +128,6 @@ def agg_26(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.explode(F.split("ban_reason", "_")).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("agg_25_merge_rollup", "SELECT label % 5 AS topic, count(*) AS size, round(sum(weight * likes) / sum(weight), 5) AS mean_likes, string_agg(DISTINCT label::VARCHAR, ' ' ORDER BY label::VARCHAR) AS merged FROM (WITH " + POINTS + " SELECT * FROM p) GROUP BY 1")
-def agg_25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters merged into topics: sizes, weighted means and the union of their names."""
-    p = points(spark, sf_dir)
-    merged = F.array_join(F.array_sort(F.collect_set(F.col("label").cast("string"))), " ")
-    return p.groupBy((F.col("label") % 5).alias("topic")).agg(F.count(F.lit(1)).alias("size"), F.round(F.sum(F.col("weight") * F.col("likes")) / F.sum("weight"), 5).alias("mean_likes"), merged.alias("merged"))
-
-
 @query("lbl_08_merge_primary", "WITH " + POINTS + ", s AS (SELECT label % 5 AS topic, label, count(*) AS n, round(sum(weight), 4) AS w FROM p GROUP BY ALL) SELECT topic, label AS main FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY w DESC, n DESC, label) AS place FROM s) WHERE place = 1")
 def lbl_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = points(spark, sf_dir).groupBy((F.col("label") % 5).alias("topic"), "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 4).alias("w"))

@@ -307,11 +307,12 @@ def win_17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("day", "event_type", "n", F.when(gap.isNull(), "new").when(gap > 1, "up").when(gap < -1, "down").otherwise("flat").alias("trend"))
 
 
-@query("src_01_latest_video", "SELECT id, youtube_video_id, published_at FROM videos WHERE duration_seconds IS NULL OR duration_seconds >= 120 ORDER BY published_at DESC, id DESC LIMIT 1")
+@query("src_01_latest_video", "SELECT playlist_id, id, youtube_video_id, published_at FROM (SELECT *, row_number() OVER (PARTITION BY playlist_id ORDER BY published_at DESC, id DESC) AS place FROM videos WHERE regexp_matches(lower(trim(title)), 'выпуск|эфир|разбор') AND (duration_seconds IS NULL OR duration_seconds >= 120)) WHERE place = 1")
 def src_01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest video that is no short; an unknown length is no short."""
-    v = table(spark, sf_dir, _VIDEOS).filter(F.col("duration_seconds").isNull() | (F.col("duration_seconds") >= 120))
-    return v.agg(F.max_by(F.struct("id", "youtube_video_id", "published_at"), F.struct("published_at", "id")).alias("v")).select("v.*")
+    """The newest video of each playlist whose title fits and that is no short; an unknown length is no short."""
+    long = F.col("duration_seconds").isNull() | (F.col("duration_seconds") >= 120)
+    v = table(spark, sf_dir, _VIDEOS).filter(F.lower(F.trim("title")).rlike("выпуск|эфир|разбор") & long)
+    return v.groupBy("playlist_id").agg(F.max_by(F.struct("id", "youtube_video_id", "published_at"), F.struct("published_at", "id")).alias("v")).select("playlist_id", "v.*")
 
 
 @query("src_03_video_lookup", "SELECT id, title FROM videos WHERE youtube_video_id = (SELECT min(youtube_video_id) FROM videos)")
@@ -334,7 +335,12 @@ def _fetched(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return c.groupBy("video_id", "key").agg(F.min_by(F.struct("comment_id", *columns), "comment_id").alias("row")).select("video_id", "row.*")
 
 
-@query("src_05_hybrid_sample", "SELECT comment_id FROM (SELECT comment_id FROM (SELECT comment_id FROM raw_comments ORDER BY published_at DESC, comment_id LIMIT 500) UNION SELECT comment_id FROM (SELECT comment_id FROM raw_comments ORDER BY like_count DESC NULLS LAST, comment_id LIMIT 350))")
+#: Comments without those fetched again.
+_ONCE = "f AS (SELECT * FROM raw_comments c WHERE NOT EXISTS (SELECT 1 FROM raw_comments d WHERE d.video_id = c.video_id AND d.youtube_comment_id = c.youtube_comment_id AND d.comment_id < c.comment_id))"
+
+
+@query("src_05_hybrid_sample", f"""WITH {_ONCE}, r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY published_at DESC, comment_id) AS a, row_number() OVER (PARTITION BY video_id ORDER BY like_count DESC NULLS LAST, comment_id) AS b FROM f),
+u AS (SELECT video_id, comment_id, 0 AS s, a AS o FROM r WHERE a <= {S.max_comments} UNION ALL SELECT video_id, comment_id, 1, b FROM r WHERE b <= {S.max_relevant} AND a > {S.max_comments}) SELECT comment_id FROM u QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY s, o) <= {S.max_comments}""")
 def src_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest comments of each video, then its most liked ones, each once, up to the cap of a video."""
     w = W.partitionBy("video_id")
@@ -437,13 +443,12 @@ def _ordered(name: str, table_name: str, columns: list[str], order: list[tuple[s
 _ordered("srt_02_newest_videos", _VIDEOS, ["id", "title", "published_at"], [("published_at", True), ("id", True)], 100)
 _ordered("srt_03_newest_run", "orders", ["o_orderkey", "o_orderdate"], [("o_orderdate", True), ("o_orderkey", True)], 1)
 _ordered("srt_05_by_score", _TOXIC, ["id", "confidence_score"], [("confidence_score", True), ("id", False)])
-_ordered("srt_08_top_four", _TOXIC, ["id", "confidence_score"], [("confidence_score", True), ("id", False)], 4)
 _ordered("srt_11_by_order_and_label", "nation", ["n_nationkey", "n_name"], [("n_regionkey", False), ("n_name", False)])
 _ordered("srt_12_recent_jobs", "orders", ["o_orderkey"], [("o_orderdate", True), ("o_orderkey", True)], 20)
 _ordered("api_15_banned_users", _BANS, ["id", "username", "banned_at"], [("banned_at", True), ("id", False)])
 
 
-@query("srt_04_capped_comments", "SELECT comment_id, published_at FROM raw_comments ORDER BY published_at NULLS FIRST, comment_id NULLS FIRST LIMIT 1500")
+@query("srt_04_capped_comments", f"WITH {_ONCE} SELECT comment_id, published_at FROM f QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY published_at DESC, comment_id) <= {S.max_comments}")
 def srt_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest comments of each video up to its cap, after repeats are removed; in the order of their time."""
     place = F.row_number().over(W.partitionBy("video_id").orderBy(F.desc("published_at"), "comment_id"))

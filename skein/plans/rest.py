@@ -8,29 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.functions import parsing as P
 from skein.functions import text as T
-from skein.functions import vectors as V
-from skein.operators import briefing as B
 from skein.operators import clusters as C
 from skein.operators import fit
 from skein.operators import positions as Q
-from skein.operators import providers as M
-from skein.operators import topics as K
-from skein.plans.filters import _q, like_sql, squeeze_sql, words_sql
+from skein.operators import topic_runs as R
+from skein.plans.filters import like_sql, squeeze_sql, words_sql
 from skein.plans.registry import query
-from skein.plans.vectors import _DIAGNOSED, CENTERS, OWN, POINTS, near, points
+from skein.plans.vectors import POINTS, points
 from skein.settings import DEFAULT as S
 from skein.sources import spread, table
 
-# Words of actions that an author can take, and of those nobody can.
-UNREALISTIC = T.whole_word("правительств|президент|парламент|министер|департамент|закон|реформ|госпрограмм|генштаб|армия|армии|армией|фронт|батальон|бригада|военн|командир|командован|ввести механизм|создать механизм|система мониторинга|общественные слушания|government|ministry|policy reform")
-PRACTICAL = T.whole_word("выпуск|ролик|видео|интро|подводк|описани|таймкод|глав|цитат|источник|ссылк|уточн|объясн|ответ|вопрос|faq|закреп|комментар|опрос|тезис|формулировк|превью|заголов|структур|блок|раздел|сегмент|плашк|корректировк")
-
-
-@query("flt_16_reviewed_decisions", "WITH r AS (SELECT id, video_id, confidence_score, row_number() OVER (PARTITION BY video_id ORDER BY confidence_score DESC, id) AS place FROM toxic_training_data) SELECT id, CASE WHEN place > 5 THEN 'keep' WHEN confidence_score >= 0.8 THEN 'drop' WHEN confidence_score >= 0.4 THEN 'flag' ELSE 'keep' END AS action FROM r")
+@query("flt_16_reviewed_decisions", "WITH r AS (SELECT id, video_id, confidence_score, row_number() OVER (PARTITION BY video_id ORDER BY confidence_score DESC, id) AS place FROM toxic_training_data) SELECT id, CASE WHEN place > 300 THEN 'flag' WHEN confidence_score >= 0.8 THEN 'drop' WHEN confidence_score >= 0.4 THEN 'flag' ELSE 'keep' END AS action FROM r")
 def flt_16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews of a video up to the limit of a run; rows beyond it are flagged unseen, as in the reference."""
+    """Reviews of a video up to the limit of a run; rows beyond it are flagged unseen."""
     t = table(spark, sf_dir, "toxic_training_data").select("id", "video_id", "confidence_score")
     place = F.row_number().over(W.partitionBy("video_id").orderBy(F.desc("confidence_score"), "id"))
     c = F.col("confidence_score")
@@ -47,27 +38,12 @@ def flt_17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", F.when(action.isin("keep", "flag", "drop"), action).otherwise("keep").alias("action"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("d.score", F.lit(0.5)))), 6).alias("score"))
 
 
-@query("flt_22_nested_disagreement", "SELECT video_id, min(id) AS first_id FROM toxic_training_data WHERE NOT is_toxic GROUP BY video_id, lower(text)")
-def flt_22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions with nested comments, exploded twice, filtered, and de-duplicated without case."""
-    t = table(spark, sf_dir, "toxic_training_data").select("video_id", F.coalesce("insult_target", F.lit("undetermined")).alias("position"), F.struct("id", "text", "is_toxic").alias("c"))
-    nested = t.groupBy("video_id", "position").agg(F.collect_list("c").alias("comments")).groupBy("video_id").agg(F.collect_list(F.struct("position", "comments")).alias("positions"))
-    flat = nested.select("video_id", F.explode("positions").alias("p")).select("video_id", F.explode("p.comments").alias("c"))
-    return flat.filter("NOT c.is_toxic").groupBy("video_id", F.lower("c.text").alias("low")).agg(F.min("c.id").alias("first_id")).select("video_id", "first_id")
-
-
 @query("flt_23_video_candidates", "SELECT id FROM videos WHERE regexp_matches(lower(title), 'разбор|эфир') AND (duration_seconds IS NULL OR duration_seconds >= 120)")
 def flt_23(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("duration_seconds")
     return table(spark, sf_dir, "videos").filter(F.lower("title").rlike("разбор|эфир") & (d.isNull() | (d >= 120))).select("id")
 
 
-@query("flt_24_not_dropped", "SELECT id FROM toxic_training_data WHERE NOT is_toxic AND (insult_target IS NULL OR insult_target <> 'author')")
-def flt_24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target = F.col("insult_target")
-    return table(spark, sf_dir, "toxic_training_data").filter(~F.col("is_toxic") & (target.isNull() | (target != "author"))).select("id")
-
-
 @query("flt_25_without_kind", "SELECT id, ban_reason FROM banned_users WHERE ban_reason <> 'toxic_auto'")
 def flt_25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "banned_users").filter(F.col("ban_reason") != "toxic_auto").select("id", "ban_reason")
@@ -76,28 +52,10 @@ def flt_25(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ACT = squeeze_sql("lower(text_raw)")
 
 
-@query("flt_26_practical_actions", f"SELECT comment_id FROM raw_comments WHERE len({words_sql(_ACT)}) >= 4 AND NOT {like_sql(_ACT, UNREALISTIC)} AND {like_sql(_ACT, PRACTICAL)}")
+@query("flt_26_practical_actions", f"SELECT comment_id FROM raw_comments WHERE len({words_sql(_ACT)}) >= 4 AND NOT {like_sql(_ACT, R.UNREALISTIC)} AND {like_sql(_ACT, R.PRACTICAL)}")
 def flt_26(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.squeezed(F.lower("text_raw"))
-    return spread(table(spark, sf_dir, "raw_comments")).filter((F.size(T.words(t)) >= 4) & ~t.rlike(UNREALISTIC) & t.rlike(PRACTICAL)).select("comment_id")
-
-
-_QUALITY = f"WITH {POINTS}, {CENTERS}, {OWN}, q AS (SELECT label, count(*) AS size, 100.0::DOUBLE * sum(weight) / sum(sum(weight)) OVER () AS share, avg(cos) AS coherence FROM o GROUP BY label)"
-
-
-def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir)
-    return C.cluster_stats(p, ["label"]).join(C.coherence(p, ["label"]), "label")
-
-
-@query("flt_30_low_coherence", f"{_QUALITY} SELECT label FROM q WHERE share < 12 AND size < 60 AND coherence < 0.9")
-def flt_30(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _quality(spark, sf_dir).filter("weighted_share < 12 AND size < 60 AND coherence < 0.9").select("label")
-
-
-@query("flt_31_weak_topics", f"{_QUALITY} SELECT label, coherence < 0.75 AS incoherent, size < 50 AS small FROM q")
-def flt_31(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _quality(spark, sf_dir).select("label", (F.col("coherence") < 0.75).alias("incoherent"), (F.col("size") < 50).alias("small"))
+    return spread(table(spark, sf_dir, "raw_comments")).filter((F.size(T.words(t)) >= 4) & ~t.rlike(R.UNREALISTIC) & t.rlike(R.PRACTICAL)).select("comment_id")
 
 
 @query("flt_35_active_bans", "SELECT id, coalesce(author_channel_id, 'name:' || username) AS identity FROM banned_users WHERE unbanned_at IS NULL")
@@ -106,76 +64,14 @@ def flt_35(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("id", F.coalesce("author_channel_id", F.concat(F.lit("name:"), "username")).alias("identity"))
 
 
-@query("agg_09_position_metrics", "SELECT video_id, count(DISTINCT insult_target) AS named, round(avg((insult_target IS NULL)::INT), 6) AS undetermined FROM toxic_training_data GROUP BY 1")
-def agg_09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("insult_target")
-    return table(spark, sf_dir, "toxic_training_data").groupBy("video_id").agg(F.countDistinct(t).alias("named"), F.round(F.avg(t.isNull().cast("int")), 6).alias("undetermined"))
-
-
-@query("agg_12_diagnostics", f"{_QUALITY} SELECT label, '{{\"size\":' || size || '}}' AS diagnostics FROM q")
-def agg_12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _quality(spark, sf_dir).select("label", F.to_json(F.struct("size")).alias("diagnostics"))
-
-
-@query("join_18_topic_pairs", f"WITH {POINTS}, {CENTERS} SELECT a.label AS a, b.label AS b, round(list_cosine_similarity(a.centroid, b.centroid), 5) AS cos FROM c a JOIN c b ON a.label < b.label")
-def join_18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of the few topics of a run."""
-    c = C.centroids(points(spark, sf_dir), ["label"])
-    a, b = c.select(F.col("label").alias("a"), F.col("centroid").alias("ca")), c.select(F.col("label").alias("b"), F.col("centroid").alias("cb"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(V.cosine(F.col("ca"), F.col("cb")), 5).alias("cos"))
-
-
 _TOK = "list_distinct(regexp_extract_all(lower(title), '[\\p{L}\\p{N}_]{4,}'))"
 
 
-@query(
-    "join_19_best_title",
-    f"""WITH v AS (SELECT id, {_TOK} AS t FROM videos), p AS (SELECT a.id, b.id AS other, round(len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(a.t || b.t)), 6) AS score FROM v a JOIN v b ON a.id <> b.id AND len(list_intersect(a.t, b.t)) > 0)
-SELECT id, other, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS place FROM p) WHERE place = 1 AND score >= 0.55""",
-)
-def join_19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most similar title of another video, found through shared words and not through all pairs."""
-    v = table(spark, sf_dir, "videos").select("id", F.array_distinct(T.words(F.lower("title"), 4)).alias("t")).withColumn("n", F.size("t"))
-    w = v.select("id", "n", F.explode("t").alias("word"))
-    other = w.select(F.col("id").alias("other"), F.col("n").alias("m"), "word")
-    shared = w.join(other, "word").filter("id <> other").groupBy("id", "n", "other", "m").agg(F.count(F.lit(1)).alias("k"))
-    scored = shared.withColumn("score", F.round(F.col("k") / (F.col("n") + F.col("m") - F.col("k")), 6))
-    best = scored.groupBy("id").agg(F.max_by(F.struct("other", "score"), F.struct("score", -F.col("other"))).alias("b"))
-    return best.select("id", "b.other", "b.score").filter("score >= 0.55")
-
-
 @query("srt_01_by_weighted_share", f"WITH {POINTS} SELECT label, round(sum(weight), 4) AS weight FROM p GROUP BY 1 ORDER BY weight DESC, label")
 def srt_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).groupBy("label").agg(F.round(F.sum("weight"), 4).alias("weight")).orderBy(F.desc("weight"), "label")
 
 
-@query("srt_07_cluster_comments", f"WITH {POINTS}, {CENTERS}, {OWN} SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY likes > 3 DESC, round(cos, 5) DESC, id) AS place FROM o")
-def srt_07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = C.with_centroid(points(spark, sf_dir), ["label"]).withColumn("cos", F.round("cos", 5))
-    place = F.row_number().over(W.partitionBy("label").orderBy(F.desc(F.col("likes") > 3), F.desc("cos"), "id"))
-    return o.select("label", "id", place.cast("bigint").alias("place"))
-
-
-@query("srt_13_prompt_order", "SELECT video_id, comment_id, row_number() OVER (PARTITION BY video_id ORDER BY like_count >= 5 DESC NULLS LAST, contains(text_raw, '?') DESC, like_count DESC NULLS LAST, comment_id) AS place FROM raw_comments")
-def srt_13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiers first, then rank within a tier."""
-    c = table(spark, sf_dir, "raw_comments")
-    order = [F.desc_nulls_last(F.col("like_count") >= 5), F.desc(F.col("text_raw").contains("?")), F.desc_nulls_last("like_count"), F.col("comment_id")]
-    return c.select("video_id", "comment_id", F.row_number().over(W.partitionBy("video_id").orderBy(*order)).cast("bigint").alias("place"))
-
-
-@query("srt_14_models_by_score", "SELECT event_type, round(avg(value), 4) AS score FROM events GROUP BY 1 ORDER BY score DESC, event_type")
-def srt_14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("score")).orderBy(F.desc("score"), "event_type")
-
-
-@query("mth_12_composite_score", f"{_DIAGNOSED} SELECT primary_label, round(0.5 * avg(confidence) + 0.3 * (1 - avg(is_ambiguous::INT)) + 0.2 * (1 - avg((NOT is_soft)::INT)), 5) AS score FROM g GROUP BY 1")
-def mth_12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = C.diagnostics(near(spark, sf_dir))
-    score = 0.5 * F.avg("confidence") + 0.3 * (1 - F.avg(F.col("is_ambiguous").cast("int"))) + 0.2 * (1 - F.avg((~F.col("is_soft")).cast("int")))
-    return d.groupBy(F.col("primary").alias("primary_label")).agg(F.round(score, 5).alias("score"))
-
-
 @query("arr_01_explode_collect", "SELECT video_id, count(*) AS n, min(comment_id) AS first_id FROM raw_comments GROUP BY 1")
 def arr_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "raw_comments").groupBy("video_id").agg(F.collect_list("comment_id").alias("ids"))
@@ -192,62 +88,11 @@ def arr_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("video_id", F.array_join(F.transform(F.array_union("a", "b"), lambda x: x.cast("string")), " ").alias("quotes"))
 
 
-@query("str_11_short_form", f"""SELECT comment_id, CASE WHEN contains(s, '?') THEN regexp_replace(s, '[?!. ]+$', '') || '?' ELSE s END AS short FROM (SELECT comment_id, substring(trim(regexp_replace({squeeze_sql("text_raw")}, '[\\x{{1F300}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}\\x{{FE0F}}\\x{{200D}}«»"]+', '', 'g')), 1, 160) AS s FROM raw_comments)""")
-def str_11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without pictographs and quotation marks, at most 160 characters, one question mark at the end."""
-    s = F.substring(F.trim(F.regexp_replace(T.squeezed(F.col("text_raw")), r'[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}\x{200D}«»"]+', "")), 1, 160)
-    c = table(spark, sf_dir, "raw_comments").select("comment_id", s.alias("s"))
-    return c.select("comment_id", F.when(F.col("s").contains("?"), F.concat(F.regexp_replace("s", "[?!. ]+$", ""), F.lit("?"))).otherwise(F.col("s")).alias("short"))
-
-
 @query("str_16_task_prefix", "SELECT comment_id, sha256('clustering: ' || text_raw) AS key FROM raw_comments")
 def str_16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "raw_comments").select("comment_id", T.text_hash(F.concat(F.lit("clustering: "), "text_raw")).alias("key"))
 
 
-_KEYS = f"""WITH d AS (SELECT video_id, comment_id, list_filter(regexp_extract_all(lower(text_raw), '[\\p{{L}}\\p{{N}}_]{{4,}}'), lambda x: x NOT IN ({", ".join(map(_q, (*K.STOPWORDS, *K.LOW_VALUE)))}) AND NOT regexp_matches(x, '^\\p{{N}}+$')) AS ws FROM raw_comments WHERE {squeeze_sql("text_raw")} <> ''),
-n AS (SELECT video_id, count(*) AS docs FROM d GROUP BY 1), g AS (SELECT video_id, token, count(*) AS tf, count(DISTINCT comment_id) AS df FROM (SELECT video_id, comment_id, unnest(ws) AS token FROM d) GROUP BY 1, 2),
-r AS (SELECT video_id, token, row_number() OVER (PARTITION BY video_id ORDER BY round(tf * (1.6::DOUBLE - df::DOUBLE / docs), 6) DESC, token) AS place FROM g JOIN n USING (video_id) WHERE tf >= CASE WHEN docs >= 6 THEN 2 ELSE 1 END AND df::DOUBLE / docs <= 0.72)"""
-
-
-@query("str_23_keyword_titles", f"{_KEYS} SELECT video_id, string_agg(token, ' и ' ORDER BY place) AS title FROM r WHERE place <= 2 GROUP BY 1")
-def str_23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = K.keywords(spread(table(spark, sf_dir, "raw_comments")), ["video_id"], "text_raw", most=2)
-    return k.groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]), " и ").alias("title"))
-
-
-@query("str_21_grounded_description", f"{_KEYS} SELECT video_id, 'Чаще обсуждают: ' || string_agg(token, ', ' ORDER BY place) || '.' AS description FROM r WHERE place <= 5 GROUP BY 1")
-def str_21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = K.keywords(spread(table(spark, sf_dir, "raw_comments")), ["video_id"], "text_raw")
-    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]), ", ")
-    return k.groupBy("video_id").agg(F.concat(F.lit("Чаще обсуждают: "), words, F.lit(".")).alias("description"))
-
-
-@query("str_24_limited_labels", f"SELECT id, CASE WHEN length({squeeze_sql('title')}) < 2 THEN 'Новая тема' ELSE array_to_string(string_split({squeeze_sql('title')}, ' ')[1:4], ' ') END AS label FROM videos")
-def str_24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = T.squeezed(F.col("title"))
-    return table(spark, sf_dir, "videos").select("id", F.when(F.length(t) < 2, "Новая тема").otherwise(F.array_join(F.slice(F.split(t, " "), 1, 4), " ")).alias("label"))
-
-
-@query("lbl_02_rule_labels", f"{_KEYS}, k AS (SELECT video_id, string_agg(token, ' и ' ORDER BY place) AS label FROM r WHERE place <= 2 GROUP BY 1), q AS (SELECT video_id, count(*) FILTER (contains(text_raw, '?')) AS questions FROM raw_comments GROUP BY 1) SELECT video_id, label, questions FROM k JOIN q USING (video_id)")
-def lbl_02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label and question count of each cluster without a model."""
-    q = table(spark, sf_dir, "raw_comments").groupBy("video_id").agg(F.count_if(F.col("text_raw").contains("?")).alias("questions"))
-    return str_23(spark, sf_dir).withColumnRenamed("title", "label").join(q, "video_id")
-
-
-@query("lbl_01_model_labels")
-def lbl_01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels by a pluggable model with the rule's label where it fails; here the model knows short prompts only."""
-
-    def factory() -> M.Answerer:
-        return lambda texts: [None if len(t) > 60 else f'{{"label": "{t.split()[0]}"}}' for t in texts]
-
-    rules = lbl_02(spark, sf_dir)
-    answers = M.answered(rules, "video_id", "label", factory)
-    return M.with_fallback(rules, answers, "video_id", F.get_json_object(P.lenient_object("answer"), "$.label"), F.col("label"), "final")
-
-
 @query("lbl_12_supported_topic", "SELECT v.id, count(c.comment_id) AS support FROM videos v LEFT JOIN raw_comments c ON c.video_id = v.id AND contains(lower(c.text_raw), lower(regexp_extract(v.title, '[\\p{L}]{5,}'))) GROUP BY 1")
 def lbl_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comments that hold the first long word of the title."""
@@ -256,69 +101,6 @@ def lbl_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(c, "id", "left").groupBy("id").agg(F.count_if(F.contains(F.col("low"), F.col("word"))).alias("support"))
 
 
-@query("cls_04_promotion", "SELECT comment_id, CASE WHEN contains(text_raw, '?') THEN 'question' ELSE 'criticism' END AS category FROM raw_comments WHERE reply_count >= 1")
-def cls_04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of both kinds, moved by what the refiner says: here a question mark."""
-    c = table(spark, sf_dir, "raw_comments").filter("reply_count >= 1").select("comment_id", "text_raw")
-    refined = c.select("comment_id", F.col("text_raw").contains("?").alias("is_question"))
-    return c.join(refined, "comment_id").select("comment_id", F.when(F.col("is_question"), "question").otherwise("criticism").alias("category"))
-
-
-@query("cls_01_model_categories")
-def cls_01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of 30 comments for a model; rows that it leaves out or fails on get the rule's category."""
-    from skein.plans.analytics import categories
-
-    def factory() -> M.Answerer:
-        return lambda texts: ["appeal" if "сделайте" in (t or "").lower() else None for t in texts]
-
-    rules = categories(spark, sf_dir).select("comment_id", "text_raw", F.col("category").alias("rule"))
-    answers = M.answered(rules, "comment_id", "text_raw", factory, batch=30)
-    return M.with_fallback(rules, answers, "comment_id", F.col("answer"), F.col("rule"), "category").select("comment_id", "category")
-
-
-@query("brf_02_action_items", f"SELECT video_id, min(comment_id) AS action FROM raw_comments WHERE len({words_sql(_ACT)}) >= 4 AND NOT {like_sql(_ACT, B.IMPRACTICAL)} AND {like_sql(_ACT, T.whole_word('сделайте|пригласите|уточните'))} GROUP BY 1")
-def brf_02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = T.squeezed(F.lower("text_raw"))
-    ok = (F.size(T.words(t)) >= 4) & ~t.rlike(B.IMPRACTICAL) & t.rlike(T.whole_word("сделайте|пригласите|уточните"))
-    return spread(table(spark, sf_dir, "raw_comments")).filter(ok).groupBy("video_id").agg(F.min("comment_id").alias("action"))
-
-
-@query("brf_04_summary", "SELECT video_id, 'Видео ' || video_id || ': ' || CASE WHEN 100.0 * count(*) FILTER (is_toxic) / count(*) >= 35 THEN 'напряженный' ELSE 'умеренный' END AS summary FROM toxic_training_data GROUP BY 1")
-def brf_04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    share = F.lit(100.0) * F.count_if(F.col("is_toxic")) / F.count(F.lit(1))
-    g = table(spark, sf_dir, "toxic_training_data").groupBy("video_id").agg(share.alias("share"))
-    return g.select("video_id", F.concat(F.lit("Видео "), F.col("video_id").cast("string"), F.lit(": "), F.when(F.col("share") >= 35, "напряженный").otherwise("умеренный")).alias("summary"))
-
-
-@query("brf_05_top_risks", "SELECT video_id, n FROM (SELECT video_id, count(*) AS n FROM toxic_training_data WHERE is_toxic GROUP BY 1) ORDER BY n DESC, video_id LIMIT 4")
-def brf_05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "toxic_training_data").filter("is_toxic").groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
-    return g.orderBy(F.desc("n"), "video_id").limit(4)
-
-
-@query("api_05_report_detail", "WITH r AS (SELECT e.label, c.comment_id, c.text_raw, row_number() OVER (PARTITION BY e.label ORDER BY c.like_count DESC NULLS LAST, c.comment_id) AS place FROM embeddings e JOIN raw_comments c ON c.comment_id = e.vec_id) SELECT label, string_agg(comment_id::VARCHAR, ' ' ORDER BY place) FILTER (NOT contains(text_raw, '?')) AS quotes, string_agg(comment_id::VARCHAR, ' ' ORDER BY place) FILTER (contains(text_raw, '?')) AS questions FROM r WHERE place <= 8 GROUP BY 1")
-def api_05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best comments of each cluster, quotes and questions apart, in rank order."""
-    e = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("comment_id"))
-    c = e.join(table(spark, sf_dir, "raw_comments").select("comment_id", "text_raw", "like_count"), "comment_id")
-    r = C.top_k(c, ["label"], [F.desc_nulls_last("like_count"), F.col("comment_id")], 8)
-    asked = F.col("text_raw").contains("?")
-
-    def ids(which: F.Column) -> F.Column:
-        kept = F.array_sort(F.collect_list(F.when(which, F.struct("rank", "comment_id"))))
-        return F.nullif(F.array_join(F.transform(kept, lambda x: x["comment_id"].cast("string")), " "), F.lit(""))
-
-    return r.groupBy("label").agg(ids(~asked).alias("quotes"), ids(asked).alias("questions"))
-
-
-@query("api_06_appeal_blocks", "SELECT t.insult_target AS block, t.id, c.comment_id, coalesce(c.text_raw, '') AS text FROM toxic_training_data t LEFT JOIN raw_comments c ON c.comment_id = t.comment_id WHERE t.insult_target IS NOT NULL")
-def api_06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "toxic_training_data").filter(F.col("insult_target").isNotNull()).select(F.col("insult_target").alias("block"), "id", F.col("comment_id").alias("ref"))
-    c = table(spark, sf_dir, "raw_comments").select("comment_id", "text_raw")
-    return t.join(c, F.col("ref") == F.col("comment_id"), "left").select("block", "id", "comment_id", F.coalesce("text_raw", F.lit("")).alias("text"))
-
-
 @query("src_12_last_reports", "SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ' ' ORDER BY o_orderdate, o_orderkey) AS reports FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM orders) WHERE place <= 6 GROUP BY 1")
 def src_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last six rows of each key, oldest first."""
@@ -328,14 +110,6 @@ def src_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.groupBy("o_custkey").agg(F.array_join(ordered, " ").alias("reports"))
 
 
-@query("src_11_parsed_reports", "SELECT payload_id, json_extract_string(payload, '$.text_raw') AS topic FROM raw_payloads WHERE json_extract_string(payload, '$.author_name') IS NOT NULL")
-def src_11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored JSON parsed row by row; rows that no longer parse are left out."""
-    broken = F.when(F.get_json_object("payload", "$.author_name").isNull(), F.lit("{broken")).otherwise(F.col("payload"))
-    o = F.from_json(broken, "text_raw string, bad string", {"columnNameOfCorruptRecord": "bad"})
-    return table(spark, sf_dir, "raw_payloads").select("payload_id", o.alias("o")).filter(F.col("o.bad").isNull()).select("payload_id", F.col("o.text_raw").alias("topic"))
-
-
 def _per_group(spark: SparkSession, sf_dir: str, run, schema: str) -> DataFrame:
     from skein.plans.fitted import _grouped
 
@@ -396,17 +170,6 @@ def lbl_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.position_table(assigned, points(spark, sf_dir), "video_id", "label")
 
 
-@query("brf_01_briefing")
-def brf_01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One nested row a video: topics by weighted share, each with its keywords and summary line."""
-    c = table(spark, sf_dir, "raw_comments")
-    words = K.keywords(spread(c), ["video_id"], "text_raw").groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("keywords"))
-    mood = K.sentiments(c, ["video_id"], "text_raw").select("video_id", "sentiment")
-    n = c.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_comments"))
-    j = n.join(words, "video_id", "left").join(mood, "video_id")
-    return j.select("video_id", F.struct("n_comments", "sentiment", "keywords", B.summary(F.concat(F.lit("видео "), F.col("video_id").cast("string")), F.lit(100.0), F.lit(100.0), F.when(F.col("sentiment") == "negative", 100.0).otherwise(0.0)).alias("summary")).alias("briefing"))
-
-
 @query("set_04_subset", "SELECT a.video_id, len(list_filter(a.l, lambda x: NOT list_contains(b.l, x))) = 0 AS is_subset FROM (SELECT video_id, list(DISTINCT author_name) AS l FROM toxic_training_data WHERE author_name IS NOT NULL GROUP BY 1) a JOIN (SELECT video_id, list(DISTINCT author_name) AS l FROM raw_comments WHERE author_name IS NOT NULL GROUP BY 1) b USING (video_id)")
 def set_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether all labelled authors of a video comment there: an anti join, as author sets may be large."""
@@ -429,23 +192,6 @@ def api_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.agg(F.max_by(F.struct("o_orderkey", "o_custkey"), F.struct("o_orderdate", "o_orderkey")).alias("o")).select("o.*")
 
 
-@query("cls_03_refined_questions", "SELECT id, greatest(1, least(10, id % 14)) AS score FROM toxic_training_data")
-def cls_03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of a question refiner, parsed and clamped."""
-    t = table(spark, sf_dir, "toxic_training_data")
-    answer = F.concat(F.lit('```json\n{"results": {"1": "question:'), (F.col("id") % 14).cast("string"), F.lit('"}}\n```'))
-    r = t.select("id", F.explode(P.scored_results(P.lenient_object(answer))).alias("r"))
-    return r.select("id", F.col("r.score").cast("bigint").alias("score"))
-
-
-@query("cls_07_verified", "SELECT t.id, CASE WHEN t.confidence_score < 0.8 THEN 'review' WHEN b.comment_id IS NOT NULL THEN 'verified' ELSE 'review' END AS state FROM toxic_training_data t LEFT JOIN (SELECT DISTINCT comment_id FROM banned_users WHERE comment_id IS NOT NULL) b USING (comment_id)")
-def cls_07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confident rows need an approval; without one they fall back to review."""
-    ok = table(spark, sf_dir, "banned_users").filter(F.col("comment_id").isNotNull()).select("comment_id", F.lit(True).alias("approved")).distinct()
-    t = table(spark, sf_dir, "toxic_training_data").select("id", "comment_id", "confidence_score").join(ok, "comment_id", "left")
-    return t.select("id", F.when((F.col("confidence_score") >= 0.8) & F.col("approved"), "verified").otherwise("review").alias("state"))
-
-
 @query("vec_08_noise_split")
 def vec_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The noise of each video's fit; large noise is split in up to three groups, where the gate lets them pass."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions import vectors as V
@@ -145,13 +146,14 @@ def vec_13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.capped_clusters(s, "label", 6).select("label", "new_label")
 
 
-@query("vec_14_collapse_small", f"""{_DIAGNOSED}, h AS (SELECT primary_label AS label, count(*) AS size, avg(primary_cos) AS coherence, avg(is_ambiguous::INT) AS ambiguous, 100.0::DOUBLE * sum(weight) / sum(sum(weight)) OVER () AS share FROM g GROUP BY 1)
-SELECT label, CASE WHEN size < 60 AND share < 12 AND (coherence < {S.coherence_min} OR ambiguous >= 0.45) THEN 'emerging_other' ELSE label::VARCHAR END AS new_label FROM h""")
+@query("vec_14_collapse_small", f"""{_DIAGNOSED}, h AS (SELECT id % 40 AS run, CASE WHEN is_soft THEN primary_label ELSE -1 END AS label, count(*) AS size, avg(primary_cos) AS coherence, avg(is_ambiguous::INT) AS ambiguous, 100.0::DOUBLE * count(*) / sum(count(*)) OVER (PARTITION BY id % 40) AS share, count(*) OVER (PARTITION BY id % 40) AS n FROM g GROUP BY 1, 2)
+SELECT run, label, CASE WHEN n > 1 AND size < {max(12, 2 * S.cluster_min_size)} AND share < {max(6.0, S.large_share_pct / 4)} AND (coherence < {max(0.28, S.coherence_min - 0.08)} OR ambiguous >= {S.ambiguous_share}) THEN 'emerging_other' WHEN label = -1 THEN 'emerging_other' ELSE label::VARCHAR END AS new_label FROM h WHERE n = 1 OR label <> -1 OR coherence >= {S.emerging_coherence}""")
 def vec_14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = C.diagnostics(near(spark, sf_dir)).groupBy("primary").agg(F.count(F.lit(1)).alias("size"), F.avg("primary_cos").alias("coherence"), F.avg(F.col("is_ambiguous").cast("int")).alias("ambiguous"), F.sum("weight").alias("weight"))
-    total = points(spark, sf_dir).agg(F.sum("weight").alias("total"))
-    d = d.crossJoin(F.broadcast(total)).withColumn("share", 100.0 * F.col("weight") / F.col("total"))
-    return C.collapsed_clusters(d.withColumnRenamed("primary", "label"), "label")
+    """Forty runs at once: the clusters of each are judged within their run."""
+    d = C.diagnostics(near(spark, sf_dir)).withColumns({"run": F.col("id") % 40, "label": F.when(F.col("is_soft"), F.col("primary")).otherwise(-1)})
+    d = d.groupBy("run", "label").agg(F.count(F.lit(1)).alias("size"), F.avg("primary_cos").alias("coherence"), F.avg(F.col("is_ambiguous").cast("int")).alias("ambiguous"))
+    d = d.withColumn("share", F.lit(100.0) * F.col("size") / F.sum("size").over(W.partitionBy("run")))
+    return C.collapsed_clusters(d, "label", run=["run"])
 
 
 @query("vec_15_single_cluster", f"WITH {POINTS} SELECT label, count(*) AS size, CASE WHEN count(*) < 40 THEN 'emerging_other' ELSE label::VARCHAR END AS cluster FROM p GROUP BY label")
@@ -166,10 +168,17 @@ def vec_19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near(spark, sf_dir).select("id", F.when(F.col("primary_cos") >= S.position_cosine, F.col("primary")).alias("position"))
 
 
-@query("vec_18_group_resolution", f"WITH {POINTS}, {CENTERS}, {NEAR} SELECT id, CASE WHEN primary_cos >= {S.position_cosine} AND primary_cos - coalesce(secondary_cos, 0) >= {S.position_margin} THEN primary_label END AS position FROM w")
+@query("vec_18_group_resolution", f"""WITH {POINTS}, t AS (SELECT id % 20 AS run, id, CASE WHEN label = 9 THEN -1 ELSE label END AS own, v FROM p), z AS (SELECT run, greatest(2, ceil(count(*) * 0.03::DOUBLE)) AS least FROM t GROUP BY run),
+x AS (SELECT run, own, i, avg(v[i]) AS m FROM t, generate_series(1, 64) g(i) WHERE own <> -1 GROUP BY ALL), q AS (SELECT run, own, count(*) AS size FROM t WHERE own <> -1 GROUP BY ALL),
+c AS (SELECT x.run, x.own, list(m ORDER BY i) AS centroid, any_value(size) AS size FROM x JOIN q USING (run, own) GROUP BY x.run, x.own),
+k AS (SELECT c.* FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY size DESC, own) AS first FROM c) c JOIN z USING (run) WHERE size >= least OR first = 1),
+n AS (SELECT t.run, t.id, t.own, k.own AS near, list_cosine_similarity(t.v, k.centroid) AS cos FROM t JOIN k USING (run)), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(cos, 9) DESC, near) AS place FROM n),
+w AS (SELECT a.run, a.id, a.own, a.near, a.cos, b.cos AS other FROM r a LEFT JOIN r b ON b.id = a.id AND b.place = 2 WHERE a.place = 1)
+SELECT w.run, id, CASE WHEN k.own IS NOT NULL THEN w.own WHEN cos >= {S.position_cosine} AND cos - coalesce(other, -1) >= {S.position_margin} THEN near END AS position FROM w LEFT JOIN k ON k.run = w.run AND k.own = w.own""")
 def vec_18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given labels as groups of one topic."""
-    return C.resolved_groups(points(spark, sf_dir), "label")
+    """Twenty topics at once, with the labels as their groups and label 9 as noise."""
+    p = points(spark, sf_dir).withColumns({"run": F.col("id") % 20, "label": F.when(F.col("label") == 9, -1).otherwise(F.col("label"))})
+    return C.resolved_groups(p, "label", run=["run"])
 
 
 @query("vec_20_prototype", f"WITH {POINTS}, {CENTERS}, {OWN}, s AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(cos, 9) DESC, id) AS place FROM o) SELECT label, string_agg(id::VARCHAR, ' ' ORDER BY place) AS prototype FROM s WHERE place <= 3 GROUP BY label")
@@ -208,7 +217,5 @@ def win_08(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("win_09_numbering", f"WITH {POINTS}, s AS (SELECT label, count(*) AS size FROM p GROUP BY label) SELECT label, 'cluster_' || (row_number() OVER (ORDER BY label) - 1) AS cluster_key, row_number() OVER (ORDER BY size DESC, label) - 1 AS sort_order FROM s")
 def win_09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     s = points(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     return s.select("label", F.concat(F.lit("cluster_"), (F.row_number().over(W.orderBy("label")) - 1).cast("string")).alias("cluster_key"), (F.row_number().over(W.orderBy(F.desc("size"), "label")) - 1).cast("bigint").alias("sort_order"))

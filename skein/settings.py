@@ -36,11 +36,27 @@ class Settings:
     low_cosine: float = 0.25
     coherence_min: float = 0.45
     emerging_coherence: float = 0.70
+    ambiguous_share: float = 0.45
+    large_share_pct: float = 25.0
     merge_cosine: float = 0.88
     merge_jaccard: float = 0.20
     trend_score: float = 0.60
     position_cosine: float = 0.34
     position_margin: float = 0.035
+    # topics of a run
+    low_coherence_share: float = 8.0
+    uncertain_min_comments: int = 1
+    uncertain_support: float = 0.14
+    topic_merge_cosine: float = 0.88
+    topic_merge_jaccard: float = 0.24
+    topic_subset_tokens: int = 2
+    note_limit: int = 3
+    #: Shares, in per cent, beyond which a run counts as degraded.
+    watchdog_undetermined: float = 35.0
+    watchdog_fallback: float = 40.0
+    # appeal
+    auto_ban_review: float = 0.80
+    precision: float = 0.85
 
 
 DEFAULT = Settings()

@@ -238,7 +238,7 @@ def test_models_and_fallback(spark):
     a = providers.answered(df, "id", "t", broken, batch=1)
     out = providers.with_fallback(df, a, "id", F.col("answer"), F.lit("rule"), "final")
     assert out.count() == 10 and out.filter("final = 'rule'").count() == 3
-    first, rest = providers.within_quota(df, [F.col("id")], 4)
+    first, rest = providers.within_quota(df, "id", [F.col("id")], 4)
     assert first.count() == 4 and rest.count() == 6
     assert providers.running_cost(df.withColumn("g", F.lit(1)).withColumn("c", F.lit(1.0)), ["g"], ["id"], "c", 3.0).count() == 3
 

@@ -9,7 +9,6 @@ import numpy as np
 import pytest
 
 from compare import database, same_rows
-from skein.llm import subjects
 from skein.operators import clusters, fit
 from skein.plans import catalog, reads, rest
 
@@ -160,34 +159,37 @@ def test_small_groups_dissolve_and_members_of_large_ones_stay(spark, rows):
     assert {r["id"]: r["position"] for r in got} == _resolved(rows)
 
 
-def test_members_of_large_groups_stay_in_the_query(spark, sf, con):
-    large = "SELECT vec_id AS id, label AS position FROM embeddings QUALIFY count(*) OVER (PARTITION BY label) >= greatest(2, ceil(0.03 * count(*) OVER ()))"
-    got = PLANS["vec_18_group_resolution"](spark, sf)
-    same_rows(got.join(spark.createDataFrame(con.execute(f"SELECT id FROM ({large})").fetchall(), "id bigint"), "id"), con, large)
+def test_groups_are_resolved_within_their_topic(spark):
+    rows = [(t * 1000 + i, t, k, v) for t in range(3) for i, k, v in _two_to_one(5 + t)]
+    df = spark.createDataFrame(rows, "id int, topic int, label int, v array<double>")
+    got = {(r["topic"], r["id"]): r["position"] for r in clusters.resolved_groups(df, "label", run=["topic"]).collect()}
+    want = {(t, t * 1000 + i): p for t in range(3) for i, p in _resolved(_two_to_one(5 + t)).items()}
+    assert got == want
+
+
+def test_a_thousand_runs_in_one_plan_without_pairs(spark):
+    r = np.random.default_rng(1)
+    rows = [(i, i % 1000, int(i // 1000 % 2), [float(x) for x in r.normal(size=4)]) for i in range(8000)]
+    df = spark.createDataFrame(rows, "id bigint, run bigint, label int, v array<double>")
+    near = clusters.nearest_two(df, clusters.centroids(df, ["run", "label"]), "label", run=["run"])
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    got = {x["id"]: (x["primary"], x["primary_cos"], x["secondary_cos"]) for x in near.collect()}
+    v, run, label = np.array([x[3] for x in rows]), np.array([x[1] for x in rows]), np.array([x[2] for x in rows])
+    for i in range(0, 8000, 97):
+        c = np.stack([v[(run == run[i]) & (label == k)].mean(axis=0) for k in (0, 1)])
+        cos = c @ v[i] / np.linalg.norm(c, axis=1) / np.linalg.norm(v[i])
+        assert got[i][0] == cos.argmax() and np.allclose(got[i][1:], np.sort(cos)[::-1])
 
 
 def test_incoherent_rest_is_deleted_and_small_bad_clusters_collapse(spark):
-    rows = [(-1, 20, 30.0, 0.69, 0.0), (0, 80, 40.0, 0.2, 0.9), (1, 10, 5.0, 0.44, 0.0), (2, 10, 5.0, 0.9, 0.45), (3, 10, 5.0, 0.9, 0.1)]
+    rows = [(-1, 20, 30.0, 0.69, 0.0), (0, 80, 40.0, 0.2, 0.9), (1, 11, 5.0, 0.36, 0.0), (2, 11, 5.0, 0.9, 0.45), (3, 11, 5.0, 0.38, 0.1), (4, 12, 5.0, 0.1, 0.9), (5, 11, 6.3, 0.1, 0.9)]
     d = spark.createDataFrame(rows, "label int, size int, share double, coherence double, ambiguous double")
-    assert dict(map(tuple, clusters.collapsed_clusters(d, "label").collect())) == {0: "0", 1: "emerging_other", 2: "emerging_other", 3: "3"}
+    assert dict(map(tuple, clusters.collapsed_clusters(d, "label").collect())) == {0: "0", 1: "emerging_other", 2: "emerging_other", 3: "3", 4: "4", 5: "5"}
     d = spark.createDataFrame([(-1, 20, 30.0, 0.70, 0.0)], d.schema)
     assert dict(map(tuple, clusters.collapsed_clusters(d, "label").collect())) == {-1: "emerging_other"}
 
 
-# --- subjects ---------------------------------------------------------------------------------
-
-
-def test_subjects_reach_over_many_hops_and_unsettled_rounds_raise(spark):
-    words = ["kelmor", "bavuni", "tizgad", "rulpex", "womfit", "dagrun", "pikloz", "nebvar", "hostum", "gyrfal", "zembok", "fuwlid"]
-    texts = [f"{words[0]}."] * 12 + [f"{a}. {b}." for a, b in zip(words, words[1:], strict=False) for _ in range(12)]
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    labels = spark.createDataFrame([(i, "law") for i in range(12)], "doc_id bigint, subject string")
-    got = {(r["doc_id"], r["subject"]) for r in subjects.subject_lists(d, labels, ["law", "sport"]).collect()}
-    assert got == {(i, "law") for i in range(len(texts))}
-    with pytest.raises(RuntimeError, match="still change"):
-        subjects.subject_lists(d, labels, ["law", "sport"], rounds=3)
-
-
 # --- vectors of all comments ------------------------------------------------------------------
 
 
