@@ -184,6 +184,8 @@ def subject_lists(documents: DataFrame, labels: DataFrame, definitions: DataFram
         usual = graph.arounds.join(y.select(F.col("term").alias("around"), F.map_from_entries("all").alias("ys"), F.col("n").alias("usual")), "around", "left")
         likely = joined(graph.held.join(likely, "term"), usual, ["around"], graph.n_terms)
         base = (F.coalesce(F.try_element_at("ys", F.col("subject")), F.lit(0.0)) + PRIOR * even) / (F.coalesce("usual", F.lit(0.0)) + PRIOR)
+        # what is itself the most frequent word around has no surroundings to compare with
+        base = F.when(F.col("around") == F.col("term"), F.lit(even)).otherwise(base)
         verified, verified_path = written(likely.filter(F.col("p") >= base + SHARE * (1 - base)).select("term", "c", "subject", "p"), "verified")
         best = joined(graph.terms.select("sentence", "term"), verified, ["term"], graph.n_terms).groupBy("sentence", "subject").agg(F.max("p").alias("p"))
         n = whole.groupBy("sentence").agg(F.sum("y").alias("n")).filter(F.col("n") >= WHOLE)

@@ -535,3 +535,15 @@ def test_words_of_subjects_are_whole(spark):
     got = rows(subjects.sentence_terms(d.coalesce(1), "doc_id", "text").select("doc", "sentence", "terms"))
     assert len({s for i, s, _ in got if i == 1}) == 2 and len({s for i, s, _ in got if i != 1}) == 1
     assert len({t for i, _, ts in got if i == 1 for t in ts}) == 7 + 3
+
+
+def test_subjects_reach_over_many_hops_and_unsettled_rounds_raise(spark):
+    words = ["kelmor", "bavuni", "tizgad", "rulpex", "womfit", "dagrun", "pikloz", "nebvar", "hostum", "gyrfal", "zembok", "fuwlid"]
+    texts = [f"{words[0]}."] * 12 + [f"{a}. {b}." for a, b in zip(words, words[1:], strict=False) for _ in range(12)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, "law") for i in range(12)], "doc_id bigint, subject string")
+    listed = spark.createDataFrame([("law", "law"), ("sport", "sport")], "subject string, text string")
+    got = {(r["doc_id"], r["subject"]) for r in subjects.subject_lists(d, labels, listed).collect()}
+    assert got == {(i, "law") for i in range(len(texts))}
+    with pytest.raises(RuntimeError, match="still change"):
+        subjects.subject_lists(d, labels, listed, rounds=3)
