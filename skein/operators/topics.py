@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -122,29 +122,50 @@ def support_score(description: Column, comment: Column) -> Column:
     return F.when((F.size(d) == 0) | (F.size(c) == 0), 0.0).otherwise(F.size(F.array_intersect(d, c)) / F.greatest(F.lit(1), F.least(F.lit(10), F.size(d))))
 
 
+#: Characters of an indexed piece, and neighbouring pieces of which the least hash is kept.
+PIECE, WINDOW = 8, 12
+
+
+def _least_hashes(c: Column) -> Column:
+    """Least hash of each window of WINDOW pieces of PIECE characters; a text contained in another has one of its window hashes in common with it."""
+    pieces = F.transform(F.sequence(F.lit(1), F.length(c) - (PIECE - 1)), lambda i: F.xxhash64(F.substring(c, i, F.lit(PIECE))))
+    return F.transform(F.sequence(F.lit(1), F.length(c) - (PIECE + WINDOW - 2)), lambda i: F.array_min(F.slice(pieces, i, WINDOW)))
+
+
+def _contained(quotes: DataFrame, texts: DataFrame, keys: Sequence[str], form: Callable[[Column], Column] | None, least: int, tier: int) -> DataFrame:
+    """Quotes (keys, q) of ``least`` characters or more in their ``form`` with the first text (keys, t, first) that holds them in that form.
+
+    Both are indexed by least hashes of windows, of which a contained text shares its first one, so a quote is
+    compared only with texts that hold that piece, never with all comments of its group.
+    """
+    q = quotes.withColumn("f", _formed(form, "q")).filter(F.length("f") >= least)
+    q = q.withColumn("h", F.element_at(_least_hashes(F.substring("f", 1, PIECE + WINDOW - 1)), 1))
+    t = texts.withColumn("g", _formed(form, "t")).filter(F.length("g") >= least).withColumn("h", F.explode(F.array_distinct(_least_hashes(F.col("g")))))
+    j = q.join(t, [*keys, "h"]).filter(F.contains("g", "f"))
+    return j.groupBy(*keys, "q").agg(F.min("first").alias("first"), F.lit(tier).alias("tier"))
+
+
+def _formed(form: Callable[[Column], Column] | None, name: str) -> Column:
+    return F.col(name) if form is None else form(F.col(name))
+
+
 def matched_quotes(quotes: DataFrame, comments: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """For each quote the comment of its cluster that it was taken from: equal, else held, else held without marks.
+    """For each quote the comment of its cluster that it was taken from: equal, else held, else held without marks;
+    of several the first by rank.
 
-    Equality is a hash join. Only quotes without an equal comment are compared with the comments
-    of their own cluster.
+    Equality is a hash join of different texts. What is left is looked up by an index of pieces.
+    Quotes below 26 characters, or 22 without marks, are matched by equality only.
     """
     norm = lambda c: F.lower(T.squeezed(c))
-    q = quotes.select(*keys, "quote_id", norm(F.col("quote")).alias("q"))
-    c = comments.select(*keys, "comment_id", "rank", norm(F.col("text")).alias("t"))
-    equal = q.join(c, (q["q"] == c["t"]) & _same(q, c, keys)).select(*[q[k] for k in keys], "quote_id", "comment_id", "rank", F.lit(0).alias("tier"))
-    left = q.join(equal.select("quote_id").distinct(), "quote_id", "left_anti")
-    held = (F.length("q") >= 26) & F.contains(F.col("t"), F.col("q"))
-    loose = (F.length(T.compacted(F.col("q"))) >= 22) & F.contains(T.compacted(F.col("t")), T.compacted(F.col("q")))
-    other = left.join(c, _same(left, c, keys)).withColumn("tier", F.when(held, 1).when(loose, 2)).filter(F.col("tier").isNotNull())
-    both = equal.unionByName(other.select(*[left[k] for k in keys], "quote_id", "comment_id", "rank", "tier"))
-    return both.groupBy(*keys, "quote_id").agg(F.min_by(F.struct("comment_id", "tier"), F.struct("tier", "rank", "comment_id")).alias("m")).select(*keys, "quote_id", "m.comment_id", "m.tier")
-
-
-def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
-    on = F.lit(True)
-    for k in keys:
-        on = on & (a[k] == b[k])
-    return on
+    q = quotes.select(*keys, "quote_id", norm(F.col("quote")).alias("q")).filter("q <> ''")
+    t = comments.select(*keys, norm(F.col("text")).alias("t"), F.struct("rank", "comment_id").alias("first")).filter("t <> ''").groupBy(*keys, "t").agg(F.min("first").alias("first"))
+    different = q.select(*keys, "q").distinct()
+    equal = different.join(t.withColumnRenamed("t", "q"), [*keys, "q"]).select(*keys, "q", "first", F.lit(0).alias("tier"))
+    left = different.join(equal, [*keys, "q"], "left_anti")
+    held = _contained(left, t, keys, None, 26, 1)
+    loose = _contained(left.join(held, [*keys, "q"], "left_anti"), t, keys, T.compacted, 22, 2)
+    found = equal.unionByName(held).unionByName(loose)
+    return q.join(found, [*keys, "q"]).select(*keys, "quote_id", F.col("first.comment_id").alias("comment_id"), "tier")
 
 
 def without_near_duplicates(ranked: DataFrame, group: str, threshold: float = 0.9) -> DataFrame:

@@ -295,12 +295,19 @@ def jsn_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "raw_payloads").select("payload_id", again["text_raw"].alias("text"))
 
 
-@query("join_15_quote_match", "SELECT q.id AS quote_id, min(c.comment_id) AS comment_id FROM toxic_training_data q JOIN raw_comments c ON c.video_id = q.video_id AND lower(q.text) = lower(c.text_raw) GROUP BY 1")
+_QUOTE = "CASE id % 5 WHEN 0 THEN text WHEN 1 THEN substring(text, 4, 60) WHEN 2 THEN replace(replace(substring(text, 3, 70), ',', ' —'), ' ', '  ') WHEN 3 THEN '«' || upper(text) || '»' ELSE replace(text, ' ', '') END"
+_NORM = lambda x: f"lower({squeeze_sql(x)})"
+_BARE = lambda x: f"regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+
+@query("join_15_quote_match", f"""WITH q AS (SELECT id, video_id, {_NORM(_QUOTE)} AS q FROM toxic_training_data WHERE text IS NOT NULL), c AS (SELECT comment_id, video_id, coalesce(like_count, 0) AS likes, {_NORM('text_raw')} AS t FROM raw_comments WHERE text_raw IS NOT NULL),
+m AS (SELECT q.id, comment_id, likes, CASE WHEN q = t THEN 0 WHEN length(q) >= 26 AND contains(t, q) THEN 1 WHEN length({_BARE('q')}) >= 22 AND contains({_BARE('t')}, {_BARE('q')}) THEN 2 END AS tier FROM q JOIN c USING (video_id) WHERE q <> '' AND t <> '')
+SELECT id AS quote_id, comment_id, tier FROM m WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, -likes, comment_id) = 1""")
 def join_15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes that equal a comment of their video; the looser matches are in the operator's tests."""
-    q = table(spark, sf_dir, "toxic_training_data").select("video_id", F.col("id").alias("quote_id"), F.lower("text").alias("t"))
-    c = table(spark, sf_dir, "raw_comments").select("video_id", "comment_id", F.lower("text_raw").alias("t"))
-    return q.join(c, ["video_id", "t"]).groupBy("quote_id").agg(F.min("comment_id").alias("comment_id"))
+    """Quotes, some shortened, with other marks, in capitals or without spaces, and the comment of their video that each came from."""
+    q = table(spark, sf_dir, "toxic_training_data").filter(F.col("text").isNotNull()).select("video_id", F.col("id").alias("quote_id"), F.expr(_QUOTE).alias("quote"))
+    c = table(spark, sf_dir, "raw_comments").filter(F.col("text_raw").isNotNull()).select("video_id", "comment_id", (-F.coalesce("like_count", F.lit(0))).alias("rank"), F.col("text_raw").alias("text"))
+    return K.matched_quotes(q, spread(c), ["video_id"]).select("quote_id", "comment_id", "tier")
 
 
 @query("win_14_near_duplicates")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skein.plans.registry import PLANS, SQL
 
 #: Modules that register queries when they are imported.
-MODULES = ("filters", "vectors", "reads", "analytics", "fitted", "more", "rest", "appeal_runs", "topic_runs", "pipeline")
+MODULES = ("filters", "vectors", "reads", "analytics", "fitted", "more", "rest", "appeal_runs", "topic_runs", "pipeline", "files")
 for _name in MODULES:
     import_module(f"skein.plans.{_name}")
 
