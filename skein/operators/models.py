@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions import parsing as P
@@ -109,3 +110,43 @@ def model_positions(comments: DataFrame, keys: Sequence[str], factory: Callable[
     near = C.nearest_two(rest, centers, "at", run=list(keys))
     joined = F.when(F.col("primary_cos") >= s.position_cosine, F.concat(F.lit("position_"), F.col("primary").cast("string"))).otherwise(UNDETERMINED)
     return named.unionByName(near.select(*keys, "id", joined.alias("position")))
+
+
+#: Why a row was not reviewed, by the words of the error that ended a run's calls.
+ENDINGS = (("reserved for topic labeling", "llm_reserved_for_labeling"), ("task quota reached", "llm_task_quota_fallback"), ("per-run call limit reached", "llm_max_calls_fallback"), ("budget", "llm_budget_fallback"))
+
+
+def moderation_decision(answer: Column, fallback_action: str = "flag", fallback_reason: str = "llm_invalid_fallback") -> Column:
+    """Struct of action, reason, score of an answer; unknown actions and blank reasons take the fallbacks, the score stays within 0 and 1."""
+    body = P.lenient_object(answer)
+    action, reason = (F.lower(F.trim(F.coalesce(F.get_json_object(body, f"$.{n}"), F.lit("")))) for n in ("action", "reason_code"))
+    score = F.coalesce(F.get_json_object(body, "$.score").try_cast("double"), F.lit(0.5))
+    return F.struct(
+        F.when(action.isin("keep", "flag", "drop"), action).otherwise(fallback_action).alias("action"), F.when(reason == "", fallback_reason).otherwise(reason).alias("reason"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"),
+    )
+
+
+def reviewed(candidates: DataFrame, run: str, id_col: str, prompt: str, factory: Callable[[], M.Answerer], most: int) -> DataFrame:
+    """Columns ``run``, ``id_col``, action, reason, source: borderline rows of each run after a model's review.
+
+    The first ``most`` rows of a run by id are asked, one call each; those beyond are flagged. A failed call flags
+    its row. An error that ends the run's calls, such as a spent budget, flags its row and all later ones
+    of the run with the error's reason, whatever tasks have asked in the meantime.
+    """
+    placed = candidates.withColumn("_place", F.row_number().over(W.partitionBy(run).orderBy(id_col)))
+    asked = placed.filter(F.col("_place") <= most)
+    a = asked.join(M.answered(asked.select(id_col, prompt), id_col, prompt, factory, batch=1), id_col)
+    ending = F.lit(None).cast("string")
+    for words, name in reversed(ENDINGS):
+        ending = F.when(F.contains(F.lower("error"), F.lit(words)), name).otherwise(ending)
+    a = a.withColumn("_ending", ending)
+    first = F.min(F.when(F.col("_ending").isNotNull(), F.struct(F.col("_place").alias("at"), F.col("_ending").alias("reason")))).alias("_end")
+    a = a.join(a.groupBy(run).agg(first), run, "left")
+    d = moderation_decision(F.col("answer"))
+    ended = F.coalesce(F.col("_place") >= F.col("_end.at"), F.lit(False))
+    told = a.select(
+        run, id_col, F.when(ended | F.col("error").isNotNull(), "flag").otherwise(d["action"]).alias("action"),
+        F.when(ended, F.col("_end.reason")).when(F.col("error").isNotNull(), "llm_error_fallback").otherwise(d["reason"]).alias("reason"), F.when(ended | F.col("error").isNotNull(), "fallback").otherwise("llm").alias("source"),
+    )
+    over = placed.filter(F.col("_place") > most)
+    return told.unionByName(over.select(run, id_col, F.lit("flag").alias("action"), F.lit("llm_review_cap_fallback").alias("reason"), F.lit("fallback").alias("source")))

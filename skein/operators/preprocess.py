@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,7 +80,9 @@ def preprocess(comments: DataFrame, videos: DataFrame, s: Settings = DEFAULT) ->
 
     The reasons are tried in a fixed order and duplicates are ranked, by video and text, only
     among comments that no earlier reason removed. The videos are joined by a broadcast that
-    Spark chooses by size. One shuffle, by video and text hash, ranks and counts duplicates.
+    Spark chooses by size. Duplicates are counted by partial aggregation and joined back. What the
+    counts and the rows both need is kept on the executors' disks (``persist``) until the session
+    frees it; a lost executor's part is worked out again.
     """
     c = comments.join(topic_tokens(videos), "video_id", "left")
     c = c.withColumns({"raw": T.stripped(F.coalesce("text_raw", F.lit("")))}).withColumn("text_normalized", T.normalized(F.col("raw"))).withColumn("w", T.words(F.col("text_normalized")))
@@ -112,9 +115,12 @@ def preprocess(comments: DataFrame, videos: DataFrame, s: Settings = DEFAULT) ->
     c = c.withColumn("ruled", ruled).withColumn("early", F.coalesce("early", F.when(F.col("ruled.action") == "drop", F.col("ruled.reason"))))
     key = F.when(F.length(t) > 0, t).otherwise(F.coalesce("text_raw", F.lit("")))
     c = c.withColumn("text_hash", T.text_hash(F.lower(key)))
+    c = c.withColumn("base", engagement_weight(F.col("like_count"), F.col("reply_count"), F.size(T.words(key)), F.col("published_at"), F.col("video_published_at"), s))
+    # what is known of a row alone is worked out once and kept on disk, as it is read for the counts and for the rows
+    c = c.select("comment_id", "video_id", "author_name", "text_normalized", "text_hash", "early", "ruled", "base").persist(StorageLevel.DISK_ONLY)
     c = with_repeats(c, ["video_id", "text_hash"], "comment_id", F.col("early").isNull())
     reason = F.coalesce("early", F.when(F.col("comment_id") > F.col("first_id"), "duplicate"))
-    weight = engagement_weight(F.col("like_count"), F.col("reply_count"), F.size(T.words(key)), F.col("published_at"), F.col("video_published_at"), s)
+    weight = F.col("base")
     flagged = F.least(F.lit(s.weight_max), weight * s.flagged_multiplier)
     kept = F.when(F.col("ruled.action") == "flag", flagged).otherwise(weight)
     boost = F.when(F.col("copies") > 1, F.least(F.lit(1.25), F.least(F.lit(7), F.col("copies") - 1) * 0.18)).otherwise(0.0)

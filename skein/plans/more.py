@@ -122,12 +122,6 @@ def snk_09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown_report(topics, "run")
 
 
-@query("agg_26_emotions", "SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(ban_reason, '_')) AS tag FROM banned_users WHERE ban_reason IS NOT NULL) GROUP BY 1")
-def agg_26(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "banned_users").filter(F.col("ban_reason").isNotNull())
-    return b.select(F.explode(F.split("ban_reason", "_")).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("lbl_08_merge_primary", "WITH " + POINTS + ", s AS (SELECT label % 5 AS topic, label, count(*) AS n, round(sum(weight), 4) AS w FROM p GROUP BY ALL) SELECT topic, label AS main FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY w DESC, n DESC, label) AS place FROM s) WHERE place = 1")
 def lbl_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = points(spark, sf_dir).groupBy((F.col("label") % 5).alias("topic"), "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 4).alias("w"))

@@ -22,6 +22,7 @@ from skein.plans.analytics import AUTHOR, FIRST, LIKED, _q, keyword_sql, title_s
 from skein.plans.filters import _FULL, like_sql, preprocessed, squeeze_sql, words_sql
 from skein.plans.registry import query
 from skein.plans.topic_runs import TOPICS, _points, members, quoted, topics
+from skein.settings import DEFAULT as S
 from skein.sources import spread, table
 
 
@@ -48,6 +49,46 @@ def flt_22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.filter((F.col("low") != "") & ~F.col("low").rlike(A.OFFENSIVE_DISAGREEMENT)).select("video_id", "id")
 
 
+_VERDICT = """CASE comment_id % 6 WHEN 0 THEN '{"action": "drop", "reason_code": "Insult ", "score": 1.7}' WHEN 1 THEN '{"action": " KEEP", "score": "0.2"}' WHEN 2 THEN '```json' || chr(10) || '{"action": "flag", "reason_code": "heat", "score": -1}' || chr(10) || '```' WHEN 3 THEN '{"action": "maybe", "reason_code": "odd", "score": "high"}' WHEN 4 THEN 'no idea' ELSE '{"action": "keep", "reason_code": "fine"}' END"""
+_VERDICT_SQL = """CASE comment_id % 6 WHEN 0 THEN {'action': 'drop', 'reason': 'insult', 'score': 1.0::DOUBLE} WHEN 1 THEN {'action': 'keep', 'reason': 'llm_invalid_fallback', 'score': 0.2::DOUBLE} WHEN 2 THEN {'action': 'flag', 'reason': 'heat', 'score': 0.0::DOUBLE} WHEN 3 THEN {'action': 'flag', 'reason': 'odd', 'score': 0.5::DOUBLE} WHEN 4 THEN {'action': 'flag', 'reason': 'llm_invalid_fallback', 'score': 0.5::DOUBLE} ELSE {'action': 'keep', 'reason': 'fine', 'score': 0.5::DOUBLE} END"""
+
+
+@query("flt_17_parsed_decisions", f"SELECT comment_id, d.action, d.reason, d.score FROM (SELECT comment_id, {_VERDICT_SQL} AS d FROM raw_comments)")
+def flt_17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of a model, parsed: odd actions are flags, scores stay within 0 and 1."""
+    d = M2.moderation_decision(F.expr(_VERDICT))
+    return table(spark, sf_dir, "raw_comments").select("comment_id", d.alias("d")).select("comment_id", "d.action", "d.reason", "d.score")
+
+
+@query("flt_16_reviewed_decisions", f"""WITH b AS (SELECT video_id, comment_id, row_number() OVER (PARTITION BY video_id ORDER BY comment_id) AS place FROM ({_FULL}) WHERE moderation_reason = 'borderline_for_llm'), e AS (SELECT video_id, min(place) AS stop FROM b WHERE place <= {S.max_reviews} AND comment_id % 101 = 0 GROUP BY 1), d AS (SELECT b.*, {_VERDICT_SQL} AS d FROM b)
+SELECT comment_id, CASE WHEN place > {S.max_reviews} OR place >= stop OR comment_id % 19 = 0 THEN 'flag' ELSE d.action END AS action, CASE WHEN place > {S.max_reviews} THEN 'llm_review_cap_fallback' WHEN place >= stop THEN 'llm_task_quota_fallback' WHEN comment_id % 19 = 0 THEN 'llm_error_fallback' ELSE d.reason END AS reason FROM d LEFT JOIN e USING (video_id)""")
+def flt_16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Borderline comments of each video after a model's review, whose calls fail now and then, and for some videos end with the quota."""
+
+    def factory() -> M.Answerer:
+        def ask(prompts: list[str]) -> list[str | None]:
+            n, answer = prompts[0].split("|", 1)
+            if int(n) % 101 == 0:
+                raise RuntimeError("Task quota reached")
+            if int(n) % 19 == 0:
+                raise ConnectionError("no route")
+            return [answer]
+
+        return ask
+
+    b = preprocessed(spark, sf_dir).filter("moderation_reason = 'borderline_for_llm'").select("video_id", "comment_id")
+    prompts = b.withColumn("prompt", F.concat_ws("|", F.col("comment_id").cast("string"), F.expr(_VERDICT)))
+    return M2.reviewed(prompts, "video_id", "comment_id", "prompt", factory, S.max_reviews).select("comment_id", "action", "reason")
+
+
+@query("agg_26_emotions", f"""WITH {TOPICS}, e AS (SELECT run, lower(trim(unnest(CASE sentiment WHEN 'negative' THEN ['тревога', 'раздражение'] WHEN 'positive' THEN ['поддержка', ' Тревога'] ELSE []::VARCHAR[] END))) AS tag FROM topics) SELECT run, tag, count(*) AS n FROM e GROUP BY ALL""")
+def agg_26(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emotion tags of the topics of each run with their counts."""
+    mood = F.col("sentiment")
+    tags = F.when(mood == "negative", F.array(F.lit("тревога"), F.lit("раздражение"))).when(mood == "positive", F.array(F.lit("поддержка"), F.lit(" Тревога")))
+    return topics(spark, sf_dir).select("run", F.explode(tags).alias("tag")).groupBy("run", F.lower(F.trim("tag")).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- labels by rule ----------------------------------------------------------------------------------
 
 _WORDS = keyword_sql("0.0::DOUBLE", (*K.STOPWORDS, *K.LOW_VALUE), most=4, first=FIRST)

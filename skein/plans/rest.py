@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
@@ -16,28 +15,8 @@ from skein.operators import topic_runs as R
 from skein.plans.filters import like_sql, squeeze_sql, words_sql
 from skein.plans.registry import query
 from skein.plans.vectors import POINTS, points
-from skein.settings import DEFAULT as S
 from skein.sources import spread, table
 
-@query("flt_16_reviewed_decisions", "WITH r AS (SELECT id, video_id, confidence_score, row_number() OVER (PARTITION BY video_id ORDER BY confidence_score DESC, id) AS place FROM toxic_training_data) SELECT id, CASE WHEN place > 300 THEN 'flag' WHEN confidence_score >= 0.8 THEN 'drop' WHEN confidence_score >= 0.4 THEN 'flag' ELSE 'keep' END AS action FROM r")
-def flt_16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews of a video up to the limit of a run; rows beyond it are flagged unseen."""
-    t = table(spark, sf_dir, "toxic_training_data").select("id", "video_id", "confidence_score")
-    place = F.row_number().over(W.partitionBy("video_id").orderBy(F.desc("confidence_score"), "id"))
-    c = F.col("confidence_score")
-    return t.withColumn("place", place).select("id", F.when(F.col("place") > S.max_reviews, "flag").when(c >= 0.8, "drop").when(c >= 0.4, "flag").otherwise("keep").alias("action"))
-
-
-@query("flt_17_parsed_decisions", "SELECT id, CASE WHEN id % 3 = 0 THEN 'keep' ELSE 'drop' END AS action, round(least(1.0, confidence_score * 2), 6) AS score FROM toxic_training_data")
-def flt_17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions as JSON: an unknown action is keep, the score is kept within 0 and 1."""
-    t = table(spark, sf_dir, "toxic_training_data")
-    answer = F.to_json(F.struct(F.when(F.col("id") % 3 == 0, "maybe").otherwise("DROP").alias("action"), (F.col("confidence_score") * 2).alias("score")))
-    d = t.select("id", F.from_json(answer, "action string, score double").alias("d"))
-    action = F.lower(F.trim("d.action"))
-    return d.select("id", F.when(action.isin("keep", "flag", "drop"), action).otherwise("keep").alias("action"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("d.score", F.lit(0.5)))), 6).alias("score"))
-
-
 @query("flt_23_video_candidates", "SELECT id FROM videos WHERE regexp_matches(lower(title), 'разбор|эфир') AND (duration_seconds IS NULL OR duration_seconds >= 120)")
 def flt_23(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("duration_seconds")
