@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.abuse import sentences
 from skein.llm.fold import slices
-from skein.llm.store import dropped, joined, written
+from skein.llm.store import CHUNK, dropped, joined, written
 
 #: Rounds after which sentences that still change are an error.
 ROUNDS = 60
@@ -178,7 +178,6 @@ def subject_lists(documents: DataFrame, labels: DataFrame, definitions: DataFram
         whole, whole_path = written(_evidence(graph, told, seeds), "whole")
         y = graph.terms.join(whole, "sentence").select("term", "subject", "y").unionByName(given).groupBy("term", "subject").agg(F.sum("y").alias("y"))
         y = y.groupBy("term").agg(F.sum("y").alias("n"), F.collect_list(F.struct("subject", "y")).alias("all")).filter(F.col("n") >= SUPPORT)  # one entry a subject
-        y, y_path = written(y, "shares")
         p = (F.col("of.y") + PRIOR * even) / (F.col("n") + PRIOR)
         likely = y.select("term", "n", F.explode("all").alias("of")).filter(p >= enough).select("term", F.col("of.subject").alias("subject"), p.alias("p"))
         usual = graph.arounds.join(y.select(F.col("term").alias("around"), F.map_from_entries("all").alias("ys"), F.col("n").alias("usual")), "around", "left")
@@ -186,7 +185,9 @@ def subject_lists(documents: DataFrame, labels: DataFrame, definitions: DataFram
         base = (F.coalesce(F.try_element_at("ys", F.col("subject")), F.lit(0.0)) + PRIOR * even) / (F.coalesce("usual", F.lit(0.0)) + PRIOR)
         # what is itself the most frequent word around has no surroundings to compare with
         base = F.when(F.col("around") == F.col("term"), F.lit(even)).otherwise(base)
-        verified, verified_path = written(likely.filter(F.col("p") >= base + SHARE * (1 - base)).select("term", "c", "subject", "p"), "verified")
+        verified, verified_path = likely.filter(F.col("p") >= base + SHARE * (1 - base)).select("term", "c", "subject", "p"), None
+        if graph.n_terms > CHUNK:  # it is read twice then
+            verified, verified_path = written(verified, "verified")
         best = joined(graph.terms.select("sentence", "term"), verified, ["term"], graph.n_terms).groupBy("sentence", "subject").agg(F.max("p").alias("p"))
         n = whole.groupBy("sentence").agg(F.sum("y").alias("n")).filter(F.col("n") >= WHOLE)
         best = best.join(whole, ["sentence", "subject"], "left").join(n, "sentence", "left")
@@ -200,7 +201,7 @@ def subject_lists(documents: DataFrame, labels: DataFrame, definitions: DataFram
             both, both_path = written(both, "told")
             dropped(spark, new_path)
             new, new_path, circle = both, both_path, True
-        dropped(spark, told_path, whole_path, y_path, verified_path)
+        dropped(spark, *filter(None, (told_path, whole_path, verified_path)))
         told, told_path = new, new_path
         if state == before or circle:
             break
