@@ -64,7 +64,8 @@ def unified(c: Column, most: int) -> Column:
         scored = F.contains(low, F.lit(":"))
         kind = F.when(scored, F.trim(F.regexp_replace(low, ":[^:]*$", ""))).otherwise(low)
         default = F.when(kind.isin(*SCORED), 5).otherwise(0)
-        score = F.when(scored, F.coalesce(_within(F.trim(F.regexp_extract(low, ":([^:]*)$", 1)).try_cast("int"), 1, 10), default)).otherwise(default)
+        given = F.trim(F.regexp_extract(low, ":([^:]*)$", 1)).try_cast("int")
+        score = F.when(scored & given.isNotNull(), _within(given, 1, 10)).otherwise(default)
         return F.struct(e["number"].alias("number"), kind.alias("category"), score.cast("int").alias("score"))
 
     return _each(c, most, one, lambda r: r["category"].isin(*CATEGORIES))

@@ -138,10 +138,10 @@ def _contained(quotes: DataFrame, texts: DataFrame, keys: Sequence[str], form: C
     Both are indexed by least hashes of windows, of which a contained text shares its first one, so a quote is
     compared only with texts that hold that piece, never with all comments of its group.
     """
-    q = quotes.withColumn("f", _formed(form, "q")).filter(F.length("f") >= least)
-    q = q.withColumn("h", F.element_at(_least_hashes(F.substring("f", 1, PIECE + WINDOW - 1)), 1))
-    t = texts.withColumn("g", _formed(form, "t")).filter(F.length("g") >= least).withColumn("h", F.explode(F.array_distinct(_least_hashes(F.col("g")))))
-    j = q.join(t, [*keys, "h"]).filter(F.contains("g", "f"))
+    q = quotes.withColumn("_f", _formed(form, "q")).filter(F.length("_f") >= least)
+    q = q.withColumn("_h", F.element_at(_least_hashes(F.substring("_f", 1, PIECE + WINDOW - 1)), 1))
+    t = texts.withColumn("_g", _formed(form, "t")).filter(F.length("_g") >= least).withColumn("_h", F.explode(F.array_distinct(_least_hashes(F.col("_g")))))
+    j = q.join(t, [*keys, "_h"]).filter(F.contains("_g", "_f"))
     return j.groupBy(*keys, "q").agg(F.min("first").alias("first"), F.lit(tier).alias("tier"))
 
 

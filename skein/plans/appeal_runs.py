@@ -127,7 +127,7 @@ _CAT = "lower(trim(json_extract_string(e, '$')))"
 
 
 @query("jsn_03_unified", f"""WITH {told_sql(UNIFIED, _TOXIC)}, z AS (SELECT id, {_CAT} AS v, trim(regexp_replace({_CAT}, ':[^:]*$', '')) AS category FROM x WHERE e IS NOT NULL)
-SELECT id, category, CASE WHEN contains(v, ':') THEN coalesce(greatest(1, least(10, TRY_CAST(trim(regexp_extract(v, ':([^:]*)$', 1)) AS INT))), CASE WHEN category IN ('criticism', 'question') THEN 5 ELSE 0 END) WHEN category IN ('criticism', 'question') THEN 5 ELSE 0 END AS score FROM z WHERE category IN ({", ".join(map(_q, N.CATEGORIES))})""")
+SELECT id, category, CASE WHEN contains(v, ':') AND TRY_CAST(trim(regexp_extract(v, ':([^:]*)$', 1)) AS INT) IS NOT NULL THEN greatest(1, least(10, TRY_CAST(trim(regexp_extract(v, ':([^:]*)$', 1)) AS INT))) WHEN category IN ('criticism', 'question') THEN 5 ELSE 0 END AS score FROM z WHERE category IN ({", ".join(map(_q, N.CATEGORIES))})""")
 def jsn_03_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _answers(spark, sf_dir, UNIFIED).select("id", F.explode(N.unified(F.col("answer"), BATCH)).alias("r"))
     return r.select("id", "r.category", "r.score")
