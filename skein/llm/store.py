@@ -8,48 +8,28 @@ are removed once the next round has its own; a table that a lazy result reads is
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.sources.scratch import hadoop, shared_dir
+
 #: Rows of one key that one task of a shuffle join may take. Keys with more are joined without a shuffle.
 CHUNK = 1_000_000
 #: Keys in one broadcast. Keys with more than CHUNK rows are at most rows / CHUNK: one broadcast for 10^11 rows.
 BLOCK = 100_000
 
-_own: dict[str, str] = {}
 _kept: set[str] = set()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see; an error on a cluster that names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not (spark.sparkContext.master + "[").startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
-    if "dir" not in _own:
-        _own["dir"] = tempfile.mkdtemp(prefix="skein-")
-        atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
-    return f"file://{_own['dir']}"
-
-
-def _at(spark: SparkSession, path: str) -> tuple:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """``df`` after a round trip through a Parquet table of the shared folder, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skein/{tag}-{uuid.uuid4().hex}"
     _kept.add(path)
     df.write.parquet(path)
-    files, p = _at(spark, path)
+    files, p = hadoop(spark, path)
     files.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -57,12 +37,18 @@ def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
 def dropped(spark: SparkSession, *paths: str) -> None:
     """Remove tables that no later plan reads."""
     for path in paths:
-        files, p = _at(spark, path)
+        files, p = hadoop(spark, path)
         files.delete(p, True)
         files.cancelDeleteOnExit(p)
         _kept.discard(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Let the driver forget the plans and broadcasts of a round: they are kept until it collects garbage,
+    which a driver with rounds of small plans would put off until its memory is full."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def released(spark: SparkSession) -> int:
     """Remove the tables of all results so far, which must not be read any more; gives their number."""
     n = len(_kept)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.abuse import sentences
 from skein.llm.fold import slices
-from skein.llm.store import CHUNK, dropped, joined, written
+from skein.llm.store import CHUNK, dropped, joined, swept, written
 
 #: Rounds after which sentences that still change are an error.
 ROUNDS = 60
@@ -128,7 +128,7 @@ class Graph:
 
 
 def _evidence(graph: Graph, told: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Columns sentence, subject, y: the weight of each sentence's documents by subject.
+    """Columns sentence, all (subject and y: the weight of the sentence's documents by subject), n (their sum).
 
     A document has one unit, divided among its seeds, which stay, or else among the subjects of
     its other sentences: a sentence is no evidence for itself.
@@ -142,7 +142,8 @@ def _evidence(graph: Graph, told: DataFrame, seeds: DataFrame) -> DataFrame:
     own = F.coalesce(F.array_contains("subjects", F.col("subject")), F.lit(False)).cast("int") * F.col("times")
     rest = F.col("total") - F.coalesce(F.size("subjects"), F.lit(0)) * F.col("times")
     y = F.when(F.col("total").isNull(), F.col("m")).when(rest > 0, (F.col("m") - own) / rest)
-    return each.select("sentence", "subject", y.alias("y")).filter(F.col("y") > 0).groupBy("sentence", "subject").agg(F.sum("y").alias("y"))
+    whole = each.select("sentence", "subject", y.alias("y")).filter(F.col("y") > 0).groupBy("sentence", "subject").agg(F.sum("y").alias("y"))
+    return whole.groupBy("sentence").agg(F.collect_list(F.struct("subject", "y")).alias("all"), F.sum("y").alias("n"))  # one entry a subject
 
 
 def subject_lists(documents: DataFrame, labels: DataFrame, definitions: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -176,7 +177,7 @@ def subject_lists(documents: DataFrame, labels: DataFrame, definitions: DataFram
     state, seen, circle = _print_of(told), set(), False
     for _ in range(rounds):
         whole, whole_path = written(_evidence(graph, told, seeds), "whole")
-        y = graph.terms.join(whole, "sentence").select("term", "subject", "y").unionByName(given).groupBy("term", "subject").agg(F.sum("y").alias("y"))
+        y = graph.terms.join(whole.select("sentence", F.explode("all").alias("a")).select("sentence", "a.subject", "a.y"), "sentence").select("term", "subject", "y").unionByName(given).groupBy("term", "subject").agg(F.sum("y").alias("y"))
         y = y.groupBy("term").agg(F.sum("y").alias("n"), F.collect_list(F.struct("subject", "y")).alias("all")).filter(F.col("n") >= SUPPORT)  # one entry a subject
         p = (F.col("of.y") + PRIOR * even) / (F.col("n") + PRIOR)
         likely = y.select("term", "n", F.explode("all").alias("of")).filter(p >= enough).select("term", F.col("of.subject").alias("subject"), p.alias("p"))
@@ -189,10 +190,10 @@ def subject_lists(documents: DataFrame, labels: DataFrame, definitions: DataFram
         if graph.n_terms > CHUNK:  # it is read twice then
             verified, verified_path = written(verified, "verified")
         best = joined(graph.terms.select("sentence", "term"), verified, ["term"], graph.n_terms).groupBy("sentence", "subject").agg(F.max("p").alias("p"))
-        n = whole.groupBy("sentence").agg(F.sum("y").alias("n")).filter(F.col("n") >= WHOLE)
-        best = best.join(whole, ["sentence", "subject"], "left").join(n, "sentence", "left")
-        best = best.groupBy("sentence").agg(F.max("p").alias("top"), F.collect_list(F.struct("subject", "p", (F.coalesce("y", F.lit(0.0)) < figure * F.col("n")).alias("figure"))).alias("all"))
-        kept = F.filter("all", lambda x: (x["p"] >= F.col("top") - BELOW) & ~F.coalesce(x["figure"], F.lit(False)))
+        best = best.groupBy("sentence").agg(F.max("p").alias("top"), F.collect_list(F.struct("subject", "p")).alias("likely"))  # one entry a subject
+        best = best.join(whole.filter(F.col("n") >= WHOLE).select("sentence", "n", F.map_from_entries("all").alias("ys")), "sentence", "left")
+        figure_of = lambda x: F.coalesce(F.coalesce(F.try_element_at("ys", x["subject"]), F.lit(0.0)) < figure * F.col("n"), F.lit(False))
+        kept = F.filter("likely", lambda x: (x["p"] >= F.col("top") - BELOW) & ~figure_of(x))
         new = best.select("sentence", F.array_sort(F.transform(kept, lambda x: x["subject"])).alias("subjects")).filter(F.size("subjects") > 0)
         new, new_path = written(new, "told")
         before, state = state, _print_of(new)
@@ -202,6 +203,7 @@ def subject_lists(documents: DataFrame, labels: DataFrame, definitions: DataFram
             dropped(spark, new_path)
             new, new_path, circle = both, both_path, True
         dropped(spark, *filter(None, (told_path, whole_path, verified_path)))
+        swept(spark)
         told, told_path = new, new_path
         if state == before or circle:
             break
