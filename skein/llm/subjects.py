@@ -109,18 +109,25 @@ class Graph:
         #: Documents of each sentence.
         self.sizes, _ = written(self.has.groupBy("sentence").agg(F.count(F.lit(1)).alias("c")), "sizes")
         terms, terms_path = written(rows.filter(F.col("terms").isNotNull()).select("sentence", F.explode("terms").alias("term")).distinct(), "terms")
-        held = terms.join(self.sizes, "sentence").groupBy("term").agg(F.count(F.lit(1)).alias("c"), F.sum("c").alias("n")).filter(F.col("n") >= SUPPORT)
-        held, held_path = written(held, "held")
+        same = [F.sum(F.xxhash64(F.lit(h), "sentence").bitwiseAND(0x7FFFFFFFFF)).alias(f"h{h}") for h in (1, 2)]
+        held = terms.join(self.sizes, "sentence").groupBy("term").agg(F.count(F.lit(1)).alias("c"), F.sum("c").alias("n"), *same).filter(F.col("n") >= SUPPORT)
+        #: Phrases with their number of sentences (c) and documents (n), and a print of the set of their sentences.
+        self.all_held, held_path = written(held, "held")
+        # phrases of the same sentences have the same links and weights, so one of them stands for all
+        alike = self.all_held.groupBy("c", "n", "h1", "h2").agg(F.min("term").alias("term"))
+        alike, alike_path = written(alike, "alike")
         #: Which sentence holds which phrase.
-        self.terms, _ = written(joined(terms, held.select("term", "c", "n"), ["term"], terms.count()), "terms")
+        self.terms, _ = written(joined(terms, alike.select("term", "c", "n"), ["term"], terms.count()), "terms")
+        self.alike = alike
         self.n_terms = self.terms.count()
         # the usual surroundings of a phrase: what is most often the most frequent word of its sentences
         tops = self.terms.groupBy("sentence").agg(F.max(F.struct("n", "term")).getField("term").alias("around"))
         near = self.terms.join(tops, "sentence").groupBy("term", "around").agg(F.count(F.lit(1)).alias("m")).groupBy("term").agg(F.max(F.struct("m", "around")).getField("around").alias("around"))
         #: Number of sentences (c) and surroundings of each phrase.
-        self.held, _ = written(held.select("term", "c").join(near, "term"), "held")
+        self.held, _ = written(alike.select("term", "c").join(near, "term"), "held")
         self.arounds, _ = written(self.held.groupBy("around").agg(F.count(F.lit(1)).alias("c")), "arounds")
-        dropped(self.spark, terms_path, held_path)
+        dropped(self.spark, terms_path)
+        self.aside = (held_path, alike_path)
 
     def with_subjects(self, told: DataFrame) -> DataFrame:
         """Columns doc, sentence, times, subjects (null where the sentence has none)."""
@@ -172,7 +179,10 @@ def subject_lists(documents: DataFrame, labels: DataFrame, definitions: DataFram
     several = seeds.groupBy("doc").agg((1 / F.count(F.lit(1))).alias("share"))
     seeds, seeds_path = written(seeds.join(several, "doc"), "seeds")
     given = sentence_terms(definitions.select(number[F.col("subject")].cast("bigint").alias("k"), F.col("text").alias("t")), "k", "t")
-    given, given_path = written(given.select(F.explode("terms").alias("term"), F.col("doc").cast("int").alias("subject")).distinct().withColumn("y", F.lit(KNOWN)), "definitions")
+    given = given.select(F.explode("terms").alias("term"), F.col("doc").cast("int").alias("subject")).distinct()
+    given = graph.all_held.join(given, "term").drop("term").join(graph.alike, ["c", "n", "h1", "h2"])  # a definition's words are few
+    given, given_path = written(given.select("term", "subject", F.lit(KNOWN).alias("y")).distinct(), "definitions")
+    dropped(spark, *graph.aside)
     told, told_path = written(spark.createDataFrame([], "sentence bigint, subjects array<int>"), "told")
     state, seen, circle = _print_of(told), set(), False
     for _ in range(rounds):
