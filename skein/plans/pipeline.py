@@ -429,3 +429,68 @@ def src_11(spark: SparkSession, sf_dir: str) -> DataFrame:
     prior = pairs.select("run", p.alias("p")).select("run", F.col("p.run").alias("prior"), F.explode("p.top_topics").alias("j"))
     o = F.from_json("j", "key string, label string, weighted_share double, bad string", {"columnNameOfCorruptRecord": "bad"})
     return prior.select("run", "prior", o.alias("o")).filter("o.bad IS NULL").select("run", "prior", "o.key", "o.label", F.round("o.weighted_share", 4).alias("weighted_share"))
+
+
+# --- smaller parts -------------------------------------------------------------------------------------
+
+
+@query("snk_19_guest_upsert", """WITH n AS (SELECT video_id, guest_names FROM video_settings UNION ALL SELECT id, CASE WHEN id % 2 = 0 THEN ' Анна ,, Пётр  , ' END FROM videos WHERE id % 5 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY (guest_names IS NOT DISTINCT FROM ' Анна ,, Пётр  , ' OR (video_id % 5 = 0 AND video_id % 2 = 1 AND guest_names IS NULL)) DESC) AS place FROM n)
+SELECT video_id, nullif(array_to_string(list_filter(list_transform(string_split(coalesce(CASE WHEN video_id % 5 = 0 AND video_id IN (SELECT id FROM videos) THEN CASE WHEN video_id % 2 = 0 THEN ' Анна ,, Пётр  , ' END ELSE guest_names END, ''), ','), lambda x: trim(x)), lambda x: x <> ''), ', '), '') AS guests FROM r WHERE place = 1""")
+def snk_19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guest names of each video after new ones are set: trimmed, without blanks, null where none is left."""
+    old = table(spark, sf_dir, "video_settings").select("video_id", "guest_names", F.lit(0).alias("at"))
+    new = table(spark, sf_dir, "videos").filter("id % 5 = 0").select(F.col("id").alias("video_id"), F.when(F.col("id") % 2 == 0, " Анна ,, Пётр  , ").alias("guest_names"), F.lit(1).alias("at"))
+    last = old.unionByName(new).groupBy("video_id").agg(F.max_by(F.struct("guest_names"), "at").alias("s"))
+    return last.select("video_id", F.nullif(F.array_join(A.guest_names(F.col("s.guest_names")), ", "), F.lit("")).alias("guests"))
+
+
+@query("flt_33_question_partition", """WITH q AS (SELECT id, CASE id % 4 WHEN 0 THEN 'attack_ragebait' WHEN 1 THEN 'clarification_needed' WHEN 2 THEN 'fact_check' END AS kind, (id % 9)::INT AS score, contains(text, '?') AS signal FROM toxic_training_data WHERE text IS NOT NULL) SELECT id, NOT coalesce(kind = 'attack_ragebait' OR (kind = 'clarification_needed' AND score <= 5 AND NOT signal), false) AS is_kept FROM q""")
+def flt_33(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions that stay after the refiner; those of low value, or mere clarifications without a signal, are demoted."""
+    n = F.col("id") % 4
+    q = table(spark, sf_dir, "toxic_training_data").filter(F.col("text").isNotNull()).select("id", F.lit("question").alias("category"), F.when(n == 0, "attack_ragebait").when(n == 1, "clarification_needed").when(n == 2, "fact_check").alias("kind"), (F.col("id") % 9).cast("int").alias("score"), F.col("text").contains("?").alias("signal"))
+    return A.promoted(q, F.col("category"), F.col("signal"), F.col("kind"), F.col("score")).select("id", (F.col("category") == "question").alias("is_kept"))
+
+
+@query("sup_03_keyword_sentences", f"""WITH {keyword_sql(LIKED, (*K.LABEL_STOPWORDS, *K.LABEL_LOW_VALUE))}, k AS (SELECT video_id, string_agg(token, ', ' ORDER BY place) AS ks FROM r GROUP BY 1), c AS (SELECT video_id, count(*) AS m FROM raw_comments GROUP BY 1) SELECT video_id, CASE WHEN ks IS NULL THEN '{NO_MARKERS}' ELSE '{MARKERS}' || ks || '.' END AS sentence, greatest(8, least(40, m)) AS quote_limit FROM c LEFT JOIN k USING (video_id)""")
+def sup_03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence of keywords that goes with a description, and how many quotes a cluster may show."""
+    c = spread(table(spark, sf_dir, "raw_comments")).withColumn("weight", 1 + F.coalesce("like_count", F.lit(0)).cast("double"))
+    words = K.keywords(c, ["video_id"], "text_raw", "weight").groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]), ", ").alias("ks"))
+    j = c.groupBy("video_id").agg(F.count(F.lit(1)).alias("m")).join(words, "video_id", "left")
+    sentence = F.when(F.col("ks").isNull(), NO_MARKERS).otherwise(F.concat(F.lit(MARKERS), "ks", F.lit(".")))
+    return j.select("video_id", sentence.alias("sentence"), F.greatest(F.lit(8), F.least(F.lit(40), F.col("m"))).alias("quote_limit"))
+
+
+@query("sup_04_disable_events", "WITH e AS (SELECT event_type AS run, event_id, CASE event_id % 3 WHEN 0 THEN 'budget_exceeded' WHEN 1 THEN 'rate_limited' END AS reason FROM events WHERE event_id % 50 < 3) SELECT run, min_by(reason, event_id) AS first_reason, count(*) AS n_events FROM e WHERE reason IS NOT NULL GROUP BY run")
+def sup_04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why the model was first disabled in each run, and how often."""
+    n = F.col("event_id") % 3
+    e = table(spark, sf_dir, "events").filter("event_id % 50 < 3").select(F.col("event_type").alias("run"), "event_id", F.when(n == 0, "budget_exceeded").when(n == 1, "rate_limited").alias("reason"))
+    return e.filter("reason IS NOT NULL").groupBy("run").agg(F.min_by("reason", "event_id").alias("first_reason"), F.count(F.lit(1)).alias("n_events"))
+
+
+@query("sup_05_moderation_summary", f"SELECT video_id, count(*) AS total, count(*) FILTER (is_filtered) AS dropped, count(*) FILTER (NOT is_filtered AND moderation_action = 'flag') AS flagged, count(*) FILTER (moderation_reason = 'borderline_for_llm') AS borderline FROM ({_FULL}) GROUP BY video_id")
+def sup_05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What moderation did to the comments of each video."""
+    f = F.col("is_filtered")
+    return preprocessed(spark, sf_dir).groupBy("video_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(f).alias("dropped"), F.count_if(~f & (F.col("moderation_action") == "flag")).alias("flagged"), F.count_if(F.col("moderation_reason") == "borderline_for_llm").alias("borderline"))
+
+
+@query("brf_07_polished_summaries", f"""WITH {TOPICS}, r AS (SELECT DISTINCT run FROM topics) SELECT run, CASE WHEN run % 2 = 0 THEN 'Итог выпуска ' || run ELSE 'rule' END AS summary FROM r""")
+def brf_07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries polished by a model; where it fails, or answers without a summary, the rule's stays (shown here as its kind)."""
+
+    def factory() -> M.Answerer:
+        def ask(prompts: list[str]) -> list[str | None]:
+            n = int(prompts[0].split("|")[0])
+            if n == 1:
+                raise ConnectionError("no route")
+            return ['{"executive_summary": "Итог выпуска %d"}' % n if n % 2 == 0 else '{"executive_summary": " "}']  # noqa: UP031
+
+        return ask
+
+    s = R.executive_summary(topics(spark, sf_dir).withColumn("label", F.col("title")), "run").withColumn("prompt", F.concat_ws("|", F.col("run").cast("string"), "summary"))
+    a = M.answered(s, "run", "prompt", factory, batch=1)
+    told = F.nullif(T.squeezed(F.get_json_object(P.lenient_object("answer"), "$.executive_summary")), F.lit(""))
+    return M.with_fallback(s, a, "run", told, F.lit("rule"), "polished").select("run", F.col("polished").alias("summary"))
