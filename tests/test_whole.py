@@ -10,9 +10,9 @@ import pytest
 
 from compare import database, same_rows
 from skein.operators import clusters, fit
-from skein.plans import catalog, reads, rest
+from skein.plans import catalog, pipeline, reads
 
-PLANS = catalog.queries()
+PLANS, SQL = catalog.queries(), catalog.oracle_sql()
 R = np.random.default_rng(3)
 
 
@@ -125,10 +125,12 @@ def test_large_split_goes_by_confidence_ambiguity_and_nearness_of_parts():
 
 @pytest.mark.parametrize("most", [300, 3])
 def test_rows_are_reviewed_up_to_the_limit_and_flagged_beyond(spark, sf, con, monkeypatch, most):
-    monkeypatch.setattr(rest, "S", dataclasses.replace(rest.S, max_reviews=most))
-    sql = f"""SELECT id, CASE WHEN row_number() OVER (PARTITION BY video_id ORDER BY confidence_score DESC, id) > {most} THEN 'flag' WHEN confidence_score >= 0.8 THEN 'drop'
-    WHEN confidence_score >= 0.4 THEN 'flag' ELSE 'keep' END AS action FROM toxic_training_data"""
-    same_rows(PLANS["flt_16_reviewed_decisions"](spark, sf), con, sql)
+    monkeypatch.setattr(pipeline, "S", dataclasses.replace(pipeline.S, max_reviews=most))
+    beyond = f"""SELECT comment_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY comment_id) AS place FROM ({SQL["flt_01_preprocess"]}) WHERE moderation_reason = 'borderline_for_llm') WHERE place > {most}"""
+    out = PLANS["flt_16_reviewed_decisions"](spark, sf)
+    assert out.filter("action = 'flag' AND reason = 'llm_review_cap_fallback'").count() == out.filter("reason = 'llm_review_cap_fallback'").count()
+    same_rows(out.filter("reason = 'llm_review_cap_fallback'").select("comment_id"), con, beyond)
+    assert most > 100 or out.filter("reason = 'llm_review_cap_fallback'").count() > 0
 
 
 # --- groups of given labels -------------------------------------------------------------------
