@@ -128,6 +128,7 @@ class Graph:
         self.arounds, _ = written(self.held.groupBy("around").agg(F.count(F.lit(1)).alias("c")), "arounds")
         dropped(self.spark, terms_path)
         self.aside = (held_path, alike_path)
+        swept(self.spark)
 
     def with_subjects(self, told: DataFrame) -> DataFrame:
         """Columns doc, sentence, times, subjects (null where the sentence has none)."""
@@ -187,6 +188,7 @@ def subject_lists(documents: DataFrame, labels: DataFrame, definitions: DataFram
     state, seen, circle = _print_of(told), set(), False
     for _ in range(rounds):
         whole, whole_path = written(_evidence(graph, told, seeds), "whole")
+        swept(spark)
         y = graph.terms.join(whole.select("sentence", F.explode("all").alias("a")).select("sentence", "a.subject", "a.y"), "sentence").select("term", "subject", "y").unionByName(given).groupBy("term", "subject").agg(F.sum("y").alias("y"))
         y = y.groupBy("term").agg(F.sum("y").alias("n"), F.collect_list(F.struct("subject", "y")).alias("all")).filter(F.col("n") >= SUPPORT)  # one entry a subject
         p = (F.col("of.y") + PRIOR * even) / (F.col("n") + PRIOR)
