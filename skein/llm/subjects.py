@@ -26,6 +26,8 @@ BELOW = 0.25
 WHOLE, WHOLE_SHARE = 8.0, 0.31
 #: Documents that the definition of a subject counts as.
 KNOWN = 6.0
+#: Weights are rounded, as the last bits of a sum depend on the order in which tasks end.
+DIGITS = 9
 #: Sentences that a task remembers to have given the terms of.
 KEPT = 200_000
 TERMS = "doc bigint, sentence bigint, times int, terms array<bigint>"
@@ -150,8 +152,8 @@ def _evidence(graph: Graph, told: DataFrame, seeds: DataFrame) -> DataFrame:
     own = F.coalesce(F.array_contains("subjects", F.col("subject")), F.lit(False)).cast("int") * F.col("times")
     rest = F.col("total") - F.coalesce(F.size("subjects"), F.lit(0)) * F.col("times")
     y = F.when(F.col("total").isNull(), F.col("m")).when(rest > 0, (F.col("m") - own) / rest)
-    whole = each.select("sentence", "subject", y.alias("y")).filter(F.col("y") > 0).groupBy("sentence", "subject").agg(F.sum("y").alias("y"))
-    return whole.groupBy("sentence").agg(F.collect_list(F.struct("subject", "y")).alias("all"), F.sum("y").alias("n"))  # one entry a subject
+    whole = each.select("sentence", "subject", y.alias("y")).filter(F.col("y") > 0).groupBy("sentence", "subject").agg(F.round(F.sum("y"), DIGITS).alias("y"))
+    return whole.groupBy("sentence").agg(F.collect_list(F.struct("subject", "y")).alias("all"), F.round(F.sum("y"), DIGITS).alias("n"))  # one entry a subject
 
 
 def subject_lists(documents: DataFrame, labels: DataFrame, definitions: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -189,8 +191,8 @@ def subject_lists(documents: DataFrame, labels: DataFrame, definitions: DataFram
     for _ in range(rounds):
         whole, whole_path = written(_evidence(graph, told, seeds), "whole")
         swept(spark)
-        y = graph.terms.join(whole.select("sentence", F.explode("all").alias("a")).select("sentence", "a.subject", "a.y"), "sentence").select("term", "subject", "y").unionByName(given).groupBy("term", "subject").agg(F.sum("y").alias("y"))
-        y = y.groupBy("term").agg(F.sum("y").alias("n"), F.collect_list(F.struct("subject", "y")).alias("all")).filter(F.col("n") >= SUPPORT)  # one entry a subject
+        y = graph.terms.join(whole.select("sentence", F.explode("all").alias("a")).select("sentence", "a.subject", "a.y"), "sentence").select("term", "subject", "y").unionByName(given).groupBy("term", "subject").agg(F.round(F.sum("y"), DIGITS).alias("y"))
+        y = y.groupBy("term").agg(F.round(F.sum("y"), DIGITS).alias("n"), F.collect_list(F.struct("subject", "y")).alias("all")).filter(F.col("n") >= SUPPORT)  # one entry a subject
         p = (F.col("of.y") + PRIOR * even) / (F.col("n") + PRIOR)
         likely = y.select("term", "n", F.explode("all").alias("of")).filter(p >= enough).select("term", F.col("of.subject").alias("subject"), p.alias("p"))
         usual = graph.arounds.join(y.select(F.col("term").alias("around"), F.map_from_entries("all").alias("ys"), F.col("n").alias("usual")), "around", "left")
