@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from skein.functions import text as T
 
@@ -122,31 +125,83 @@ def support_score(description: Column, comment: Column) -> Column:
     return F.when((F.size(d) == 0) | (F.size(c) == 0), 0.0).otherwise(F.size(F.array_intersect(d, c)) / F.greatest(F.lit(1), F.least(F.lit(10), F.size(d))))
 
 
-#: Characters of an indexed piece, and neighbouring pieces of which the least hash is kept.
-PIECE, WINDOW = 8, 12
+#: Characters of an indexed piece; least characters of a quote that is looked up without marks, and as it is.
+PIECE, BARE, PLAIN = 8, 22, 26
 
 
-def _least_hashes(c: Column) -> Column:
-    """Least hash of each window of WINDOW pieces of PIECE characters; a text contained in another has one of its window hashes in common with it."""
-    pieces = F.transform(F.sequence(F.lit(1), F.length(c) - (PIECE - 1)), lambda i: F.xxhash64(F.substring(c, i, F.lit(PIECE))))
-    return F.transform(F.sequence(F.lit(1), F.length(c) - (PIECE + WINDOW - 2)), lambda i: F.array_min(F.slice(pieces, i, WINDOW)))
+def _least_hashes(texts: Sequence[str], least: int, masks: Sequence[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of texts and, for each, the different least hashes of the pieces of PIECE characters of its windows of ``least`` characters.
 
-
-def _contained(quotes: DataFrame, texts: DataFrame, keys: Sequence[str], form: Callable[[Column], Column] | None, least: int, tier: int) -> DataFrame:
-    """Quotes (keys, q) of ``least`` characters or more in their ``form`` with the first text (keys, t, first) that holds them in that form.
-
-    Both are indexed by least hashes of windows, of which a contained text shares its first one, so a quote is
-    compared only with texts that hold that piece, never with all comments of its group.
+    All texts are hashed as one array, in time that grows with their characters. A text contained in another has each of its
+    hashes in common with it; texts below ``least`` characters have none. With ``masks``, where every letter and digit is
+    an a, only windows with less than BARE of these count.
     """
-    q = quotes.withColumn("_f", _formed(form, "q")).filter(F.length("_f") >= least)
-    q = q.withColumn("_h", F.element_at(_least_hashes(F.substring("_f", 1, PIECE + WINDOW - 1)), 1))
-    t = texts.withColumn("_g", _formed(form, "t")).filter(F.length("_g") >= least).withColumn("_h", F.explode(F.array_distinct(_least_hashes(F.col("_g")))))
-    j = q.join(t, [*keys, "_h"]).filter(F.contains("_g", "_f"))
-    return j.groupBy(*keys, "q").agg(F.min("first").alias("first"), F.lit(tier).alias("tier"))
-
-
-def _formed(form: Callable[[Column], Column] | None, name: str) -> Column:
-    return F.col(name) if form is None else form(F.col(name))
+    codes = lambda ts: np.frombuffer("".join(ts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    h = codes(texts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    if len(h) < least:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    width = 1
+    while width < PIECE:  # doubles the hashed characters
+        h = h[:-width] * np.uint64(0xD6E8FEB86659FD93) + h[width:]
+        h ^= h >> np.uint64(29)
+        width *= 2
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    width, pieces = 1, least - PIECE + 1
+    while width < pieces:  # least of ever more neighbours
+        step = min(width, pieces - width)
+        h = np.minimum(h[:-step], h[step:])
+        width += step
+    at, end = np.repeat(np.arange(len(n)), n)[: len(h)], np.repeat(np.cumsum(n), n)[: len(h)]
+    counted = np.arange(len(h)) + least <= end  # windows within one text
+    if masks is not None:
+        letters = np.concatenate([[0], np.cumsum(codes(masks) == ord("a"))])
+        counted &= letters[least:] - letters[:-least] < BARE
+    for sort in (False, True):  # neighbours repeat most of them
+        at, h = at[counted], h[counted]
+        if sort:
+            order = np.lexsort((h, at))
+            at, h = at[order], h[order]
+        counted = np.ones(len(h), bool)
+        counted[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1])
+    return at[counted], h[counted].view(np.int64)
+
+
+def _indexed(df: DataFrame, text: str, quotes: bool) -> DataFrame:
+    """A row for each least hash _h of the column ``text`` without marks, and as it is where it has many, in place of it; of quotes of either."""
+    kept = [c for c in df.columns if c != text]
+    bare = T.compacted(F.col(text))
+    plain = F.when(F.length(bare) < BARE, F.col(text)).otherwise("") if quotes else F.col(text)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            plain = _least_hashes(b.column("_plain").to_pylist(), PLAIN, b.column("_mask").to_pylist())
+            for at, h in (_least_hashes(b.column("_bare").to_pylist(), BARE), (plain[0], ~plain[1])):
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at)) for c in kept), pa.array(h)], [*kept, "_h"])
+
+    forms = df.select(*kept, plain.alias("_plain"), bare.alias("_bare"), F.regexp_replace(plain, r"[\p{L}\p{N}]", "a").alias("_mask"))
+    return forms.mapInArrow(index, Y.StructType([*(df.schema[c] for c in kept), Y.StructField("_h", Y.LongType())]))
+
+
+def _contained(quotes: DataFrame, texts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Quotes (keys, q) with the best tier and first text (keys, t, first) that holds them.
+
+    Texts and quotes are indexed by the least hashes of windows. A text that holds a quote holds all its hashes, so a quote is
+    compared only with texts that hold the rarest of them, never with all comments of its group. What a text holds as it is, it
+    also holds without marks; only quotes of few letters and digits are looked up as they are.
+    """
+    by = [*keys, "_h"]
+    q = _indexed(quotes.select(*keys, "q", F.col("q").alias("_f")), "_f", quotes=True)
+    index = _indexed(texts.select(*keys, F.col("first.comment_id").alias("_c"), F.col("t").alias("_f")), "_f", quotes=False)
+    index = index.join(q.select(*by).distinct(), by).groupBy(*by).agg(F.collect_list("_c").alias("_in"))
+    rarest = q.join(index, by).groupBy(*keys, "q").agg(F.min_by("_in", F.struct(F.size("_in"), "_h")).alias("_in"))
+    t = texts.select(*keys, F.col("first.comment_id").alias("_c"), "t", "first")
+    j = rarest.select(*keys, "q", F.explode("_in").alias("_c")).join(t, [*keys, "_c"])
+    b = T.compacted(F.col("q"))
+    tier = F.when((F.length("q") >= PLAIN) & F.contains("t", "q"), 1).when((F.length(b) >= BARE) & F.contains(T.compacted(F.col("t")), b), 2)
+    best = j.withColumn("tier", tier).filter("tier IS NOT NULL").groupBy(*keys, "q").agg(F.min(F.struct("tier", "first")).alias("_m"))
+    return best.select(*keys, "q", "_m.first", "_m.tier")
 
 
 def matched_quotes(quotes: DataFrame, comments: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -157,14 +212,13 @@ def matched_quotes(quotes: DataFrame, comments: DataFrame, keys: Sequence[str])
     Quotes below 26 characters, or 22 without marks, are matched by equality only.
     """
     norm = lambda c: F.lower(T.squeezed(c))
+    quotes, comments = quotes.dropna(subset=[*keys]), comments.dropna(subset=[*keys])
     q = quotes.select(*keys, "quote_id", norm(F.col("quote")).alias("q")).filter("q <> ''")
+    # all that read t ask for the same rows and columns, so that Spark shuffles the texts once
     t = comments.select(*keys, norm(F.col("text")).alias("t"), F.struct("rank", "comment_id").alias("first")).filter("t <> ''").groupBy(*keys, "t").agg(F.min("first").alias("first"))
-    different = q.select(*keys, "q").distinct()
-    equal = different.join(t.withColumnRenamed("t", "q"), [*keys, "q"]).select(*keys, "q", "first", F.lit(0).alias("tier"))
-    left = different.join(equal, [*keys, "q"], "left_anti")
-    held = _contained(left, t, keys, None, 26, 1)
-    loose = _contained(left.join(held, [*keys, "q"], "left_anti"), t, keys, T.compacted, 22, 2)
-    found = equal.unionByName(held).unionByName(loose)
+    looked = q.select(*keys, "q").distinct().join(t.withColumnRenamed("t", "q"), [*keys, "q"], "left")
+    equal = looked.filter("first IS NOT NULL").withColumn("tier", F.lit(0))
+    found = equal.unionByName(_contained(looked.filter("first IS NULL"), t, keys))
     return q.join(found, [*keys, "q"]).select(*keys, "quote_id", F.col("first.comment_id").alias("comment_id"), "tier")
 
 

@@ -296,6 +296,8 @@ def jsn_04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUOTE = "CASE id % 5 WHEN 0 THEN text WHEN 1 THEN substring(text, 4, 60) WHEN 2 THEN replace(replace(substring(text, 3, 70), ',', ' —'), ' ', '  ') WHEN 3 THEN '«' || upper(text) || '»' ELSE replace(text, ' ', '') END"
+# DuckDB gives a character one capital; those of which Spark makes several letters stay
+_CAPITALS = "CASE WHEN length(upper(text)) = length(text) THEN upper(text) ELSE array_join(transform(split(text, ''), x -> CASE WHEN length(upper(x)) = 1 THEN upper(x) ELSE x END), '') END"
 _NORM = lambda x: f"lower({squeeze_sql(x)})"
 _BARE = lambda x: f"regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 
@@ -305,7 +307,7 @@ m AS (SELECT q.id, comment_id, likes, CASE WHEN q = t THEN 0 WHEN length(q) >= 2
 SELECT id AS quote_id, comment_id, tier FROM m WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, -likes, comment_id) = 1""")
 def join_15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes, some shortened, with other marks, in capitals or without spaces, and the comment of their video that each came from."""
-    q = table(spark, sf_dir, "toxic_training_data").filter(F.col("text").isNotNull()).select("video_id", F.col("id").alias("quote_id"), F.expr(_QUOTE).alias("quote"))
+    q = table(spark, sf_dir, "toxic_training_data").filter(F.col("text").isNotNull()).select("video_id", F.col("id").alias("quote_id"), F.expr(_QUOTE.replace("upper(text)", _CAPITALS)).alias("quote"))
     c = table(spark, sf_dir, "raw_comments").filter(F.col("text_raw").isNotNull()).select("video_id", "comment_id", (-F.coalesce("like_count", F.lit(0))).alias("rank"), F.col("text_raw").alias("text"))
     return K.matched_quotes(q, spread(c), ["video_id"]).select("quote_id", "comment_id", "tier")
 
