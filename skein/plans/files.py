@@ -19,7 +19,7 @@ def snk_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.fresh(spark, "raw")
     c = table(spark, sf_dir, "raw_comments").filter("fetched_at IS NOT NULL AND video_id IS NOT NULL")
     sinks.dump_raw(c.repartition("video_id"), path)
-    back = spark.read.schema("comment_id bigint, text_raw string, day string, video_id bigint").json(path)
+    back = sinks.read_raw(spark, path, "comment_id bigint, text_raw string")
     return back.groupBy("day", "video_id").agg(F.count(F.lit(1)).alias("n"), F.min("comment_id").alias("first_id"))
 
 

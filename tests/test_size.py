@@ -5,10 +5,12 @@ from __future__ import annotations
 import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from compare import database, same_rows
 from skein.operators import topics
 from skein.plans import catalog
+from skein.sources import sinks
 
 
 def test_quotes_of_long_texts_are_found_in_linear_time(spark):
@@ -33,3 +35,26 @@ def test_capitals_of_several_letters_are_those_of_sql(spark, tmp_path):
     for name in ("toxic_training_data", "raw_comments"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     same_rows(catalog.queries()["join_15_quote_match"](spark, str(tmp_path)), con, catalog.oracle_sql()["join_15_quote_match"])
+
+
+def test_dump_of_many_days_and_videos_ends_and_is_whole(spark, tmp_path):
+    rows = spark.range(9000).select(F.expr("timestamp'2026-01-01' + make_interval(0, 0, 0, cast(id % 60 as int))").alias("fetched_at"), F.expr("id % 50").alias("video_id"), F.col("id").alias("comment_id"), F.expr("if(id % 7 = 0, NULL, 'a\\n\"b\" ' || id)").alias("text_raw"))
+    path, fields = f"file://{tmp_path}/raw", "comment_id bigint, text_raw string"
+    began = time.perf_counter()
+    sinks.dump_raw(rows.repartition("video_id"), path)
+    back = sinks.read_raw(spark, path, fields)
+    want = sorted(map(str, rows.select("comment_id", "text_raw", F.date_format("fetched_at", "yyyy-MM-dd").alias("day"), "video_id").collect()))
+    assert sorted(map(str, back.collect())) == want
+    assert time.perf_counter() - began < 60
+    one = "day=2026-01-01"
+    assert spark.read.schema(fields).json(f"{path}/{one}").count() == rows.filter("fetched_at < '2026-01-02'").count()
+    sinks.dump_raw(rows.limit(10), path)
+    assert back.count() == 9010  # appended
+
+
+def test_dump_is_laid_out_as_spark_does(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a/b=c {d}", 1.5), (2, None, None), (3, "x y", 2.0)], "id int, k string, x double").withColumn("fetched_at", F.expr("if(id = 3, NULL, timestamp'2026-03-04 05:06:07')"))
+    sinks.dump_raw(rows, f"file://{tmp_path}/own", video="k")
+    rows.withColumn("day", F.date_format("fetched_at", "yyyy-MM-dd")).write.partitionBy("day", "k").json(f"{tmp_path}/spark")
+    files = [sorted((str(p.parent.relative_to(tmp_path / d)), p.read_text()) for p in (tmp_path / d).rglob("part-*.json")) for d in ("own", "spark")]
+    assert files[0] == files[1]
